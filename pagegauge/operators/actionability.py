@@ -44,6 +44,12 @@ def _filled(attrs: Column, name: str) -> Column:
     return H.present(T.trim(H.attr(attrs, name)))
 
 
+def is_labelled(e: Column) -> Column:
+    """Named by a label pointing at it, a label around it, or an aria attribute."""
+    by_id = H.present(H.attr(e["attrs"], "id")) & e["labelled"]
+    return by_id | _filled(e["attrs"], "aria-label") | _filled(e["attrs"], "aria-labelledby") | e["in_label"]
+
+
 def looks_hashed(name: Column) -> Column:
     return name.rlike(C.HASHED_CLASS_PATTERN)
 
@@ -104,10 +110,6 @@ def features(docs: DataFrame) -> DataFrame:
         }
     )
 
-    def labelled(e):
-        by_id = H.present(H.attr(e["attrs"], "id")) & e["labelled"]
-        return by_id | _filled(e["attrs"], "aria-label") | _filled(e["attrs"], "aria-labelledby") | e["in_label"]
-
     n = F.size("ac_interactive")
     sample = F.least(F.lit(C.SELECTOR_SAMPLE), n)
     stride = n.cast("double") / F.nullif(sample.cast("double"), F.lit(0.0))
@@ -118,7 +120,7 @@ def features(docs: DataFrame) -> DataFrame:
     out = out.withColumns(
         {
             "ac_inputs": F.size("ac_input_els").cast("int"),
-            "ac_labeled": F.size(F.filter("ac_input_els", labelled)).cast("int"),
+            "ac_labeled": F.size(F.filter("ac_input_els", is_labelled)).cast("int"),
             "ac_with_name": F.size(
                 F.filter(
                     "ac_input_els",

@@ -74,14 +74,25 @@ def with_nesting(tokens: DataFrame, *document: str) -> DataFrame:
 
 
 def elements(captures: DataFrame, html: str = "rendered_html") -> DataFrame:
-    """(page_id, pos, tag, attrs, close_pos, level): one row per element, ``close_pos`` NULL = end of page."""
-    nested = with_nesting(tokens(captures, html))
+    """(page_id, pos, tag, attrs, close_pos, level): one row per element; unclosed ones end with the page."""
+    page = Window.partitionBy("page_id")
+    nested = with_nesting(tokens(captures, html)).withColumn(
+        "close_pos", F.coalesce("close_pos", F.max("pos").over(page) + 1)
+    )
     return nested.where(F.col("kind").isin("open", "script", "style", "rawtext")).select(
         "page_id", "pos", "tag", H.attributes(F.col("tok")).alias("attrs"), "close_pos",
         F.coalesce("level", F.lit(0)).alias("level"),
     )
 
 
+def attributes(captures: DataFrame, html: str = "rendered_html") -> DataFrame:
+    """(page_id, pos, tag, name, value): attributes of every element, the first of equal names."""
+    rows = elements(captures, html).select("page_id", "pos", "tag", F.posexplode("attrs").alias("ord", "attr"))
+    return rows.groupBy("page_id", "pos", "tag", F.col("attr.name").alias("name")).agg(
+        F.min_by("attr.value", "ord").alias("value")
+    )
+
+
 def _with_text(tokens: DataFrame, *document: str) -> DataFrame:
     """Add ``txt`` (decoded text of the token) and ``node`` (trimmed visible text node or NULL)."""
     tok, kind, tag = F.col("tok"), F.col("kind"), F.col("tag")
