@@ -46,19 +46,38 @@ def json_ld_has_context(raw: Column) -> Column:
         return F.coalesce(F.try_variant_get(node, "$", "array<variant>"), none)
 
     top = F.try_parse_json(raw)
-    return (
+    # A variant cannot hold repeated keys; such objects are read as plain text columns instead.
+    plain = F.from_json(raw, "struct<`@context`:string>")["@context"]
+    plain_text = plain.isNotNull() & ~F.startswith(plain, F.lit("{")) & (
+        ~F.startswith(plain, F.lit("[")) | F.contains(plain, F.lit('"'))
+    )
+    return F.when(top.isNull(), F.coalesce(plain_text, F.lit(False))).otherwise(
         _context_is_text(top)
         | F.exists(items(top), lambda a: _context_is_text(a) | F.exists(items(a), _context_is_text))
     )
 
 
+_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
+
+
+def is_json(raw: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The parsers stop after the first value, so the text is tried as the only member of an object and as the
+    only item of an array: anything trailing breaks one of the two. Repeated keys are fine.
+    """
+    wrapped_object = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "map<string,string>", _STRICT_JSON)
+    wrapped_array = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>", _STRICT_JSON)
+    return wrapped_object.isNotNull() & (F.size(wrapped_object) == 1) & wrapped_array.isNotNull() & (F.size(wrapped_array) == 1)
+
+
 def json_ld_blocks(docs: DataFrame) -> DataFrame:
     """Add ``sd_blocks``: array of (raw, valid, types, has_context) per non-blank JSON-LD script."""
     scripts = E.where(E.tag_in("script"), lambda e: H.attr_is_ci(e["attrs"], "type", "application/ld+json"))
     raws = F.filter(F.transform(scripts, E.text_of), lambda s: T.trim(s) != "")
 
     def block(raw: Column) -> Column:
-        valid = F.try_parse_json(raw).isNotNull()
+        valid = F.coalesce(is_json(raw), F.lit(False))
         return F.struct(
             raw.alias("raw"),
             valid.alias("valid"),

@@ -60,8 +60,10 @@ CTES["mrf"] = f"""select *, {score('mr_score', 'mr_raw_score + mr_semantic_score
 
 # -- structured data ----------------------------------------------------------------------------
 _Q = '"(?:[^"\\\\]|\\\\.)*"'
-CTES["ld"] = f"""select e.page_id, e.pos, t.txt as raw, json_valid(t.txt) as valid,
-    case when json_valid(t.txt) then list_transform(regexp_extract_all(array_to_string(regexp_extract_all(t.txt, {lit(TYPE_KEY_PATTERN)}, 1), ' '), {lit(_Q)}), lambda s: substr(s, 2, length(s) - 2)) else [] end as types
+# The parser here tolerates a comma before a closing bracket, which JSON does not allow.
+_VALID = "(json_valid(t.txt) and not regexp_matches(t.txt, ',\\s*[}\\]]'))"
+CTES["ld"] = f"""select e.page_id, e.pos, t.txt as raw, {_VALID} as valid,
+    case when {_VALID} then list_transform(regexp_extract_all(array_to_string(regexp_extract_all(t.txt, {lit(TYPE_KEY_PATTERN)}, 1), ' '), {lit(_Q)}), lambda s: substr(s, 2, length(s) - 2)) else [] end as types
   from el e join txt t on t.page_id = e.page_id and t.pos = e.pos
   where e.tag = 'script' and lower(e.a_type) = 'application/ld+json' and {trim('t.txt')} <> ''"""
 _CTX = """(json_type({v}, '$."@context"') = 'VARCHAR' or (json_type({v}, '$."@context"') = 'ARRAY'
