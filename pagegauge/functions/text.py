@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
+from pagegauge.functions.binding import let
 
 WS = C.WHITESPACE_PATTERN
 
@@ -41,8 +42,10 @@ def decode_entities(col: Column) -> Column:
 
 
 def snippet(col: Column, limit: int = 200) -> Column:
-    flat = collapse(col)
-    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("…"))).otherwise(flat)
+    def cut(flat: Column) -> Column:
+        return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("…"))).otherwise(flat)
+
+    return let(collapse(col), cut)
 
 
 def snippet_json(value: Column, limit: int = 200) -> Column:
@@ -55,23 +58,27 @@ def word_set(col: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9]{3,}"), F.lit(0)))
 
 
-def _overlap(left: Column, right: Column) -> Column:
-    union = F.size(F.array_union(left, right))
-    return F.when(
-        union > 0, F.size(F.array_intersect(left, right)).cast("double") / union.cast("double")
-    ).otherwise(F.lit(0.0))
+def _word_overlap(left: Column, right: Column, one_empty: float, both_empty: float) -> Column:
+    def compare(sets: Column) -> Column:
+        a, b = sets["a"], sets["b"]
+        common = F.size(F.array_intersect(a, b)).cast("double")
+        return (
+            F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(both_empty))
+            .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(one_empty))
+            .otherwise(common / (F.size(a) + F.size(b) - common))
+        )
+
+    return let(F.struct(word_set(left).alias("a"), word_set(right).alias("b")), compare)
 
 
 def jaccard_schema(left: Column, right: Column) -> Column:
     """Word overlap; two empty sets agree fully."""
-    a, b = word_set(left), word_set(right)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_overlap(a, b))
+    return _word_overlap(left, right, one_empty=0.0, both_empty=1.0)
 
 
 def jaccard_clarity(left: Column, right: Column) -> Column:
     """Word overlap; an empty set on either side agrees with nothing."""
-    a, b = word_set(left), word_set(right)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_overlap(a, b))
+    return _word_overlap(left, right, one_empty=0.0, both_empty=0.0)
 
 
 # Fixed values of the reading-ease formula's word and sentence patterns.
@@ -82,14 +89,16 @@ VOWELS = "[aeiouyà-ÿ]+"
 
 
 def syllables(word: Column) -> Column:
-    letters = F.regexp_replace(F.lower(word), "[^a-zà-ÿ]", "")
-    spoken = F.regexp_replace(F.regexp_replace(letters, SILENT_ENDING, ""), "^y", "")
-    groups = F.size(F.regexp_extract_all(spoken, F.lit(VOWELS), F.lit(0)))
-    return (
-        F.when(F.length(letters) == 0, 0)
-        .when(F.length(letters) <= 3, 1)
-        .otherwise(F.greatest(F.lit(1), groups))
-    )
+    def count(letters: Column) -> Column:
+        spoken = F.regexp_replace(F.regexp_replace(letters, SILENT_ENDING, ""), "^y", "")
+        groups = F.size(F.regexp_extract_all(spoken, F.lit(VOWELS), F.lit(0)))
+        return (
+            F.when(F.length(letters) == 0, 0)
+            .when(F.length(letters) <= 3, 1)
+            .otherwise(F.greatest(F.lit(1), groups))
+        )
+
+    return let(F.regexp_replace(F.lower(word), "[^a-zà-ÿ]", ""), count)
 
 
 def words(col: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagegauge import constants as C
 from pagegauge.functions import ips
+from pagegauge.functions.binding import let
 
 _CONTROL = "".join(chr(c) for c in range(0x21))
 
@@ -20,26 +21,28 @@ def _clean(url: Column) -> Column:
     return F.btrim(url, F.lit(_CONTROL))
 
 
-def parts(url: Column) -> Column:
-    """Struct (scheme, userinfo, host, port, path, query, fragment); NULL if the URL cannot be split."""
-    clean = _clean(url)
+def _split(clean: Column) -> Column:
     group = lambda i: F.regexp_extract(clean, C.URL_PATTERN, i)
-    scheme, host, port = F.lower(group(1)), F.lower(group(3)), group(4)
-    port_ok = (port == "") | F.coalesce(port.try_cast("int") <= 65535, F.lit(False))
-    ok = (scheme != "") & port_ok & ~host.rlike(r"[\x00-\x20<>^|%\\{}\x7f]")
-    return F.when(
-        ok,
-        F.struct(
-            scheme.alias("scheme"), group(2).alias("userinfo"), host.alias("host"), port.alias("port"),
-            group(5).alias("path"), group(6).alias("query"), group(7).alias("fragment"),
-        ),
+    return F.struct(
+        F.lower(group(1)).alias("scheme"), group(2).alias("userinfo"), F.lower(group(3)).alias("host"),
+        group(4).alias("port"), group(5).alias("path"), group(6).alias("query"), group(7).alias("fragment"),
     )
 
 
+def _well_formed(p: Column) -> Column:
+    port_ok = (p["port"] == "") | F.coalesce(p["port"].try_cast("int") <= 65535, F.lit(False))
+    return (p["scheme"] != "") & port_ok & ~p["host"].rlike(r"[\x00-\x20<>^|%\\{}\x7f]")
+
+
+def parts(url: Column) -> Column:
+    """Struct (scheme, userinfo, host, port, path, query, fragment); NULL if the URL cannot be split."""
+    return let(let(_clean(url), _split), lambda p: F.when(_well_formed(p), p))
+
+
 def shape_ok(url: Column) -> Column:
     """Non-empty, splittable and http or https."""
-    p = parts(url)
-    return F.coalesce(p["scheme"].isin("http", "https") & (p["host"] != ""), F.lit(False))
+    ok = let(parts(url), lambda p: p["scheme"].isin("http", "https") & (p["host"] != ""))
+    return F.coalesce(ok, F.lit(False))
 
 
 def encoded_path(path: Column) -> Column:
@@ -62,8 +65,7 @@ def _port_suffix(p: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    p = parts(url)
-    return F.concat(p["scheme"], F.lit("://"), p["host"], _port_suffix(p))
+    return let(parts(url), lambda p: F.concat(p["scheme"], F.lit("://"), p["host"], _port_suffix(p)))
 
 
 def params(query: Column) -> Column:
@@ -107,72 +109,83 @@ def _userinfo(p: Column) -> Column:
     return F.when(p["userinfo"] == "", F.lit("")).otherwise(F.concat(p["userinfo"], F.lit("@")))
 
 
+def _param_order(a: Column, b: Column) -> Column:
+    la, lb = F.lower(a["name"]), F.lower(b["name"])
+    return (
+        F.when(la < lb, -1).when(la > lb, 1)
+        .when(a["name"] > b["name"], -1).when(a["name"] < b["name"], 1)
+        .when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1)
+        .otherwise(0)
+    )
+
+
 def normalize(url: Column) -> Column:
     """Deduplication key: no fragment, tracking parameter, default port or trailing slash; sorted parameters."""
-    p = parts(url)
-    kept = F.filter(params(p["query"]), lambda x: ~is_tracking(x["name"]))
 
-    def order(a: Column, b: Column) -> Column:
-        la, lb = F.lower(a["name"]), F.lower(b["name"])
-        return (
-            F.when(la < lb, -1).when(la > lb, 1)
-            .when(a["name"] > b["name"], -1).when(a["name"] < b["name"], 1)
-            .when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1)
-            .otherwise(0)
+    def shorten(path: Column) -> Column:
+        short = F.when((F.length(path) > 1) & path.endswith("/"), F.rtrim(path, F.lit("/"))).otherwise(path)
+        return F.coalesce(F.nullif(short, F.lit("")), F.lit("/"))
+
+    def key(p: Column) -> Column:
+        kept = F.filter(params(p["query"]), lambda x: ~is_tracking(x["name"]))
+        return F.concat(
+            p["scheme"], F.lit("://"), _userinfo(p), p["host"], _port_suffix(p),
+            let(encoded_path(p["path"]), shorten), encode_params(F.array_sort(kept, _param_order)),
         )
 
-    path = encoded_path(p["path"])
-    short = F.when((F.length(path) > 1) & path.endswith("/"), F.rtrim(path, F.lit("/"))).otherwise(path)
-    return F.concat(
-        p["scheme"], F.lit("://"), _userinfo(p), p["host"], _port_suffix(p),
-        F.when(short == "", F.lit("/")).otherwise(short), encode_params(F.array_sort(kept, order)),
-    )
+    return let(parts(url), key)
+
+
+def _masked_query(query: Column) -> Column:
+    def mask_all(items: Column) -> Column:
+        names = F.transform(items, lambda x: x["name"])
+        # Redacting a repeated name leaves one of it.
+        kept = F.filter(items, lambda x: ~is_secret(x["name"]) | (F.array_position(names, x["name"]) == x["idx"] + 1))
+        masked = F.transform(
+            kept,
+            lambda x: F.struct(
+                x["name"].alias("name"),
+                F.when(is_secret(x["name"]), F.lit(C.URL_REDACTED)).otherwise(x["value"]).alias("value"),
+            ),
+        )
+        return F.when(F.exists(names, is_secret), encode_params(masked)).otherwise(query)
+
+    return let(params(query), mask_all)
 
 
 def mask(url: Column) -> Column:
     """Copy of the URL fit for storage: no credentials, secret parameters redacted; unsplittable = unchanged."""
-    p = parts(url)
-    items = params(p["query"])
-    names = F.transform(items, lambda x: x["name"])
-    # Redacting a repeated name leaves one of it.
-    kept = F.filter(items, lambda x: ~is_secret(x["name"]) | (F.array_position(names, x["name"]) == x["idx"] + 1))
-    masked = F.transform(
-        kept,
-        lambda x: F.struct(
-            x["name"].alias("name"),
-            F.when(is_secret(x["name"]), F.lit(C.URL_REDACTED)).otherwise(x["value"]).alias("value"),
-        ),
-    )
-    search = F.when(F.exists(names, is_secret), encode_params(masked)).otherwise(
-        F.when(p["query"] == "?", F.lit("?")).otherwise(p["query"])
+
+    def masked(p: Column) -> Column:
+        return F.concat(
+            p["scheme"], F.lit("://"), p["host"], _port_suffix(p), encoded_path(p["path"]), _masked_query(p["query"]),
+            p["fragment"],
+        )
+
+    return F.coalesce(let(parts(url), masked), url)
+
+
+def _random_token(segment: Column) -> Column:
+    return (
+        (F.length(segment) > 40)
+        | segment.rlike("^[a-fA-F0-9]{16,}$")
+        | (segment.rlike("^[A-Za-z0-9+/=_-]{32,}$") & ~segment.rlike("[a-z]-[a-z]"))
     )
-    return F.when(
-        p.isNotNull(),
-        F.concat(
-            p["scheme"], F.lit("://"), p["host"], _port_suffix(p), encoded_path(p["path"]), search, p["fragment"]
-        ),
-    ).otherwise(url)
 
 
 def readable(url: Column) -> Column:
     """Lower-case, human path without session identifiers or random tokens; the root path always is."""
-    p = parts(url)
-    path = encoded_path(p["path"])
-    session = p["query"].rlike("(?i)[?&](?:" + "|".join(C.SESSION_PARAMS) + ")=")
 
-    def random_token(segment: Column) -> Column:
-        return (
-            (F.length(segment) > 40)
-            | segment.rlike("^[a-fA-F0-9]{16,}$")
-            | (segment.rlike("^[A-Za-z0-9+/=_-]{32,}$") & ~segment.rlike("[a-z]-[a-z]"))
+    def verdict(p: Column) -> Column:
+        session = p["query"].rlike("(?i)[?&](?:" + "|".join(C.SESSION_PARAMS) + ")=")
+        return let(
+            encoded_path(p["path"]),
+            lambda path: F.when(F.length(path) <= 1, F.lit(True))
+            .when(path.rlike("[A-Z]") | session, F.lit(False))
+            .otherwise(~F.exists(F.split(path, "/"), _random_token)),
         )
 
-    return (
-        F.when(p.isNull(), F.lit(False))
-        .when(F.length(path) <= 1, F.lit(True))
-        .when(path.rlike("[A-Z]") | session, F.lit(False))
-        .otherwise(~F.exists(F.split(path, "/"), random_token))
-    )
+    return F.coalesce(let(parts(url), verdict), F.lit(False))
 
 
 def is_https(url: Column) -> Column:
@@ -183,25 +196,32 @@ def blocked_hostname(host: Column) -> Column:
     return F.lower(host).isin(*C.BLOCKED_HOSTNAMES)
 
 
+def _host_rejection(host: Column) -> Column:
+    # A host whose last label is a number must be an IPv4 address.
+    numeric = host.rlike(r"(?:^|\.)(?:[0-9]+|0[xX][0-9a-fA-F]*)$")
+    return let(
+        ips.parse_v4(host),
+        lambda v4: F.when(v4.isNotNull(), ips.classify_v4(v4))
+        .when(numeric, F.lit("invalid-url"))
+        .when(blocked_hostname(host), F.lit("blocked-hostname")),
+    )
+
+
 def rejection(url: Column) -> Column:
     """Why a URL must not be fetched, NULL if it may be."""
-    clean = _clean(url)
-    p = parts(url)
-    scheme = F.lower(F.regexp_extract(clean, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    bare = F.regexp_replace(p["host"], r"^\[|\]$", "")
-    v6 = F.startswith(p["host"], F.lit("["))
-    dotless = F.regexp_replace(bare, r"\.$", "")
-    v4 = ips.parse_v4(dotless)
-    # A host whose last label is a number must be an IPv4 address.
-    numeric = dotless.rlike(r"(?:^|\.)(?:[0-9]+|0[xX][0-9a-fA-F]*)$")
+
+    def screen(p: Column) -> Column:
+        return (
+            F.when(p.isNull(), F.lit("invalid-url"))
+            .when(~p["userinfo"].isin("", ":"), F.lit("embedded-credentials"))
+            .when(p["host"] == "", F.lit("invalid-url"))
+            .when(F.startswith(p["host"], F.lit("[")), ips.classify_v6_text(F.regexp_replace(p["host"], r"^\[|\]$", "")))
+            .otherwise(let(F.regexp_replace(p["host"], r"\.$", ""), _host_rejection))
+        )
+
+    scheme = F.lower(F.regexp_extract(_clean(url), "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
     return (
-        F.when(url.isNull() | (clean == "") | (scheme == ""), F.lit("invalid-url"))
+        F.when(F.coalesce(scheme, F.lit("")) == "", F.lit("invalid-url"))
         .when(~scheme.isin("http", "https"), F.lit("unsupported-protocol"))
-        .when(p.isNull(), F.lit("invalid-url"))
-        .when(~p["userinfo"].isin("", ":"), F.lit("embedded-credentials"))
-        .when(p["host"] == "", F.lit("invalid-url"))
-        .when(v6, F.when(ips.parse_v6(bare).isNull(), F.lit("invalid-url")).otherwise(ips.classify_v6(ips.parse_v6(bare))))
-        .when(v4.isNotNull(), ips.classify_v4(v4))
-        .when(numeric, F.lit("invalid-url"))
-        .when(blocked_hostname(bare), F.lit("blocked-hostname"))
+        .otherwise(let(parts(url), screen))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one the cluster shares; a temporary one only where none is configured."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return f"{configured.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{tempfile.mkdtemp(prefix='pagegauge-')}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
     spark = df.sparkSession

@@ -176,3 +176,87 @@ class Tables:
             started.alias("started_at"),
             F.when(~open_job, done).alias("completed_at"),
         )
+
+    # -- URL tables -----------------------------------------------------------------------------
+    def url_cases(self) -> DataFrame:
+        """(case_id, url): every page URL and one decorated variant per page."""
+        return self.pages().select(
+            F.inline(
+                F.array(
+                    F.struct((F.col("page_id") * 2).alias("case_id"), F.col("url").alias("url")),
+                    F.struct((F.col("page_id") * 2 + 1).alias("case_id"), F.expr(url_variant_sql()).alias("url")),
+                )
+            )
+        )
+
+    def addresses(self) -> DataFrame:
+        """(event_id, ip): one textual address per event, in all notations."""
+        return self.read("events").select("event_id", F.expr(address_sql(True)).alias("ip"))
+
+    def host_ips(self) -> DataFrame:
+        """(host, ip): resolved addresses per page host; some hosts have none."""
+        hosts = self.pages().groupBy(F.expr(HOST_SQL).alias("host")).agg(F.min("page_id").alias("k"))
+        return hosts.select("host", F.explode(F.expr(HOST_IPS_SQL.format(array="array"))).alias("ip"))
+
+    def redirects(self) -> DataFrame:
+        """(from_url, to_url): one edge per page, chains of up to nine hops, some into private networks."""
+        return self.pages().select(
+            F.expr(HOP_SQL.format(id="page_id")).alias("from_url"), F.expr(REDIRECT_SQL).alias("to_url")
+        )
+
+    def redirect_starts(self) -> DataFrame:
+        return self.pages().select("page_id", F.expr(HOP_SQL.format(id="page_id")).alias("url"))
+
+
+HOST_SQL = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+HOST_IPS_SQL = """case k % 7 when 0 then {array}('93.184.216.34') when 1 then {array}('93.184.216.34', '10.0.0.7')
+    when 2 then {array}('2606:2800:220:1::5', 'fe80::1') when 3 then {array}('2606:2800:220:1::5')
+    when 4 then {array}('8.8.8.8', '1.1.1.1', '9.9.9.9') when 5 then {array}('bad address') else null end"""
+HOP_SQL = "concat('https://hop.example.com/p/', cast({id} as string))"
+REDIRECT_SQL = f"""case when page_id % 40 = 13 then 'http://192.168.0.1/admin' when page_id % 40 = 27 then 'not a url'
+    when page_id % 9 = 8 then null else {HOP_SQL.format(id='page_id + 1')} end"""
+
+
+def url_variant_sql() -> str:
+    """One URL per page that exercises one rule of screening, normalising, masking or readability."""
+    n = "', cast(page_id as string), '"
+    b = "', cast(page_id % 250 as string), '"
+    cases = [
+        f"http://localhost:8080/p{n}", f"https://user:pw@h{n}.example.com/x", f"ftp://files.example.com/{n}",
+        f"http://127.0.0.1/{n}", f"http://0x7f.1/{n}", f"http://2130706433/{n}", f"http://192.168.{b}.1/",
+        f"http://172.16.0.{b}/", f"http://172.32.0.{b}/", f"http://100.64.1.{b}/", f"http://169.254.169.254/latest/{n}",
+        f"http://[::1]:80{n}/", f"http://[fe80::{b}]/", f"http://[fc00::1:{b}]/", f"http://[2001:db8::{b}]/a",
+        f"http://[::ffff:10.0.0.{b}]/", f"http://0/{n}", f"http://224.0.0.{b}/", f"http://256.1.1.{b}/",
+        f"not a url {n}", "https://", f"javascript:alert({n})",
+        f"HTTPS://WWW.Example.COM:443/Path/{n}/?b=2&a=1&utm_source=x&A=3&Mc_eid=4#frag",
+        f"http://example.com:80/a//{n}///?q=a+b&q=c%20d&ref=z&x=%zz&&=e&f",
+        f"https://example.com/reset?token=abc{n}&user=1&token=zz&access_token=q#t",
+        f"https://example.com/cb?code={n}&state=s&keyword=k&email=a%40b.c&code=2",
+        f"https://example.com/?sid={n}", f"https://example.com/p/{n}?SessionId=3",
+        f"https://example.com/{'ab-' * 14}{n}", f"https://example.com/deadbeefdeadbeef/{n}",
+        f"https://example.com/abcdefghijklmnopqrstuvwxyz012345{b}", f"https://example.com/a-long-but-readable-path-{n}",
+        f"https://example.com/UPPER/{n}", f"  https://example.com/trim/{n}  ", f"https://ip6-localhost/{n}",
+        f"http://017700000001/{n}", f"http://1.2.3.4.5/{n}", f"https://example.com:99999/{n}", "",
+        f"https://example.com:8443/café/{n}?q=é&z=*~&a=(1)",
+    ]
+    whens = " ".join(f"when {i} then concat('{c}')" for i, c in enumerate(cases))
+    return f"case page_id % {len(cases)} {whens} else url end"
+
+
+def address_sql(spark: bool) -> str:
+    def hexed(x: str) -> str:
+        return f"lower(hex(cast({x} as bigint)))" if spark else f"lower(to_hex(cast({x} as bigint)))"
+
+    n, b, e = "cast(event_id as string)", "cast(event_id % 256 as string)", "event_id"
+    cases = [
+        f"concat({b}, '.', cast(floor(event_id / 7) % 256 as int), '.3.4')", f"concat('10.', {b}, '.0.1')", f"concat('127.', {n})",
+        f"concat('172.', {b}, '.9.9')", f"concat('192.168.', cast(event_id * 7 as string))", f"cast(event_id * 429497 as string)",
+        f"concat('0x', {hexed('event_id * 65537')})", f"concat('0', cast(event_id % 8 as string), '7.1.', {b})", f"concat('1..', {n})",
+        f"concat('256.', {n}, '.1.1')", f"concat('2001:db8::', {hexed(e)})", f"concat('[fe80::', {hexed(e)}, ']')",
+        f"concat('::ffff:192.168.1.', {b})", f"concat('fd00:', {hexed(e)}, ':0:0:0:0:0:1')", f"concat('ff02::', {hexed(e)})",
+        f"concat('1:2:3::4::', {hexed(e)})", "'::1'", "'::'", f"concat('host', {n})", f"concat({b}, '.1.1.')", "''",
+        f"concat('100.', {b}, '.1.1')", f"concat('169.254.', {n})", f"concat('::', {b}, '.0.0.1')", f"concat('1:2:3:4:5:6:7:', {hexed('event_id * 16')})",
+        f"concat('99999999999999999999', {n})", f"concat('08.1.1.', {b})", f"concat('2002::', {hexed(e)}, ':')",
+    ]
+    whens = " ".join(f"when {i} then {c}" for i, c in enumerate(cases))
+    return f"case event_id % {len(cases)} {whens} end"
