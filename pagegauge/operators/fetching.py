@@ -58,7 +58,9 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame) -> DataFrame:
     Every address on the way is screened; a sixth hop fails. The depth is fixed, so the chain is six plain
     joins on the edge table, each keyed by the current address.
     """
-    hop = edges.where(F.col("to_url").isNotNull()).select(F.col("from_url").alias("_at"), F.col("to_url").alias("_next"))
+    hop = edges.where(F.col("to_url").isNotNull()).select(
+        F.col("from_url").alias("_at"), F.col("to_url").alias("_next"), F.lit(0).alias("_salt")
+    )
 
     def refused(url: Column) -> Column:
         return let(
@@ -68,10 +70,17 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame) -> DataFrame:
 
     state = starts.withColumns({"final_url": F.col("url"), "hops": F.lit(0), "reason": refused(F.col("url"))})
     for step in range(1, C.MAX_REDIRECTS + 2):
-        # Chains that have ended do not move, so they stay out of the join key.
-        state = state.withColumn("_at", F.when(F.col("reason").isNull() & (F.col("hops") == step - 1), F.col("final_url")))
+        # Chains that have ended match nothing; their salt spreads them instead of piling them up on NULL.
+        # An address on which many chains meet is split by the adaptive skew join (one edge per address).
+        walking = F.col("reason").isNull() & (F.col("hops") == step - 1)
+        state = state.withColumns(
+            {
+                "_at": F.when(walking, F.col("final_url")),
+                "_salt": F.when(walking, 0).otherwise(1 + F.pmod(F.xxhash64("url"), F.lit(1024))).cast("int"),
+            }
+        )
         moved = F.col("_next").isNotNull()
-        state = state.join(hop, "_at", "left").withColumns(
+        state = state.join(hop, ["_at", "_salt"], "left").withColumns(
             {
                 "hops": F.when(moved, F.lit(step)).otherwise(F.col("hops")),
                 "reason": F.when(
@@ -79,7 +88,7 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame) -> DataFrame:
                 ).otherwise(F.col("reason")),
                 "final_url": F.when(moved & F.lit(step <= C.MAX_REDIRECTS), F.col("_next")).otherwise(F.col("final_url")),
             }
-        ).drop("_at", "_next")
+        ).drop("_at", "_salt", "_next")
     return state
 
 

@@ -22,7 +22,9 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, row_id: str, k
         .limit(HOT_KEYS)
         .select(key, F.lit(True).alias("_hot"))
     )
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(row_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    # Rows without a key match nothing, but would otherwise meet in one task.
+    spread = F.col("_hot") | F.col(key).isNull()
+    salt = F.when(spread, F.pmod(F.xxhash64(row_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     many = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     one = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

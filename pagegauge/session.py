@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pages grow tenfold when parsed, so partitions of page text may be smaller than the default 1 MB.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     # Call-site capture costs several JVM round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
