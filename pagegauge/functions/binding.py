@@ -1,13 +1,36 @@
-"""Naming an intermediate value inside one column expression."""
+"""Naming intermediate values: inside one column expression, and as successive column stages."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Stages = list[dict[str, Column]]
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once per row, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def staged(build: Callable[[], Stages]) -> Callable[[DataFrame], DataFrame]:
+    """Make a ``DataFrame -> DataFrame`` function out of successive groups of named expressions.
+
+    The expressions name columns but no frame, so they are built once per Spark connection and reused:
+    building them takes thousands of calls into the JVM.
+    """
+    kept: dict[str, object] = {}
+
+    @functools.wraps(build)
+    def apply(df: DataFrame) -> DataFrame:
+        connection = df.sparkSession.sparkContext._gateway
+        if kept.get("connection") is not connection:
+            kept.update(connection=connection, stages=build())
+        for stage in kept["stages"]:
+            df = df.withColumns(stage)
+        return df
+
+    return apply

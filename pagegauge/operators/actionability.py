@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
@@ -10,6 +10,7 @@ from pagegauge.functions import html as H
 from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
 from pagegauge.functions import urls as U
+from pagegauge.functions.binding import Stages, staged
 from pagegauge.operators import elements as E
 from pagegauge.operators.rules import Rule, text
 
@@ -64,10 +65,12 @@ def selector_points(e: Column) -> Column:
     return F.when(stable, F.lit(1.0)).when(readable, F.lit(0.5)).otherwise(F.lit(0.0))
 
 
-def features(docs: DataFrame) -> DataFrame:
+@staged
+def features() -> Stages:
     """Needs ``final_url`` next to the nested page row."""
+    stages: Stages = []
     own_text = lambda e: F.lower(T.trim(E.text_of(e)))
-    out = docs.withColumns(
+    stages.append(
         {
             "ac_input_els": E.where(_is_input),
             "ac_submit_texts": F.transform(
@@ -117,7 +120,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.greatest(F.lit(1), sample) - 1),
         lambda i: F.get("ac_interactive", F.floor(i.cast("double") * stride).cast("int")),
     )
-    out = out.withColumns(
+    stages.append(
         {
             "ac_inputs": F.size("ac_input_els").cast("int"),
             "ac_labeled": F.size(F.filter("ac_input_els", is_labelled)).cast("int"),
@@ -145,7 +148,7 @@ def features(docs: DataFrame) -> DataFrame:
         }
     )
     ratio = lambda a, b: F.col(a).cast("double") / F.nullif(F.col(b).cast("double"), F.lit(0.0))
-    out = out.withColumns(
+    stages.append(
         {
             "ac_label_ratio": ratio("ac_labeled", "ac_inputs"),
             "ac_name_ratio": ratio("ac_with_name", "ac_inputs"),
@@ -159,7 +162,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
     share = lambda name, points: F.coalesce(S.half_up(F.col(name) * F.lit(float(points))), F.lit(points))
     fake, real = F.col("ac_clickable_divs"), F.col("ac_real_buttons").cast("double")
-    out = out.withColumns(
+    stages.append(
         {
             "ac_label_score": share("ac_label_ratio", 20),
             "ac_name_score": share("ac_name_ratio", 10),
@@ -173,7 +176,8 @@ def features(docs: DataFrame) -> DataFrame:
             "ac_url_score": F.when(F.col("ac_url_readable"), 5).otherwise(0),
         }
     )
-    return out.withColumn("ac_score", S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0))))
+    stages.append({"ac_score": S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0)))})
+    return stages
 
 
 def _of(part: str, whole: str, rest: str) -> str:

@@ -12,6 +12,7 @@ from pagegauge import constants as C
 from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
 from pagegauge.functions import urls as U
+from pagegauge.functions.binding import Stages, staged
 from pagegauge.operators.rules import Rule, text
 
 SCORES = (
@@ -161,19 +162,22 @@ def _site_scores(sites: DataFrame) -> DataFrame:
     )
 
 
-def features(pages_with_site: DataFrame) -> DataFrame:
+@staged
+def features() -> Stages:
     """Page-level signals after the site row was joined; pages of unprobed origins have none."""
     flags = ("as_has_robots", "as_has_llms", "as_has_sitemap", "as_sitemap_valid", "as_llms_has_h1", "as_llms_full_link")
     numbers = ("as_allowed_count", "as_sitemap_lines", "as_llms_sections", "as_llms_links", *SCORES[:-1])
-    out = pages_with_site.withColumns(
+    stages: Stages = [
         {
             **{c: F.coalesce(c, F.lit(False)) for c in flags},
             **{c: F.coalesce(c, F.lit(0)) for c in numbers},
             "as_blocked_list": F.coalesce("as_blocked_list", F.lit("")),
             "as_https": U.is_https(F.col("final_url")),
-        }
-    ).withColumn("as_https_score", F.when(F.col("as_https"), 10).otherwise(0))
-    return out.withColumn("as_score", S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0))))
+        },
+        {"as_https_score": F.when(F.col("as_https"), 10).otherwise(0)},
+        {"as_score": S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0)))},
+    ]
+    return stages
 
 
 _ALL = ", ".join(C.AI_BOTS)

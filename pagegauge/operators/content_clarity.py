@@ -9,6 +9,7 @@ from pagegauge import constants as C
 from pagegauge.functions import html as H
 from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
+from pagegauge.functions.binding import Stages, staged
 from pagegauge.operators import elements as E
 from pagegauge.operators.rules import Rule, text
 
@@ -28,7 +29,8 @@ def _join(items: Column) -> Column:
     return T.collapse(F.array_join(F.transform(items, lambda p: p["s"]), ""))
 
 
-def main_content(docs: DataFrame) -> DataFrame:
+@staged
+def main_content() -> Stages:
     """Add ``cc_main_text`` and ``cc_main_source``: main, else article, else longest section, else the body."""
     sections = F.array_sort(
         F.transform(
@@ -45,7 +47,7 @@ def main_content(docs: DataFrame) -> DataFrame:
         .when(-best["rank"] > _LONG_SECTION, F.lit("section"))
         .otherwise(F.lit("body-minus-boilerplate"))
     )
-    out = docs.withColumn("cc_main_source", source)
+    stages: Stages = [{"cc_main_source": source}]
     # Without body or head tags only the title lies outside the body.
     body = F.filter(
         "txts",
@@ -64,13 +66,16 @@ def main_content(docs: DataFrame) -> DataFrame:
         .when(F.col("cc_main_source") == "section", below(best))
         .otherwise(body)
     )
-    return out.withColumn("cc_main_text", _join(chosen))
+    stages.append({"cc_main_text": _join(chosen)})
+    return stages
 
 
-def features(docs: DataFrame) -> DataFrame:
+@staged
+def _features() -> Stages:
+    stages: Stages = []
     description = H.attr(E.first("meta", lambda e: H.attr_is(e["attrs"], "name", "description"))["attrs"], "content")
     nodes = F.transform(F.filter("txts", lambda p: p["node"].isNotNull()), lambda p: p["node"])
-    out = main_content(docs).withColumns(
+    stages.append(
         {
             "cc_title": F.coalesce(T.trim(E.text_of(E.first("title"))), F.lit("")),
             "cc_meta": F.coalesce(T.trim(description), F.lit("")),
@@ -83,7 +88,7 @@ def features(docs: DataFrame) -> DataFrame:
             ).cast("int"),
         }
     )
-    out = out.withColumns(
+    stages.append(
         {
             "cc_title_length": F.length("cc_title").cast("int"),
             "cc_meta_length": F.length("cc_meta").cast("int"),
@@ -102,13 +107,11 @@ def features(docs: DataFrame) -> DataFrame:
             "cc_h1_60": T.snippet(F.col("cc_h1"), 60),
             "cc_meta_200": T.snippet(F.col("cc_meta"), 200),
         }
-    ).drop("cc_words")
-    out = out.withColumn(
-        "cc_flesch", T.flesch_from_counts(F.col("cc_flesch_words"), F.col("cc_sentences"), F.col("cc_syllables"))
     )
+    stages.append({"cc_flesch": T.flesch_from_counts(F.col("cc_flesch_words"), F.col("cc_sentences"), F.col("cc_syllables"))})
     title, meta, ease = F.col("cc_title_length"), F.col("cc_meta_length"), F.col("cc_flesch")
     ratio, words = F.col("cc_boilerplate_ratio"), F.col("cc_word_count")
-    out = out.withColumns(
+    stages.append(
         {
             "cc_title_score": F.when(title == 0, 0).when(title < 10, 8).when(title > 70, 12).otherwise(20),
             "cc_meta_score": F.when(meta == 0, 0).when(meta < 50, 10).when(meta > 160, 14).otherwise(20),
@@ -120,7 +123,12 @@ def features(docs: DataFrame) -> DataFrame:
             "cc_word_score": F.when(words >= 300, 15).when(words >= 100, 8).otherwise(0),
         }
     )
-    return out.withColumn("cc_score", S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0))))
+    stages.append({"cc_score": S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0)))})
+    return stages
+
+
+def features(docs: DataFrame) -> DataFrame:
+    return _features(main_content(docs))
 
 
 def _chars(column: str, name: str, bound: str) -> str:

@@ -47,6 +47,12 @@ def _steps(times: np.ndarray, chunk_start: int, window: int) -> tuple[np.ndarray
     return below[keep], after[keep]
 
 
+def _frame(key: str, keys: list, **numbers) -> pd.DataFrame:
+    """Result rows: the key as plain objects, everything else as 64-bit integers."""
+    columns = {name: np.broadcast_to(np.asarray(v, dtype="int64"), len(keys)).copy() for name, v in numbers.items()}
+    return pd.DataFrame({key: np.array(keys, dtype=object), **columns}).astype({key: object})
+
+
 def accepted_times(points: DataFrame, key: str, window_ms: int, seeds: DataFrame | None = None) -> DataFrame:
     """(key, ms) accepted among distinct (key, ms). ``seeds`` (key, ms) are acceptances before the data."""
     key_type = points.schema[key].dataType.simpleString()
@@ -55,18 +61,18 @@ def accepted_times(points: DataFrame, key: str, window_ms: int, seeds: DataFrame
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = int(pdf["chunk"].iloc[0])
         below, after = _steps(np.sort(pdf["ms"].to_numpy()), chunk * CHUNK_MS, window_ms)
-        return pd.DataFrame({key: pdf[key].iloc[0], "chunk": chunk, "below": below, "after": after})
+        return _frame(key, [pdf[key].iloc[0]] * len(below), chunk=chunk, below=below, after=after)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["chunk", "below"])
         given = pdf.loc[pdf["chunk"] == NEVER, "after"]
         last, rows = (int(given.max()) if len(given) else NEVER), []
         for chunk, part in pdf[pdf["chunk"] != NEVER].groupby("chunk", sort=True):
-            rows.append((pdf[key].iloc[0], chunk, last))
+            rows.append((chunk, last))
             step = int(np.searchsorted(part["below"].to_numpy(), last, side="right"))
             if step < len(part):
                 last = int(part["after"].iloc[step])
-        return pd.DataFrame(rows, columns=[key, "chunk", "entry"])
+        return _frame(key, [pdf[key].iloc[0]] * len(rows), chunk=[r[0] for r in rows], entry=[r[1] for r in rows])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         times, out = np.sort(pdf["ms"].to_numpy()), []
@@ -74,7 +80,7 @@ def accepted_times(points: DataFrame, key: str, window_ms: int, seeds: DataFrame
         while at < len(times):
             out.append(times[at])
             at = int(np.searchsorted(times, times[at] + window_ms, side="right"))
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "ms": np.array(out, dtype="int64")})
+        return _frame(key, [pdf[key].iloc[0]] * len(out), ms=out)
 
     functions = chunked.groupBy(key, "chunk").applyInPandas(steps, f"{key} {key_type}, chunk long, below long, after long")
     if seeds is not None:

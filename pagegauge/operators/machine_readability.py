@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
 from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
+from pagegauge.functions.binding import Stages, staged
 from pagegauge.operators import elements as E
 from pagegauge.operators.rules import Rule, text
 
@@ -17,10 +17,12 @@ SCORES = (
 )
 
 
-def features(docs: DataFrame) -> DataFrame:
+@staged
+def features() -> Stages:
+    stages: Stages = []
     nodes = F.filter("txts", lambda p: p["node"].isNotNull())
     length = lambda p: F.length(p["node"]).cast("bigint")
-    out = docs.withColumns(
+    stages.append(
         {
             "mr_rendered_chars": E.total(nodes, length),
             "mr_covered_chars": E.total(F.filter(nodes, lambda p: p["in_raw"] | ~F.col("has_raw")), length),
@@ -42,7 +44,7 @@ def features(docs: DataFrame) -> DataFrame:
         }
     )
     semantic, div = F.col("mr_semantic_total"), F.col("n_div")
-    out = out.withColumns(
+    stages.append(
         {
             "mr_raw_chars": F.when(F.col("has_raw"), F.coalesce("raw_node_chars", F.lit(0))).otherwise(
                 F.col("mr_rendered_chars")
@@ -72,7 +74,7 @@ def features(docs: DataFrame) -> DataFrame:
         - F.when(F.col("mr_h1_count") == 0, 10).when(F.col("mr_h1_count") > 1, 5).otherwise(0)
         - F.when(F.col("mr_heading_skip"), 5).otherwise(0)
     )
-    out = out.withColumns(
+    stages.append(
         {
             "mr_raw_score": F.when(coverage >= 0.9, 25).when(coverage >= 0.6, 18).when(coverage >= 0.3, 10).otherwise(0),
             "mr_semantic_score": F.when(F.col("mr_semantic_total") == 0, 0)
@@ -85,7 +87,8 @@ def features(docs: DataFrame) -> DataFrame:
             "mr_iframe_score": F.when(iframe < 0.05, 15).when(iframe < 0.2, 8).otherwise(0),
         }
     )
-    return out.withColumn("mr_score", S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0))))
+    stages.append({"mr_score": S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0)))})
+    return stages
 
 
 _PERCENT = "cast(cast(floor({} * 100 + 5e-1) as bigint) as string)"

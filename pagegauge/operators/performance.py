@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagegauge import constants as C
 from pagegauge.functions import html as H
 from pagegauge.functions import scoring as S
+from pagegauge.functions.binding import Stages, staged
 from pagegauge.operators import elements as E
 from pagegauge.operators.rules import Rule, text
 
@@ -26,10 +27,11 @@ def is_blocking_banner(e: Column) -> Column:
     return mentions & (high | pinned | dialog)
 
 
-def timing_features(pages: DataFrame) -> DataFrame:
+@staged
+def timing_features() -> Stages:
     """Scores that need only the ``perf`` struct."""
     perf = lambda name: F.col(f"perf.{name}")
-    return pages.withColumns(
+    return [
         {
             "pf_ttfb": perf("ttfb"),
             "pf_page_size": perf("page_size"),
@@ -41,16 +43,22 @@ def timing_features(pages: DataFrame) -> DataFrame:
             "pf_request_score": S.linear_score(perf("num_requests"), 30, 150, 20),
             "pf_dcl_score": S.linear_score(perf("dom_content_loaded"), 1500, 6000, 15),
         }
-    )
+    ]
+
+
+@staged
+def _banner_features() -> Stages:
+    banners = F.col("pf_banners")
+    return [
+        {"pf_banners": E.count(E.where(is_blocking_banner))},
+        {"pf_banner_score": F.when(banners == 0, 10).when(banners == 1, 5).otherwise(0)},
+        {"pf_score": S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0)))},
+    ]
 
 
 def features(docs: DataFrame) -> DataFrame:
     """Needs the ``perf`` struct next to the nested page row."""
-    out = timing_features(docs).withColumn("pf_banners", E.count(E.where(is_blocking_banner)))
-    out = out.withColumn(
-        "pf_banner_score", F.when(F.col("pf_banners") == 0, 10).when(F.col("pf_banners") == 1, 5).otherwise(0)
-    )
-    return out.withColumn("pf_score", S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0))))
+    return _banner_features(timing_features(docs))
 
 
 _MS = "concat({}, cast(cast({} as bigint) as string), ' ms')"

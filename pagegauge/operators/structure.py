@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagegauge import constants as C
 from pagegauge.functions import html as H
 from pagegauge.functions import text as T
+from pagegauge.functions.binding import Stages, staged
 
 # Elements the checks look at; the rest are only counted, unless an attribute below makes them matter.
 CHECKED_TAGS = (
@@ -136,100 +137,115 @@ def tag_counts(captures: DataFrame, tags: tuple[str, ...], html: str = "rendered
     )
 
 
-def page_documents(captures: DataFrame, partitioned: bool = False) -> DataFrame:
-    """One nested row per page, the input of every check.
+_DOC = ("page_id", "raw")
 
-    ``els``   checked elements in document order, with half-open index ranges into ``txts``
-              (t0..t1), into its non-blank entries (n0..n1) and keyword-bearing entries (k0..k1)
-    ``txts``  text pieces in document order
-    Index ranges come from running counts, so the text below an element is a slice or a difference of
-    two counts, never a join of elements with text.
-    """
-    doc = ("page_id", "raw")
-    rows = _with_text(_document_tokens(captures, partitioned), *doc)
-    tag, kind, txt = F.col("tag"), F.col("kind"), F.col("txt")
-
-    running = Window.partitionBy(*doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
-    def depth(*tags):
-        inside = tag.isin(*tags)
-        return F.sum(F.when(inside & (kind == "open"), 1).when(inside & (kind == "close"), -1).otherwise(0)).over(running)
+@staged
+def _counts_and_marks() -> Stages:
+    """Running counts before each token, nesting flags, and the attributes of checked elements."""
+    tag, kind, txt = F.col("tag"), F.col("kind"), F.col("txt")
+    running = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
     def before(flag):
         one = F.when(flag, 1).otherwise(0)
         return F.sum(one).over(running) - one
 
-    blank = T.trim(txt) == ""
-    lead = F.length(txt) - F.length(F.ltrim(txt, F.lit(C.WHITESPACE_CHARS)))
-    core = F.length(T.trim(txt))
-    length = F.coalesce(F.length(txt), F.lit(0))
-    chars = F.sum(length).over(running) - length
-    rows = rows.select(
-        *doc, "pos", "tok", "tag", "kind", "txt", "node",
-        before(txt.isNotNull()).alias("t"),
-        before(~blank).alias("n"),
-        before(txt.rlike(C.COOKIE_PATTERN)).alias("k"),
-        (depth("label") > 0).alias("in_label"),
-        (depth(*C.BOILERPLATE_TAGS) > 0).alias("in_boiler"),
-        (depth("template") > 0).alias("in_template"),
-        F.max(F.when((kind == "open") & (tag == "body"), 2).when((kind == "close") & (tag == "head"), 1).otherwise(0))
-        .over(running).alias("body_mark"),
-        F.when(~blank, chars + lead).alias("first"),
-        F.when(~blank, chars + lead + core).alias("last"),
-        (
-            kind.isin("open", "script", "style", "rawtext")
-            & (tag.isin(*CHECKED_TAGS) | F.col("tok").rlike(CHECKED_ATTRIBUTES))
-            & ~F.col("raw")
-        ).alias("checked"),
-    )
-    rows = rows.withColumn("attrs", F.when(F.col("checked"), H.attributes(F.col("tok"))))
-
-    # One window answers both set-membership questions of a page: is this rendered text node also in
-    # the raw document, and does some label point at this input's id.
-    key = F.when(F.col("node").isNotNull(), F.concat(F.lit("t"), F.col("node"))).when(
-        F.col("checked") & tag.isin("label", "input", "textarea", "select"),
-        F.concat(F.lit("i"), F.when(tag == "label", H.attr(F.col("attrs"), "for")).otherwise(H.attr(F.col("attrs"), "id"))),
-    )
+    def inside(*tags):
+        step = F.when(tag.isin(*tags), F.when(kind == "open", 1).when(kind == "close", -1)).otherwise(0)
+        return F.sum(F.coalesce(step, F.lit(0))).over(running) > 0
+
+    starts = kind.isin("open", "script", "style", "rawtext")
+    mark = F.when((kind == "open") & (tag == "body"), 2).when((kind == "close") & (tag == "head"), 1).otherwise(0)
+    core, all_chars = F.length("core"), F.coalesce(F.length(txt), F.lit(0))
+    return [
+        {
+            "core": T.trim(txt),
+            "lead": F.length(txt) - F.length(F.ltrim(txt, F.lit(C.WHITESPACE_CHARS))),
+            "is_text": txt.isNotNull(),
+            "mentions": F.coalesce(txt.rlike(C.COOKIE_PATTERN), F.lit(False)),
+            "checked": starts & ~F.col("raw") & (tag.isin(*CHECKED_TAGS) | F.col("tok").rlike(CHECKED_ATTRIBUTES)),
+        },
+        {"is_solid": F.coalesce(core > 0, F.lit(False)), "attrs": F.when(F.col("checked"), H.attributes(F.col("tok")))},
+        {
+            "t": before(F.col("is_text")),
+            "n": before(F.col("is_solid")),
+            "k": before(F.col("mentions")),
+            "chars": F.sum(all_chars).over(running) - all_chars,
+            "in_label": inside("label"),
+            "in_boiler": inside(*C.BOILERPLATE_TAGS),
+            "in_template": inside("template"),
+            "body_mark": F.max(mark).over(running),
+        },
+        {
+            "first": F.when(F.col("is_solid"), F.col("chars") + F.col("lead")),
+            "last": F.when(F.col("is_solid"), F.col("chars") + F.col("lead") + core),
+        },
+    ]
+
+
+@staged
+def _shared_keys() -> Stages:
+    """One window answers both set-membership questions of a page: is this rendered text node also in the
+    raw document, and does some label point at this input's id."""
+    tag = F.col("tag")
     same_key = Window.partitionBy("page_id", "key")
-    rows = (
-        rows.withColumn("key", key)
-        .withColumn("in_raw", F.max("raw").over(same_key))
-        .withColumn("labelled", F.max(tag.eqNullSafe(F.lit("label")) & F.col("checked")).over(same_key) & F.col("key").isNotNull())
+    target = F.when(tag == "label", H.attr(F.col("attrs"), "for")).otherwise(H.attr(F.col("attrs"), "id"))
+    key = F.when(F.col("node").isNotNull(), F.concat(F.lit("t"), F.col("node"))).when(
+        F.col("checked") & tag.isin("label", "input", "textarea", "select"), F.concat(F.lit("i"), target)
     )
+    is_label = F.coalesce((tag == "label") & F.col("checked"), F.lit(False))
+    return [
+        {"key": key},
+        {"in_raw": F.max("raw").over(same_key), "labelled": F.max(is_label).over(same_key) & F.col("key").isNotNull()},
+    ]
 
-    nested = with_nesting(rows, *doc)
-    by_level = Window.partitionBy(*doc, "tag", "level").orderBy("pos")
 
-    def at_close(name):
-        return F.when(F.col("is_container"), F.lead(name).over(by_level)).otherwise(
-            F.col(name) + F.when(F.col(name_flag[name]), 1).otherwise(0)
-        )
+@staged
+def _counts_at_close() -> Stages:
+    """Running counts where each element ends; a void or raw-text element covers only its own text."""
+    by_level = Window.partitionBy(*_DOC, "tag", "level").orderBy("pos")
+    own = {"t": "is_text", "n": "is_solid", "k": "mentions"}
+    return [
+        {
+            f"{c}1": F.when(F.col("is_container"), F.lead(c).over(by_level)).otherwise(F.col(c) + F.col(flag).cast("int"))
+            for c, flag in own.items()
+        }
+    ]
 
-    # A raw-text or void element covers only its own text.
-    nested = nested.withColumn("own_t", txt.isNotNull()).withColumn("own_n", F.coalesce(~blank, F.lit(False))).withColumn(
-        "own_k", F.coalesce(txt.rlike(C.COOKIE_PATTERN), F.lit(False))
-    )
-    name_flag = {"t": "own_t", "n": "own_n", "k": "own_k"}
-    nested = nested.withColumns({f"{c}1": at_close(c) for c in name_flag})
 
+def page_documents(captures: DataFrame, partitioned: bool = False) -> DataFrame:
+    """One nested row per page, the input of every check.
+
+    ``els``   checked elements in document order, with half-open index ranges into ``txts``
+              (t0..t1), into its non-blank entries (n0..n1) and keyword-bearing entries (k0..k1)
+    ``txts``  text pieces in document order
+    Index ranges come from running counts, so the text below an element is a slice or a difference of
+    two counts, never a join of elements with text.
+    """
+    rows = _counts_and_marks(_with_text(_document_tokens(captures, partitioned), *_DOC))
+    nested = _counts_at_close(with_nesting(_shared_keys(rows), *_DOC))
+    tag, kind, rendered = F.col("tag"), F.col("kind"), ~F.col("raw")
+    index = lambda c, name: F.col(c).cast("int").alias(name)
     element = F.struct(
-        "pos", "tag", "attrs", F.col("t").cast("int").alias("t0"), F.col("t1").cast("int").alias("t1"),
-        F.col("n").cast("int").alias("n0"), F.col("n1").cast("int").alias("n1"),
+        "pos", "tag", "attrs", index("t", "t0"), index("t1", "t1"), index("n", "n0"), index("n1", "n1"),
         F.col("k").alias("k0"), "k1", "in_label", "labelled", F.length("tok").alias("size"),
     )
     piece = F.struct(
-        "pos", F.col("txt").alias("s"), "node", "in_raw", "tag", "in_boiler", "in_template", "body_mark",
-        "first", "last",
+        "pos", F.col("txt").alias("s"), "node", "in_raw", "tag", "in_boiler", "in_template", "body_mark", "first", "last"
     )
-    counted = {t: F.count_if((tag == t) & kind.isin("open", "rawtext") & ~F.col("raw")).cast("int") for t in ("div", *C.SEMANTIC_TAGS)}
+    starts = kind.isin("open", "rawtext") & rendered
+    is_title = (tag == "title") & (kind == "rawtext")
+    size = F.coalesce(F.length("tok"), F.lit(0))
     grouped = nested.groupBy("page_id").agg(
-        F.sum(F.when(~F.col("raw"), F.coalesce(F.length("tok"), F.lit(0))).otherwise(0)).alias("html_chars"),
+        F.sum(F.when(rendered, size).otherwise(0)).alias("html_chars"),
         F.sum(F.when(F.col("raw"), F.length("node"))).alias("raw_node_chars"),
-        F.max(F.col("raw")).alias("has_raw"),
-        F.max(F.when(~F.col("raw"), F.col("body_mark"))).alias("body_kind"),
-        F.count_if(txt.rlike(C.COOKIE_PATTERN) & ~F.col("raw")).alias("k_total"),
-        *[n.alias(f"n_{t}") for t, n in counted.items()],
+        F.max("raw").alias("has_raw"),
+        F.min_by("core", F.when(is_title & F.col("raw"), F.col("pos"))).alias("raw_title"),
+        F.min_by("core", F.when(is_title & rendered, F.col("pos"))).alias("rendered_title"),
+        F.max(F.when(rendered, F.col("body_mark"))).alias("body_kind"),
+        F.count_if(F.col("mentions") & rendered).alias("k_total"),
+        *[F.count_if((tag == t) & starts).cast("int").alias(f"n_{t}") for t in ("div", *C.SEMANTIC_TAGS)],
         F.array_sort(F.collect_list(F.when(F.col("checked"), element))).alias("els"),
-        F.array_sort(F.collect_list(F.when(txt.isNotNull() & ~F.col("raw"), piece))).alias("txts"),
+        F.array_sort(F.collect_list(F.when(F.col("is_text") & rendered, piece))).alias("txts"),
     )
     return grouped.withColumn("solid", F.filter("txts", lambda p: p["first"].isNotNull()))

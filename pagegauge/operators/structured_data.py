@@ -9,6 +9,7 @@ from pagegauge import constants as C
 from pagegauge.functions import html as H
 from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
+from pagegauge.functions.binding import Stages, staged
 from pagegauge.operators import elements as E
 from pagegauge.operators.rules import Rule, text
 
@@ -71,7 +72,8 @@ def is_json(raw: Column) -> Column:
     return wrapped_object.isNotNull() & (F.size(wrapped_object) == 1) & wrapped_array.isNotNull() & (F.size(wrapped_array) == 1)
 
 
-def json_ld_blocks(docs: DataFrame) -> DataFrame:
+@staged
+def json_ld_blocks() -> Stages:
     """Add ``sd_blocks``: array of (raw, valid, types, has_context) per non-blank JSON-LD script."""
     scripts = E.where(E.tag_in("script"), lambda e: H.attr_is_ci(e["attrs"], "type", "application/ld+json"))
     raws = F.filter(F.transform(scripts, E.text_of), lambda s: T.trim(s) != "")
@@ -85,17 +87,19 @@ def json_ld_blocks(docs: DataFrame) -> DataFrame:
             (valid & json_ld_has_context(raw)).alias("has_context"),
         )
 
-    return docs.withColumn("sd_raws", raws).withColumn("sd_blocks", F.transform("sd_raws", block)).drop("sd_raws")
+    return [{"sd_raws": raws}, {"sd_blocks": F.transform("sd_raws", block)}]
 
 
-def features(docs: DataFrame) -> DataFrame:
+@staged
+def _features() -> Stages:
+    stages: Stages = []
     meta = E.tag_in("meta")
     og = E.where(
         meta,
         lambda e: F.coalesce(F.startswith(H.attr(e["attrs"], "property"), F.lit("og:")), F.lit(False)),
         lambda e: H.present(H.attr(e["attrs"], "content")),
     )
-    out = json_ld_blocks(docs).withColumns(
+    stages.append(
         {
             "sd_block_count": F.size("sd_blocks").cast("int"),
             "sd_valid_count": F.size(F.filter("sd_blocks", lambda b: b["valid"])).cast("int"),
@@ -134,7 +138,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     missing = F.array_compact(F.array(*[F.when(og_value(n).isNull(), F.lit(n)) for n in C.REQUIRED_OG]))
     known = F.array(*[F.lit(t) for t in C.KNOWN_SCHEMA_TYPES])
-    out = out.withColumns(
+    stages.append(
         {
             "sd_og_missing": missing,
             "sd_og_title": F.coalesce(og_value("og:title"), F.lit("")),
@@ -144,7 +148,7 @@ def features(docs: DataFrame) -> DataFrame:
         }
     )
     both = (F.col("sd_og_title") != "") & (F.col("sd_title") != "")
-    out = out.withColumns(
+    stages.append(
         {
             "sd_og_count": (F.lit(len(C.REQUIRED_OG)) - F.size("sd_og_missing")).cast("int"),
             "sd_og_missing_list": F.array_join("sd_og_missing", ", "),
@@ -155,7 +159,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
     valid, types = F.col("sd_valid_count") > 0, F.col("sd_type_count") > 0
     one_title = (F.col("sd_og_title") != "") | (F.col("sd_title") != "")
-    out = out.withColumns(
+    stages.append(
         {
             "sd_json_ld_score": F.when(
                 valid,
@@ -176,7 +180,12 @@ def features(docs: DataFrame) -> DataFrame:
             .otherwise(0),
         }
     )
-    return out.withColumn("sd_score", S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0))))
+    stages.append({"sd_score": S.clamp_score(sum((F.col(c) for c in SCORES), F.lit(0)))})
+    return stages
+
+
+def features(docs: DataFrame) -> DataFrame:
+    return _features(json_ld_blocks(docs))
 
 
 RULES = [

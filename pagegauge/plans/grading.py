@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegauge import constants as C
+from pagegauge.functions.binding import Stages, staged
+from pagegauge.functions import html as H
 from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
 from pagegauge.functions import urls as U
@@ -21,7 +22,9 @@ SITE_DIMENSIONS = tuple(d for d in REGISTRY if d.per_site)
 def page_rows(captures: DataFrame, partitioned: bool = False) -> DataFrame:
     """Nested page rows plus the capture's scalar columns (one narrow extra read, no html)."""
     meta = captures.select("page_id", "url", "final_url", "perf", "captured_at")
-    return structure.page_documents(captures, partitioned).join(meta, "page_id")
+    raw_title = F.when(F.col("has_raw"), F.col("raw_title")).otherwise(F.col("rendered_title"))
+    docs = structure.page_documents(captures, partitioned).withColumn("page_title", F.nullif(raw_title, F.lit("")))
+    return docs.join(meta, "page_id")
 
 
 def page_features(captures: DataFrame, *prefixes: str) -> DataFrame:
@@ -46,34 +49,34 @@ def signal_features(captures: DataFrame, site_files: DataFrame) -> DataFrame:
     return agent_signals.features(with_site(pages, captures, agent_signals.site_features(site_files)))
 
 
-def page_title(raw_title: Column) -> Column:
-    return F.nullif(raw_title, F.lit(""))
-
-
 def raw_titles(captures: DataFrame) -> DataFrame:
     """(page_id, page_title): first title of the raw document, NULL if missing or blank."""
-    first = F.regexp_extract_all(
-        F.col("raw_html"), F.lit(C.TOKEN_PATTERN), F.lit(0)
-    )
-    titles = F.filter(first, lambda t: t.rlike(r"^<(?i:title)[\s/>]"))
-    from pagegauge.functions import html as H
-
+    titles = F.filter(H.tokens(F.col("raw_html")), lambda t: t.rlike(r"^<(?i:title)[\s/>]"))
     text = T.trim(T.decode_entities(H.raw_body(F.try_element_at(titles, F.lit(1)))))
-    return captures.select("page_id", page_title(text).alias("page_title"))
+    return captures.select("page_id", F.nullif(text, F.lit("")).alias("page_title"))
+
+
+@staged
+def _page_findings() -> Stages:
+    return [{d.findings: finding_columns(d.rules) for d in PAGE_DIMENSIONS}]
+
+
+@staged
+def _verdict() -> Stages:
+    overall = S.overall_score({d.name: F.col(d.score) for d in REGISTRY})
+    findings = {d.findings: finding_columns(d.rules) for d in SITE_DIMENSIONS}
+    return [{**findings, "overall_score": overall}, {"grade": S.grade(F.col("overall_score"))}]
 
 
 def graded_pages(captures: DataFrame, site_files: DataFrame) -> DataFrame:
     """One row per page: six scores, overall score, grade, six finding arrays and the site bodies."""
     pages = page_features(captures)
-    pages = pages.withColumns({d.findings: finding_columns(d.rules) for d in PAGE_DIMENSIONS})
+    pages = _page_findings(pages)
     keep = [d.score for d in PAGE_DIMENSIONS] + [d.findings for d in PAGE_DIMENSIONS]
-    slim = pages.select("page_id", "url", "final_url", "captured_at", *keep)
+    slim = pages.select("page_id", "url", "final_url", "captured_at", "page_title", *keep)
     site = agent_signals.site_features(site_files)
     joined = agent_signals.features(with_site(slim, captures, site))
-    joined = joined.withColumns({d.findings: finding_columns(d.rules) for d in SITE_DIMENSIONS})
-    overall = S.overall_score({d.name: F.col(d.score) for d in REGISTRY})
-    out = joined.withColumn("overall_score", overall).withColumn("grade", S.grade(F.col("overall_score")))
-    return out.select(
-        "page_id", "url", "final_url", "origin", "captured_at", "robots", "llms", "sitemap", "overall_score", "grade",
+    return _verdict(joined).select(
+        "page_id", "url", "final_url", "origin", "captured_at", "page_title", "robots", "llms", "sitemap", "overall_score", "grade",
         *[d.score for d in REGISTRY], *[d.findings for d in REGISTRY],
     )

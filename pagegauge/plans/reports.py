@@ -147,8 +147,7 @@ def row_id(prefix: str, kind: str, key: Column) -> Column:
 
 def build_reports(captures: DataFrame, site_files: DataFrame, insights: DataFrame | None = None) -> DataFrame:
     """One report row per capture. ``insights`` may add (page_id, verdict, quick_wins)."""
-    graded = with_findings(grading.graded_pages(captures, site_files))
-    rows = graded.join(grading.raw_titles(captures), "page_id", "left")
+    rows = with_findings(grading.graded_pages(captures, site_files))
     if insights is None:
         rows = rows.withColumns(
             {"verdict": F.lit(None).cast("string"), "quick_wins": F.lit(None).cast("array<string>")}
@@ -215,9 +214,7 @@ def insight_payload() -> Column:
 
 def insight_requests(captures: DataFrame, site_files: DataFrame) -> DataFrame:
     """(page_id, request): the fenced payload per page, as a table export."""
-    rows = with_findings(grading.graded_pages(captures, site_files)).join(
-        grading.raw_titles(captures), "page_id", "left"
-    )
+    rows = with_findings(grading.graded_pages(captures, site_files))
     lines = [F.lit(line) for line in REQUEST_LINES] + [F.lit(DATA_OPEN), insight_payload(), F.lit(DATA_CLOSE)]
     return rows.select("page_id", F.concat_ws("\n", *lines).alias("request"))
 
