@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Pages grow tenfold when parsed, so partitions of page text may be smaller than the default 1 MB.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+    # The windows leave pages sorted, so the per-page aggregate can stream one page at a time.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
     # Call-site capture costs several JVM round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
