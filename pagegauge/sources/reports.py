@@ -31,7 +31,7 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 def escape_for_html(json: Column) -> Column:
     """Escape a JSON text so that it can stand inside an HTML script element."""
     out = json
-    for char, escape in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for char, escape in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         out = F.replace(out, F.lit(char), F.lit(escape))
     return out
 

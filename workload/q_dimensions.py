@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
-from pagegauge.operators import agent_signals, content_clarity, performance, structured_data
+from pagegauge.operators import agent_signals, performance, structured_data
 from pagegauge.operators import structure
 from pagegauge.plans import grading
 from workload import feature_ctes  # noqa: F401  (fills the CTE table)
-from workload.ctes import inlist, lit
 from workload.feature_ctes import flesch_ctes
 from workload.registry import query
 

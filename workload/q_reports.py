@@ -10,7 +10,7 @@ from pagegauge.plans import grading, reports as R
 from pagegauge.plans.dimensions import REGISTRY
 from pagegauge.session import shared_dir
 from pagegauge.sources import reports as store
-from workload.ctes import CTES, inlist, lit, trim
+from workload.ctes import CTES, lit, trim
 from workload.registry import query
 
 _SCORES = [d.score for d in REGISTRY]

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
-from pagegauge.operators import greedy, timelines
-from pagegauge.plans import reports as R
+from pagegauge.operators import timelines
 from pagegauge.session import shared_dir
 from pagegauge.streaming import deadlines, dedupe, grading as stream_grading, windows
-from workload import q_jobs, q_reports
+from workload import q_jobs, q_reports  # noqa: F401  (both fill the CTE table)
 from workload.ctes import CTES
 from workload.inputs import Tables
 from workload.registry import query

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
@@ -11,7 +9,7 @@ from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
 from pagegauge.operators import agent_signals, elements as E, structure
 from pagegauge.plans import grading
-from workload.ctes import collapse, inlist, jaccard, linear_sql, snip, trim
+from workload.ctes import inlist, jaccard, linear_sql, snip, trim
 from workload.registry import query
 
 
