@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagegauge.llm import mixing, multiset_hash, simhash
+from pagegauge.llm import line_dedup, mixing, multiset_hash, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The deleted lines, spelled out: every shortest window of at least eight words that starts or ends at a line, as a string;
+# all but the first place of equal windows go. The operator ranks line ids instead and never builds the strings.
+LINE_DEDUP_SQL = r"""
+with ln as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents),
+w as (
+  select *, sum(words) over (partition by doc_id order by pos) as upto from (
+    select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from ln)),
+win as (
+  select a.doc_id, a.pos as s, min(b.pos) as e from w a join w b on a.doc_id = b.doc_id and b.pos >= a.pos and b.upto >= a.upto - a.words + 8 group by all
+  union
+  select b.doc_id, max(a.pos) as s, b.pos as e from w a join w b on a.doc_id = b.doc_id and b.pos >= a.pos and b.upto >= a.upto - a.words + 8 group by all),
+keyed as (
+  select win.doc_id, s, e, string_agg(line, chr(10) order by pos) as body from win join w on w.doc_id = win.doc_id and pos between s and e group by all),
+later as (select * from (select *, row_number() over (partition by body order by doc_id, s) as nth from keyed) where nth > 1),
+gone as (select distinct w.doc_id, w.pos from w join later on later.doc_id = w.doc_id and w.pos between s and e)
+select d.doc_id, count(*) as n_lines, count(gone.pos) as n_deleted,
+  coalesce(string_agg(ln.line, chr(10) order by ln.pos) filter (gone.pos is null), '') as text
+from documents d join ln on ln.doc_id = d.doc_id left join gone on gone.doc_id = ln.doc_id and gone.pos = ln.pos
+group by d.doc_id
+"""
+
+
+@query("op1_line_dedup", LINE_DEDUP_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint"))
+    deleted = F.aggregate(F.coalesce("runs", F.array().cast("array<struct<start:bigint,end:bigint>>")), F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return line_dedup.dedup_lines(docs, min_words=8).select("doc_id", "n_lines", deleted.alias("n_deleted"), "text")
+
+
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
