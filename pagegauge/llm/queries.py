@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegauge.llm import html_text, licenses, line_dedup, mixing, multiset_hash, simhash
+from pagegauge.llm import html_text, licenses, line_dedup, mixing, multiset_hash, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+WARC_SQL = """
+with digits as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, max(page_id) over (partition by coalesce(html, '')) as last,
+    list_transform(range(8), i -> cast('0x' || substr(sha1(coalesce(html, '')), 5 * i + 1, 5) as bigint)) as groups
+  from pages)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(groups, g -> list_aggregate(
+    list_transform([15, 10, 5, 0], s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((g >> s) & 31) + 1 as bigint), 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+  case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to
+from digits
+"""
+
+
+@query("op7_warc", WARC_SQL)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
