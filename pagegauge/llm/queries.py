@@ -86,11 +86,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 WARC_SQL = """
 with digits as (
   select page_id, strlen(coalesce(html, '')) as payload_bytes, max(page_id) over (partition by coalesce(html, '')) as last,
-    list_transform(range(8), i -> cast('0x' || substr(sha1(coalesce(html, '')), 5 * i + 1, 5) as bigint)) as groups
+    list_transform(range(8), lambda i: cast('0x' || substr(sha1(coalesce(html, '')), 5 * i + 1, 5) as bigint)) as groups
   from pages)
 select page_id, payload_bytes,
-  list_aggregate(list_transform(groups, g -> list_aggregate(
-    list_transform([15, 10, 5, 0], s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((g >> s) & 31) + 1 as bigint), 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+  list_aggregate(list_transform(groups, lambda g: list_aggregate(
+    list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((g >> s) & 31) + 1 as bigint), 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
   case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to
 from digits
 """
