@@ -5,11 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # White space of the contracts: space and the five ASCII control characters.
 WORD = r"[^\x20\x09-\x0D]+"
+# Lower-cases A-Z and turns every other ASCII character but 0-9 and a-z into a space.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_CACHE = 1 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -75,3 +80,31 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def folded_words(text: str | None) -> list[bytes]:
+    """Words of a text: runs of ASCII letters and digits and of all other characters, lower case in ASCII."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+class WordHashes(dict):
+    """Hashes of words, kept for the next time; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words, from the hashes of the words."""
+    n = max(0, len(ids) - k + 1)
+    mixed = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        mixed = (mixed ^ ids[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed

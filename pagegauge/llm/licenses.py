@@ -11,21 +11,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagegauge.llm.common import WordHashes, folded_words, gram_hashes
+
 K = 2
 SLACK = 4
 COVERED = 0.8
 # Templates of at most so many words are names, which must stand whole.
 NAME_WORDS = 8
-_CACHE = 1 << 20
 # Stands behind the last k-gram of each document, so that documents without a hit keep a row through the join. Were a k-gram
 # to hash to it, it would only meet the row of template -1 once more.
 _END = -(1 << 63) + 11
-# Lower-cases A-Z and turns every other ASCII character but 0-9 and a-z into a space.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 class Template(NamedTuple):
@@ -63,35 +61,11 @@ NOTICES = (
 TEMPLATES = BASE + NOTICES
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-
-
-def _hashes(tokens: list[bytes], cache: dict[bytes, int], k: int) -> np.ndarray:
-    """A hash of each run of k words."""
-    if len(tokens) < k:
-        return np.zeros(0, dtype=np.uint64)
-    ids = np.empty(len(tokens), dtype=np.uint64)
-    for i, w in enumerate(tokens):
-        h = cache.get(w)
-        if h is None:
-            if len(cache) >= _CACHE:
-                cache.clear()
-            h = cache[w] = xxhash.xxh64_intdigest(w, 7)
-        ids[i] = h
-    n = len(ids) - k + 1
-    mixed = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        mixed = (mixed ^ ids[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return mixed
-
-
 def template_grams(spark: SparkSession, templates: tuple[Template, ...] = TEMPLATES, k: int = K) -> DataFrame:
     """h, template, q: the k-grams of the templates; one row with template -1 meets the end mark of each document."""
     rows = [(_END, -1, 0)]
     for t, template in enumerate(templates):
-        grams = _hashes(words(template.text), {}, k).view(np.int64).tolist()
+        grams = gram_hashes(WordHashes().of(folded_words(template.text)), k).view(np.int64).tolist()
         if not grams:
             raise ValueError(f"a template needs at least {k} words: {template.text!r}")
         rows += [(h, t, q) for q, h in enumerate(grams)]
@@ -102,13 +76,13 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
     """uid, doc_id, n_words, p, h: a row for every word k-gram of every document, and one end mark each."""
 
     def run(batches):
-        cache: dict[bytes, int] = {}
+        cache = WordHashes()
         for batch in batches:
             counts, parts = [], []
             for text in batch["text"]:
-                tokens = words(text.as_py())
+                tokens = folded_words(text.as_py())
                 counts.append(len(tokens))
-                parts += [_hashes(tokens, cache, k).view(np.int64), np.array([_END])]
+                parts += [gram_hashes(cache.of(tokens), k).view(np.int64), np.array([_END])]
             sizes = [len(a) + 1 for a in parts[::2]]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate(parts or [np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch["uid"], batch["doc_id"], pa.array(counts, pa.int64()), lists], ["uid", "doc_id", "n_words", "hs"])
@@ -125,7 +99,7 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int =
     The templates are constants of the program, so the broadcast side is bounded.
     """
     spark = docs.sparkSession
-    grams = [len(words(t.text)) - k + 1 for t in templates]
+    grams = [len(folded_words(t.text)) - k + 1 for t in templates]
     hits = _grams(docs, k).join(F.broadcast(template_grams(spark, templates, k)), "h")
     own = ["uid", "doc_id", "n_words"]
     diagonal = F.when(F.col("template") >= 0, F.col("p") - F.col("q")).otherwise(0)
@@ -163,7 +137,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, covered:
     found = spans(docs, templates)
     names = F.get(F.array(*[F.lit(t.label) for t in templates]), F.col("template"))
     is_base = F.get(F.array(*[F.lit(t.base) for t in templates]), F.col("template"))
-    needed = F.get(F.array(*[F.lit(1.0 if len(words(t.text)) <= NAME_WORDS else covered) for t in templates]), F.col("template"))
+    needed = F.get(F.array(*[F.lit(1.0 if len(folded_words(t.text)) <= NAME_WORDS else covered) for t in templates]), F.col("template"))
     real = F.col("template") >= 0
     marked = found.withColumn("label", F.when(real, names)).withColumn("base", F.when(real, is_base & (F.col("covered") == 1)).otherwise(False))
     joined = lambda when: F.array_join(F.sort_array(F.collect_set(F.when(when, F.col("label")))), ",")
