@@ -14,13 +14,18 @@ TOLERANCE = 1e-6
 BUCKETS = 1024
 
 
+def _mark() -> Column:
+    """A fixed random number of a document."""
+    return F.xxhash64("doc_id", F.col("text").cast("string"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words; 0 for null), u (a fixed random number of the document), row (a row number)."""
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64("doc_id", F.col("text").cast("string")).alias("u"),
+        _mark().alias("u"),
         F.monotonically_increasing_id().alias("row"),
     )
     return stored(rows, "mix-sizes")
@@ -134,13 +139,7 @@ def quotas(classes: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     return table
 
 
-def mix(docs: DataFrame, cycle: int = CYCLE, most: int = MOST) -> DataFrame:
-    """One row (doc_id, size, source_size, target, taken, copies) per document; ``taken`` = size * copies.
-
-    A null text has size 0 and takes nothing; null sources are one source, the last; a null doc_id keeps its row; repeated
-    rows are documents of their own; other columns are ignored; an empty table gives no rows. No document has more than
-    ``most`` copies. Choices hang on hashes of doc_id and text only, so reruns agree.
-    """
+def _mixed(docs: DataFrame, cycle: int, most: int) -> DataFrame:
     rows = sized(docs)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     goals = stored(targets(sources, cycle, most), "mix-targets")
@@ -163,5 +162,38 @@ def mix(docs: DataFrame, cycle: int = CYCLE, most: int = MOST) -> DataFrame:
     copies = F.col("base") + F.when(F.col("at") <= F.col("more"), 1).otherwise(0)
     chosen = ranked.join(shares, group).withColumn("copies", copies.cast("bigint"))
     return chosen.join(goals.select("sid", "source_size", "target"), "sid").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("row").alias("_row")
-    ).drop("_row")
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "u"
+    )
+
+
+def mix(docs: DataFrame, cycle: int = CYCLE, most: int = MOST) -> DataFrame:
+    """One row (doc_id, size, source_size, target, taken, copies) per document; ``taken`` = size * copies.
+
+    A null text has size 0 and takes nothing; null sources are one source, the last; a null doc_id keeps its row; repeated
+    rows are documents of their own; other columns are ignored; an empty table gives no rows. No document has more than
+    ``most`` copies. Choices hang on hashes of doc_id and text only, so reruns agree.
+    """
+    return _mixed(docs, cycle, most).drop("u")
+
+
+def mixture(docs: DataFrame, cycle: int = CYCLE, most: int = MOST) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as it has copies, with all its columns and mix_target, mix_copies, mix_copy.
+
+    ``mix_copy`` counts the copies of a row from 1. Columns of these names in ``docs`` are replaced.
+    """
+    added = ("mix_target", "mix_copies", "mix_copy")
+    same = Window.partitionBy("_d", "_u").orderBy("_c")
+    plan = stored(
+        _mixed(docs, cycle, most).where("copies > 0")
+        .select(F.col("doc_id").alias("_d"), F.col("u").alias("_u"), F.col("copies").alias("_c"), F.col("target").alias("_t")), "mix-plan",
+    )
+    # Rows that repeat id and text are told apart by a number only.
+    plan = plan.withColumn("_n", F.row_number().over(same)).withColumnsRenamed({"_d": "_pd", "_u": "_pu", "_n": "_pn"})
+    keyed = docs.drop(*added).withColumn("_d", F.col("doc_id").cast("bigint")).withColumn("_u", _mark())
+    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_u").orderBy("_d")))
+    joined = keyed.join(plan, F.col("_d").eqNullSafe(F.col("_pd")) & (F.col("_u") == F.col("_pu")) & (F.col("_n") == F.col("_pn")))
+    return (
+        joined.withColumn("mix_target", F.col("_t")).withColumn("mix_copies", F.col("_c"))
+        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"))))
+        .drop("_d", "_u", "_n", "_pd", "_pu", "_pn", "_c", "_t")
+    )
