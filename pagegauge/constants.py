@@ -153,35 +153,27 @@ WHITESPACE_CHARS = (
 WHITESPACE_PATTERN = (
     r"[\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 )
-# amp comes last so that a doubly escaped reference is decoded once.
-ENTITIES = (
-    ("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"),
-    ("&amp;", "&"),
-)
-
 
 def _raw_text_alternatives():
     return "|".join(
-        rf"<(?i:{tag})(?:[\s/][^>]*)?>.*?(?:</(?i:{tag})[^>]*>|\z)" for tag in RAW_TEXT_TAGS
+        rf"<(?i:{tag})(?:[\s/][^>]*+)?+>.*?(?:</(?i:{tag})[^>]*+(?:>|\z)|\z)" for tag in RAW_TEXT_TAGS
     )
 
 
-# One match per token, nothing lost: comment, declaration, raw-text element, tag, text, stray "<".
-# The syntax stays inside what both Java and RE2 accept.
+# One match per token, nothing lost: comment, declaration, raw-text element, tag, text, stray "</".
+# Every repeated group is possessive: the matcher neither recurses on it nor looks at it twice, so the number of
+# attributes or bare "<" in a page has no bound. A tag, comment or declaration that never ends reaches to the end.
+_ATTRIBUTE = r"[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
 TOKEN_PATTERN = (
     r"(?s)<!--.*?(?:-->|\z)"
-    r"|<[!?][^>]*>"
-    r"|" + _raw_text_alternatives() + r"|</?[a-zA-Z][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>"
-    r"|</[^a-zA-Z>][^>]*>"
-    r"|(?:[^<]+|<[^a-zA-Z/!?<])[^<]*(?:<[^a-zA-Z/!?<][^<]*)*"
+    r"|<[!?][^>]*+(?:>|\z)"
+    r"|" + _raw_text_alternatives() + r"|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|" + _ATTRIBUTE + r"|=)*+(?:>|\z)"
+    r"|</(?:>|[^a-zA-Z>][^>]*+(?:>|\z))"
+    r"|(?:[^<]++|<(?![a-zA-Z/!?]))++"
     r"|<"
 )
 TAG_NAME_PATTERN = r"^</?([a-zA-Z][^\s/>]*)"
-ATTRIBUTE_PATTERN = r"[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
+ATTRIBUTE_PATTERN = _ATTRIBUTE
 URL_PATTERN = (
     r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^:/?#]*)"
     r"(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"

@@ -25,7 +25,9 @@ def token_kind(token: Column, tag: Column) -> Column:
     return (
         F.when(F.startswith(token, F.lit("<!--")), "comment")
         .when(token.rlike("^<!(?i:doctype)"), "doctype")
-        .when(token.rlike("^<[!?].*") | token.rlike("^</[^a-zA-Z>]"), "comment")
+        .when(token.rlike("^<[!?]") | token.rlike("^</[^a-zA-Z]"), "comment")
+        # A tag that the page ends in is no tag.
+        .when(tag.isNotNull() & ~F.endswith(token, F.lit(">")) & ~(tag.isin(*C.RAW_TEXT_TAGS) & token.rlike("^<[a-zA-Z][^>]*>")), "comment")
         .when(tag.isNotNull() & closing, "close")
         .when(tag.isin("script", "style"), tag)
         .when(tag.isin(*C.RAW_TEXT_TAGS), "rawtext")
@@ -37,7 +39,9 @@ def token_kind(token: Column, tag: Column) -> Column:
 def raw_body(token: Column) -> Column:
     """Content between the start and end tag of a raw-text element token."""
     body = F.regexp_replace(token, r"^<[^>]*>", "")
-    return F.regexp_replace(body, rf"</(?i:{RAW_TAG_LIST})[^>]*>\z", "")
+    tail = F.substring_index(body, "</", -1)
+    closed = tail.rlike(rf"^(?i:{RAW_TAG_LIST})[^>]*>?\z") & (F.length(tail) < F.length(body))
+    return F.when(closed, F.left(body, F.length(body) - F.length(tail) - 2)).otherwise(body)
 
 
 def attributes(token: Column) -> Column:
@@ -50,7 +54,7 @@ def attributes(token: Column) -> Column:
 
     def pair(part: Column) -> Column:
         value = F.regexp_replace(part, r"^[^=]*=\s*", "")
-        bare = F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        bare = F.when(value.rlike("(?s)^(?:\".*\"|'.*')$") & (F.length(value) > 1), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
         return F.struct(
             F.lower(F.regexp_extract(part, r"^[^\s=]+", 0)).alias("name"),
             F.when(F.contains(part, F.lit("=")), T.decode_entities(bare)).otherwise("").alias("value"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,25 +22,44 @@ def collapse(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, WS + "+", " "))
 
 
+# Characters that numeric references 128 to 159 stand for: those of the Windows code page.
+_C1 = {i: c for i in range(0x80, 0xA0) if (c := bytes([i]).decode("cp1252", "ignore"))}
+# A character reference, or what lies between two.
+REFERENCE_PATTERN = r"&(?:#[0-9]++;?+|#[xX][0-9a-fA-F]++;?+|[a-zA-Z][a-zA-Z0-9]*+;?+)|[^&]++|&"
+
+
 def _numeric_reference(piece: Column) -> Column:
-    digits = F.regexp_extract(piece, "^&#[xX]?0*([0-9a-fA-F]*);$", 1)
-    hex_code = F.when(piece.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+    digits = F.regexp_extract(piece, "^&#[xX]?0*([0-9a-fA-F]*);?$", 1)
+    # More digits than any character has mean no character, however many they are.
+    hex_code = F.when(F.length(digits) > 8, "FFFFFFFF").when(piece.rlike("^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
     code = F.conv(hex_code, 16, 10).cast("bigint")
     char = F.decode(F.unhex(F.lpad(hex_code, 8, "0")), "UTF-32")
     valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, char).otherwise(F.lit("�"))
+    windows = F.create_map(*[F.lit(x) for pair in _C1.items() for x in pair])
+    return F.when(code.between(0x80, 0x9F) & F.map_contains_key(windows, code.cast("int")), F.try_element_at(windows, code.cast("int"))).when(
+        valid, char
+    ).otherwise(F.lit("\ufffd"))
 
 
 def decode_entities(col: Column) -> Column:
-    numeric = r"^&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});$"
-    pieces = F.regexp_extract_all(col, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});|[^&]+|&"), F.lit(0))
+    """Character references decoded once: numeric ones of any length and all named ones.
+
+    A name without its semicolon counts where the public table has it so; unknown names stay as they are.
+    """
+    # The table as one string, split when the query starts: thousands of literals would slow every plan down.
+    names = F.str_to_map(F.lit("\x01".join(f"&{k}\x02{v}" for k, v in html5.items())), F.lit("\x01"), F.lit("\x02"))
+    pieces = F.regexp_extract_all(col, F.lit(REFERENCE_PATTERN), F.lit(0))
     decoded = F.array_join(
-        F.transform(pieces, lambda p: F.when(p.rlike(numeric), _numeric_reference(p)).otherwise(p)), ""
+        F.transform(
+            pieces,
+            lambda p: F.when(~F.startswith(p, F.lit("&")) | (F.length(p) == 1), p)
+            .when(p == "&amp;", "&").when(p == "&nbsp;", "\u00a0").when(p == "&quot;", '"')
+            .when(F.startswith(p, F.lit("&#")), _numeric_reference(p))
+            .otherwise(F.coalesce(F.try_element_at(names, p), p)),
+        ),
+        "",
     )
-    out = F.when(F.contains(col, F.lit("&#")), decoded).otherwise(col)
-    for name, char in C.ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(col, F.lit("&")), out).otherwise(col)
+    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
 
 
 def snippet(col: Column, limit: int = 200) -> Column:
@@ -83,7 +104,7 @@ def jaccard_clarity(left: Column, right: Column) -> Column:
 
 # Fixed values of the reading-ease formula's word and sentence patterns.
 WORD_PATTERN = "[A-Za-zÀ-ÿ]+(?:'[A-Za-zÀ-ÿ]+)*"
-SENTENCE_PATTERN = r"[.!?]+(?: |\z)"
+SENTENCE_PATTERN = "[.!?]+(?:" + WS + r"|\z)"
 SILENT_ENDING = "(?:[^laeiouy]es|ed|[^laeiouy]e)$"
 VOWELS = "[aeiouyà-ÿ]+"
 

@@ -5,6 +5,8 @@ All of them are Column -> Column, so they run inside whichever projection uses t
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,17 +23,48 @@ def _clean(url: Column) -> Column:
     return F.btrim(url, F.lit(_CONTROL))
 
 
+def _host_forms() -> tuple[str, str, str]:
+    """Characters that a host may be disguised with, by the compatibility forms of Unicode: those that stand for one
+    ASCII character, those characters in the same order followed by none for characters that host names ignore, and
+    the ones that stand for several ASCII characters."""
+    single, plain, several = [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        form = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).lower())
+        form = form.replace("\u3002", ".")
+        if form != c and form.isascii() and form.strip():
+            if len(form) == 1:
+                single.append(c)
+                plain.append(form)
+            else:
+                several.append(c)
+    single.append("\uff61")
+    plain.append(".")
+    ignored = "\u00ad\u034f\u180b\u180c\u180d\u200b\u200c\u200d\u2060\ufeff" + "".join(chr(c) for c in range(0xFE00, 0xFE10))
+    return "".join(single) + "\u3002" + ignored, "".join(plain) + ".", "".join(several)
+
+
+_DISGUISED, _PLAIN, _SEVERAL = _host_forms()
+
+
+def canonical_host(host: Column) -> Column:
+    """Lower case, with compatibility forms of ASCII characters (full width, circled, ideographic full stop) made plain."""
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.lower(F.translate(F.lower(host), _DISGUISED, _PLAIN))).otherwise(F.lower(host))
+
+
 def _split(clean: Column) -> Column:
     group = lambda i: F.regexp_extract(clean, C.URL_PATTERN, i)
     return F.struct(
-        F.lower(group(1)).alias("scheme"), group(2).alias("userinfo"), F.lower(group(3)).alias("host"),
+        F.lower(group(1)).alias("scheme"), group(2).alias("userinfo"), canonical_host(group(3)).alias("host"),
         group(4).alias("port"), group(5).alias("path"), group(6).alias("query"), group(7).alias("fragment"),
     )
 
 
 def _well_formed(p: Column) -> Column:
     port_ok = (p["port"] == "") | F.coalesce(p["port"].try_cast("int") <= 65535, F.lit(False))
-    return (p["scheme"] != "") & port_ok & ~p["host"].rlike(r"[\x00-\x20<>^|%\\{}\x7f]")
+    # Characters that stand for several ASCII ones could spell any name, so such hosts are refused.
+    plain = F.translate(p["host"], _SEVERAL, "") == p["host"]
+    return (p["scheme"] != "") & port_ok & ~p["host"].rlike(r"[\x00-\x20<>^|%\\{}\x7f]") & plain
 
 
 def parts(url: Column) -> Column:
@@ -45,8 +78,29 @@ def shape_ok(url: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def encoded_path(path: Column) -> Column:
-    """Percent-encode what a browser would encode in a path; an empty path is ``/``."""
+def without_dots(path: Column) -> Column:
+    """Path with ``.`` and ``..`` segments resolved as a browser does; ``%2e`` is a dot."""
+    last = F.regexp_replace(F.regexp_replace(path, r"(?i)%2e", "."), r"(^|/)(\.\.?)$", "$1$2/")
+
+    def step(done: Column, segment: Column) -> Column:
+        return (
+            F.when(segment == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(segment == ".", done)
+            .otherwise(F.array_append(done, segment))
+        )
+
+    # The empty segment before the first slash is not a folder.
+    folders = F.split(F.regexp_replace(last, "^/", ""), "/")
+    resolved = F.aggregate(folders, F.array().cast("array<string>"), step, lambda done: F.concat(F.lit("/"), F.array_join(done, "/")))
+    return F.when(path.rlike(r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"), resolved).otherwise(path)
+
+
+def encoded_path(raw: Column) -> Column:
+    """Percent-encode what a browser would encode in a path and resolve its dots; an empty path is ``/``."""
+    return let(without_dots(raw), _encoded)
+
+
+def _encoded(path: Column) -> Column:
     unsafe = r"[^\x21\x24-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E]+"
     chunks = F.regexp_extract_all(path, F.lit(unsafe + r"|[\x21\x24-\x3B\x3D\x40-\x5F\x61-\x7A\x7C\x7E]+"), F.lit(0))
     encoded = F.array_join(

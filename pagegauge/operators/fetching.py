@@ -10,18 +10,19 @@ from pagegauge.functions import ips
 from pagegauge.functions import urls as U
 from pagegauge.functions.binding import let
 
-# -- fixed values: public failure sentences -----------------------------------------------------
-BLOCKED_MESSAGE = "This URL is not allowed for analysis."
+# What a caller is told for each failure class; classes that are not listed count as unreachable.
+_REFUSED = "Pages at this address are not graded."
 MESSAGES = {
-    "blocked-host": BLOCKED_MESSAGE,
-    "invalid-url": BLOCKED_MESSAGE,
-    "dns-failed": "The site's DNS name could not be resolved.",
-    "too-many-redirects": "The site redirected too many times.",
-    "response-too-large": "The page is too large to analyze.",
-    "timeout": "The site took too long to respond.",
+    "blocked-host": _REFUSED,
+    "invalid-url": _REFUSED,
+    "dns-failed": "No address is known for the host name.",
+    "too-many-redirects": "The address forwards again and again.",
+    "response-too-large": "The answer is larger than the limit.",
+    "timeout": "No answer came in time.",
 }
-HTTP_ERROR = "The site returned an error."
-UNREACHABLE = "The site could not be reached."
+HTTP_ERROR = "The server answered with an error."
+HTTP_STATUS = "The server answered with status "
+UNREACHABLE = "The server gave no answer."
 
 
 def validate(urls: DataFrame, column: str = "url") -> DataFrame:
@@ -32,7 +33,7 @@ def validate(urls: DataFrame, column: str = "url") -> DataFrame:
 def host_verdicts(hosts: DataFrame, host_ips: DataFrame) -> DataFrame:
     """(host, verdict, blocked_ip): dns-failed without a record, blocked-host if any record is not public.
 
-    Literal addresses need no record. ``hosts`` may repeat a host; the result has one row per host.
+    Literal addresses need no record and are judged themselves. ``hosts`` may repeat a host; the result has one row per host.
     """
     distinct = hosts.select("host").distinct()
     blocked = let(ips.classify(F.col("ip")), lambda reason: reason.isNotNull())
@@ -40,26 +41,29 @@ def host_verdicts(hosts: DataFrame, host_ips: DataFrame) -> DataFrame:
         F.min(F.when(blocked, F.col("ip"))).alias("blocked_ip"),
         F.count("ip").alias("records"),
     )
-    literal = F.col("host").rlike(r"^\[?[0-9a-fA-F:.]+\]?$")
+    own = F.col("own")
     verdict = (
-        F.when(literal, F.lit("ok"))
+        F.when(own.isNull(), F.lit("ok"))
+        .when(own != "invalid-url", F.lit("blocked-host"))
         .when(F.coalesce("records", F.lit(0)) == 0, F.lit("dns-failed"))
         .when(F.col("blocked_ip").isNotNull(), F.lit("blocked-host"))
         .otherwise(F.lit("ok"))
     )
-    return distinct.join(judged, "host", "left").select(
-        "host", verdict.alias("verdict"), F.when(verdict == "blocked-host", F.col("blocked_ip")).alias("blocked_ip")
-    )
+    # The class of the host as an address; a name is no address ("invalid-url"), whatever letters it is made of.
+    joined = distinct.join(judged, "host", "left").withColumn("own", ips.classify(F.col("host"))).withColumn("verdict", verdict)
+    shown = F.when(F.col("verdict") == "blocked-host", F.when(own == "invalid-url", F.col("blocked_ip")).otherwise(F.col("host")))
+    return joined.select("host", "verdict", shown.alias("blocked_ip"))
 
 
 def resolve_redirects(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Follow redirect edges from ``url``: adds ``final_url``, ``hops`` and ``reason``.
 
-    Every address on the way is screened; a sixth hop fails. The depth is fixed, so the chain is six plain
+    Every address on the way is screened; a sixth hop fails. Of several edges from one address the smallest counts. The depth is fixed, so the chain is six plain
     joins on the edge table, each keyed by the current address.
     """
-    hop = edges.where(F.col("to_url").isNotNull()).select(
-        F.col("from_url").alias("_at"), F.col("to_url").alias("_next"), F.lit(0).alias("_salt")
+    hop = (
+        edges.where(F.col("to_url").isNotNull()).groupBy(F.col("from_url").alias("_at")).agg(F.min("to_url").alias("_next"))
+        .withColumn("_salt", F.lit(0))
     )
 
     def refused(url: Column) -> Column:
@@ -96,7 +100,7 @@ def failure_class(reason: Column, status: Column) -> tuple[Column, Column]:
     """(permanent, public message) of a failed fetch."""
     client_error = F.coalesce((reason == "http-error") & status.between(400, 499), F.lit(False))
     message = F.lit(UNREACHABLE)
-    chain = F.when(reason == "http-error", F.when(status.isNotNull(), F.concat(F.lit("The site returned HTTP "), status.cast("string"), F.lit("."))).otherwise(HTTP_ERROR))
+    chain = F.when(reason == "http-error", F.when(status.isNotNull(), F.concat(F.lit(HTTP_STATUS), status.cast("string"), F.lit("."))).otherwise(HTTP_ERROR))
     for name, sentence in MESSAGES.items():
         chain = chain.when(reason == name, sentence)
     return reason.isin("invalid-url", "blocked-host") | client_error, chain.otherwise(message)

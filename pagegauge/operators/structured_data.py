@@ -17,16 +17,16 @@ SCORES = (
     "sd_json_ld_score", "sd_og_score", "sd_twitter_score", "sd_microdata_score",
     "sd_canonical_score", "sd_hreflang_score", "sd_alignment_score",
 )
-_STRING = r'"(?:[^"\\]|\\.)*"'
-# Inside a JSON string the quotes of a look-alike key are escaped, so only real keys match.
-TYPE_KEY_PATTERN = rf'[{{,]\s*"@type"\s*:\s*({_STRING}|\[[^\]]*\])'
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+# Quotes inside the strings of valid JSON are escaped, so only real keys match; a list ends at its own bracket.
+_TYPE_KEY = rf'[{{,]\s*"@type"\s*:\s*({_STRING}|\[(?:{_STRING}|[^\]"])*+\])'
 
 
 def json_ld_types(raw: Column) -> Column:
     """Every ``@type`` string of a JSON text, at any depth."""
-    values = F.regexp_extract_all(raw, F.lit(TYPE_KEY_PATTERN), F.lit(1))
+    values = F.regexp_extract_all(raw, F.lit(_TYPE_KEY), F.lit(1))
     quoted = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(_STRING), F.lit(0))))
-    return F.transform(quoted, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    return F.transform(quoted, lambda q: F.coalesce(F.try_variant_get(F.try_parse_json(q), "$", "string"), q))
 
 
 def _context_is_text(node: Column) -> Column:
@@ -40,22 +40,24 @@ def _context_is_text(node: Column) -> Column:
 
 
 def json_ld_has_context(raw: Column) -> Column:
-    """A string ``@context`` on the top-level object, or on an object of (nested) top-level arrays."""
+    """A string ``@context`` on the top-level object, or on an object of top-level arrays nested to any depth."""
     none = F.array().cast("array<variant>")
 
-    def items(node):
-        return F.coalesce(F.try_variant_get(node, "$", "array<variant>"), none)
+    def opened(nodes: Column) -> Column:
+        return F.flatten(F.transform(nodes, lambda n: F.coalesce(F.try_variant_get(n, "$", "array<variant>"), F.array(n))))
 
     top = F.try_parse_json(raw)
+    # Arrays nest no deeper than there are opening brackets.
+    depth = F.length(raw) - F.length(F.replace(raw, F.lit("["), F.lit("")))
+    nodes = F.when(F.startswith(T.trim(raw), F.lit("[")), F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.array(top), lambda n, _: opened(n))).otherwise(
+        F.array(top)
+    )
     # A variant cannot hold repeated keys; such objects are read as plain text columns instead.
     plain = F.from_json(raw, "struct<`@context`:string>")["@context"]
     plain_text = plain.isNotNull() & ~F.startswith(plain, F.lit("{")) & (
         ~F.startswith(plain, F.lit("[")) | F.contains(plain, F.lit('"'))
     )
-    return F.when(top.isNull(), F.coalesce(plain_text, F.lit(False))).otherwise(
-        _context_is_text(top)
-        | F.exists(items(top), lambda a: _context_is_text(a) | F.exists(items(a), _context_is_text))
-    )
+    return F.when(top.isNull(), F.coalesce(plain_text, F.lit(False))).otherwise(F.exists(F.coalesce(nodes, none), _context_is_text))
 
 
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}

@@ -1,11 +1,11 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults and shared folders."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings that the plans profit from; none is needed for right results.
 DEFAULTS = {
@@ -39,18 +39,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the cluster shares; a temporary one only where none is configured."""
+    """A fresh folder below the one the cluster shares; a temporary one only for a local master without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return f"{configured.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{tempfile.mkdtemp(prefix='pagegauge-')}/{name}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pagegauge-ckpt-"))
-    return df.checkpoint(eager=True)

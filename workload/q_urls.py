@@ -227,8 +227,8 @@ _STATUS_SQL = "case when event_id % 3 <> 0 then cast(400 + event_id % 150 as int
 @query(
     "fetch_failure_class",
     f"""select event_id, reason in ('invalid-url', 'blocked-host') or (reason = 'http-error' and coalesce(status between 400 and 499, false)) as permanent,
-        case reason when 'http-error' then case when status is null then 'The site returned an error.' else concat('The site returned HTTP ', status, '.') end
-          {" ".join(f"when {lit(k)} then {lit(v)}" for k, v in fetching.MESSAGES.items())} else 'The site could not be reached.' end as message
+        case reason when 'http-error' then case when status is null then 'The server answered with an error.' else concat('The server answered with status ', status, '.') end
+          {" ".join(f"when {lit(k)} then {lit(v)}" for k, v in fetching.MESSAGES.items())} else 'The server gave no answer.' end as message
        from (select event_id, {_REASON_SQL} as reason, {_STATUS_SQL} as status from events)""",
 )
 def fetch_failure_class(t):

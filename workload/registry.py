@@ -10,7 +10,7 @@ from workload.ctes import sql
 from workload.inputs import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+EXPECTED: dict[str, str] = {}
 
 
 def query(name: str, expected: str | None = None):
@@ -19,7 +19,14 @@ def query(name: str, expected: str | None = None):
     def add(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if expected is not None:
-            ORACLES[name] = sql(expected)
+            EXPECTED[name] = expected
         return fn
 
     return add
+
+
+def oracles() -> dict[str, str]:
+    """The SQL of every expected result, with the blocks it names, whatever module was imported first."""
+    from workload import feature_ctes, q_dimensions, q_jobs, q_reports, q_streams, q_structure, q_urls  # noqa: F401  (they fill the block table)
+
+    return {name: sql(body) for name, body in EXPECTED.items()}
