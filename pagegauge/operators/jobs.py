@@ -13,6 +13,7 @@ from pagegauge.functions import scoring as S
 from pagegauge.functions import urls as U
 from pagegauge.operators.skew import latest_before, salted_left_join
 from pagegauge.plans.reports import row_id
+from pagegauge.session import shared_dir
 
 
 def _within(latest: Column, at: Column, seconds: int) -> Column:
@@ -156,15 +157,20 @@ def status_counts(jobs: DataFrame, now: Column) -> DataFrame:
     )
 
 
+# Percentiles look at this many slices of about equal numbers of values.
+SLICES = 256
+
+
 def exact_percentiles(values: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """Continuous percentiles of a whole column as one row, with ``n``.
 
-    Equal values are counted before anything is ordered. Ranks come from the counts of coarse buckets, and
-    only the buckets that hold a wanted rank are ordered value by value, so no task sees the whole column.
+    Equal values are counted before anything is ordered. Approximate quantiles cut the values into ``SLICES`` slices; ranks
+    come from the slices' counts (so many rows at most, whatever the range of values), and only the slices that hold a
+    wanted rank are ordered value by value, so no task sees the whole column.
     """
     counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    counted = counted.withColumn("b", F.floor(F.col("v") / F.lit(1000.0)))
-    # One row per second of duration: small whatever the number of values.
+    cuts = values.agg(F.percentile_approx(F.col(column).cast("double"), [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("cuts")).scalar()
+    counted = counted.withColumn("cuts", cuts).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     buckets = counted.groupBy("b").agg(F.sum("c").alias("c"))
     upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -214,9 +220,10 @@ def duration_percentiles(jobs: DataFrame, now: Column) -> DataFrame:
 # -- reports, deletion, retention -----------------------------------------------------------------
 
 
-def report_by_id(reports: DataFrame, report_id: str) -> DataFrame:
+def report_by_id(reports: DataFrame, report_id: str | Column) -> DataFrame:
     """Point look-up; a malformed id finds nothing. The equality reaches the file scan."""
-    return reports.where((F.col("id") == report_id) & F.lit(report_id).rlike(C.REPORT_ID_PATTERN))
+    wanted = F.lit(report_id) if isinstance(report_id, str) else report_id
+    return reports.where((F.col("id") == wanted) & F.col("id").rlike(C.REPORT_ID_PATTERN))
 
 
 def delete_outcomes(requests: DataFrame, reports: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -242,28 +249,38 @@ def without_jobs(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("job_id"), "job_id", "left_anti")
 
 
+def _cutoff(now: Column, days: float) -> Column:
+    return F.timestamp_micros(F.unix_micros(now) - F.lit(int(days * 86_400_000_000)))
+
+
 def expired(jobs: DataFrame, now: Column, days: float = C.RETENTION_DAYS) -> DataFrame:
     """Jobs created more than ``days`` ago."""
     if not (0 < days < float("inf")):
         raise ValueError(f"invalid retention period: {days}")
-    cutoff = F.timestamp_micros(F.unix_micros(now) - F.lit(int(days * 86_400_000_000)))
-    return jobs.where(F.col("created_at") < cutoff)
+    return jobs.where(F.col("created_at") < _cutoff(now, days))
 
 
 def apply_retention(spark: SparkSession, path: str, now: Column, days: float = C.RETENTION_DAYS) -> None:
-    """Delete expired rows in place from a job table stored at ``path`` by ``created_date``.
+    """Delete expired rows in place from a table stored at ``path`` by ``created_date``, with a ``created_at`` column.
 
-    Days wholly before the cut-off lose their folder, the cut-off day is rewritten, newer days are not
-    touched. The only rows that reach the driver are the expired dates, which the table's folders bound.
+    Reports carry their job's ``created_at``, so the same call on their table is the cascade. The cut-off day's folder is
+    replaced by its survivors, if there are none by an empty file; earlier days lose their folders (as many as days have gone
+    by since the last call); newer days are not touched. A call that was cut short is finished by the next one, as both steps give the same again.
     """
-    cut = F.to_date(F.timestamp_micros(F.unix_micros(now) - F.lit(int(days * 86_400_000_000))))
+    cut = F.to_date(_cutoff(now, days))
     stored = spark.read.parquet(path)
-    cut_day = stored.where(F.col("created_date") == cut)
-    kept = cut_day.join(expired(cut_day, now, days).select("job_id"), "job_id", "left_anti")
-    gone = [row["created_date"] for row in stored.where(F.col("created_date") < cut).select("created_date").distinct().collect()]
-    if cut_day.limit(1).count():
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_date").parquet(path)
+    row = stored.agg(F.max(cut).alias("cut")).first()
+    if row["cut"] is None:
+        return
+    day = f"{path}/created_date={row['cut']}"
+    survivors = stored.where((F.col("created_date") == F.lit(row["cut"])) & (F.col("created_at") >= _cutoff(now, days)))
+    # Spark reads a folder before it replaces it, so the survivors are set aside first.
+    aside = shared_dir(spark, "retention")
+    survivors.drop("created_date").write.parquet(aside)
+    spark.read.schema(stored.drop("created_date").schema).parquet(aside).write.mode("overwrite").parquet(day)
+    expired_days = stored.select("created_date").where(F.col("created_date") < F.lit(row["cut"])).distinct()
     hadoop = spark._jvm.org.apache.hadoop.fs
-    for day in gone:
-        folder = hadoop.Path(f"{path}/created_date={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for gone in expired_days.toLocalIterator():
+        files.delete(hadoop.Path(f"{path}/created_date={gone['created_date']}"), True)

@@ -6,13 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
-from pagegauge.functions.binding import let
 
-# Event layout. Unlisted top-level members are not carried.
-EVENT = (
-    "struct<user:struct<id:string,ip_address:string,email:string,username:string>,"
-    "request:struct<url:string,cookies:string,data:string,headers:map<string,string>,query_string:string>,message:string>"
-)
+_MEMBERS = "map<string,variant>"
+# Members that go, by the object that holds them.
+DROPPED = {"user": ("ip_address", "email", "username"), "request": ("cookies", "data")}
 
 
 def hide(values: Column, names: tuple[str, ...]) -> Column:
@@ -20,28 +17,32 @@ def hide(values: Column, names: tuple[str, ...]) -> Column:
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).isin(*names), F.lit(C.EVENT_REDACTED)).otherwise(v))
 
 
+def _members(value: Column) -> Column:
+    return F.from_json(F.to_json(value), _MEMBERS)
+
+
+def _object(members: Column) -> Column:
+    return F.parse_json(F.to_json(members))
+
+
 def redact_event(event_json: Column) -> Column:
-    """Event JSON without user identity, cookies and body; credential headers and query string hidden."""
-
-    def scrub(event: Column) -> Column:
-        user, request = event["user"], event["request"]
-        query = F.when(request["query_string"].isNotNull(), F.lit(C.EVENT_REDACTED))
-        return F.to_json(
-            F.struct(
-                F.when(user.isNotNull(), F.struct(user["id"].alias("id"))).alias("user"),
-                F.when(
-                    request.isNotNull(),
-                    F.struct(
-                        request["url"].alias("url"),
-                        hide(request["headers"], C.PII_HEADERS).alias("headers"),
-                        query.alias("query_string"),
-                    ),
-                ).alias("request"),
-                event["message"].alias("message"),
-            )
-        )
+    """Event JSON without user identity, cookies and body; credential headers and query string hidden.
+
+    All other members stay, at every level. Members of nested objects come out in the order of their names. A member that is
+    not the object it should be is dropped if it could hold what is hidden (headers, user, request), text that is no JSON
+    object gives null.
+    """
+    hidden = F.parse_json(F.lit(f'"{C.EVENT_REDACTED}"'))
+
+    def scrub_request(k: Column, v: Column) -> Column:
+        headers = F.transform_values(_members(v), lambda name, x: F.when(F.lower(name).isin(*C.PII_HEADERS), hidden).otherwise(x))
+        return F.when(k == "headers", _object(headers)).when((k == "query_string") & (F.schema_of_variant(v) != "VOID"), hidden).otherwise(v)
+
+    def scrub(k: Column, v: Column) -> Column:
+        user, request = (F.map_filter(_members(v), lambda m, _: ~m.isin(*DROPPED[name])) for name in ("user", "request"))
+        return F.when(k == "user", _object(user)).when(k == "request", _object(F.transform_values(request, scrub_request))).otherwise(v)
 
-    return let(F.from_json(event_json, EVENT), scrub)
+    return F.to_json(F.transform_values(F.from_json(event_json, _MEMBERS), scrub))
 
 
 # Log paths that are hidden.

@@ -10,29 +10,46 @@ from pagegauge import constants as C
 from pagegauge.operators.greedy import accept_requests
 
 
+# Requests may arrive this much later than the newest one seen; the state keeps no older acceptance than they need.
+LATENESS_SECONDS = 600
+
+
 def dedupe_stream(
-    requests: DataFrame, key: str, at: str, row_id: str, out: str, checkpoint: str, seconds: int = C.INFLIGHT_SECONDS
+    requests: DataFrame, key: str, at: str, row_id: str, out: str, checkpoint: str, seconds: int = C.INFLIGHT_SECONDS,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Decide each micro-batch, starting from the last acceptance per key of the batches before it.
+    """Decide each micro-batch, starting from the last acceptances of the batches before it.
 
-    Decisions and the last acceptances are written per batch, so a repeated batch starts from the same
-    state and replaces its own output. A busy key is cut by time inside the batch (see operators.greedy).
+    Decisions, the last acceptances and the newest time are written per batch, so a repeated batch starts from the same state
+    and replaces its own output. An acceptance that is older than the newest time by more than the window and the lateness can
+    decide nothing any more and is left out, so the state follows the keys of that span, not those of all time. A request
+    later than the lateness is written with ``accepted`` null. A busy key is cut by time inside the batch (see
+    operators.greedy). ``trigger`` are the arguments of the stream's trigger; the default reads what is there and stops.
     """
     spark = requests.sparkSession
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        seeds = None
-        if batch_id > 0:
-            seeds = spark.read.parquet(f"{out}/last/batch={batch_id - 1}")
-        decided = accept_requests(batch, key, F.col(at), row_id, seconds, seeds)
+        state = spark.read.parquet(f"{out}/last/batch={batch_id - 1}") if batch_id > 0 else None
+        newest = None if state is None else state.where(F.col(key).isNull()).agg(F.max("ms")).first()[0]
+        seeds = None if state is None else state.where(F.col(key).isNotNull())
+        late = F.lit(False) if newest is None else F.unix_millis(at) < newest - LATENESS_SECONDS * 1000
+        decided = accept_requests(batch.where(~late), key, F.col(at), row_id, seconds, seeds)
+        if newest is not None:
+            decided = decided.unionByName(batch.where(late).withColumn("accepted", F.lit(None).cast("boolean")), allowMissingColumns=True)
         decided.write.mode("overwrite").parquet(f"{out}/decisions/batch={batch_id}")
         written = spark.read.parquet(f"{out}/decisions/batch={batch_id}")
+        seen = written.agg(F.max(F.unix_millis(at))).first()[0]
+        upto = max((x for x in (seen, newest) if x is not None), default=None)
         last = written.where("accepted").select(key, F.unix_millis(at).alias("ms"))
         if seeds is not None:
             last = last.unionByName(seeds)
-        last.groupBy(key).agg(F.max("ms").alias("ms")).write.mode("overwrite").parquet(f"{out}/last/batch={batch_id}")
+        last = last.groupBy(key).agg(F.max("ms").alias("ms"))
+        if upto is not None:
+            last = last.where(F.col("ms") >= upto - (seconds + LATENESS_SECONDS) * 1000)
+        clock = spark.range(1).select(F.lit(None).cast(requests.schema[key].dataType).alias(key), F.lit(upto).cast("bigint").alias("ms"))
+        last.unionByName(clock).write.mode("overwrite").parquet(f"{out}/last/batch={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(decide)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )

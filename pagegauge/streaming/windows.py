@@ -36,15 +36,15 @@ def job_minutes(jobs: DataFrame, at: str) -> DataFrame:
     )
 
 
-def keep_updates(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch's changed counts to its own folder."""
+def keep_updates(counts: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write each micro-batch's changed counts to its own folder; the default trigger reads what is there and stops."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         counts.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

@@ -145,8 +145,7 @@ def job_progress_map(t):
     return rows.select("event_id", "percent", F.array_join(J.step_states(F.col("status"), F.col("percent")), "|").alias("steps"))
 
 
-CTES["fails"] = f"""select concat('c', left(sha256(concat('job-', event_id - event_id % 4)), 24)) as job_id, event_id, created_at as failed_at, event_id % 11 = 0 as permanent
-  from jobs where event_id % 4 < 1 + (floor(event_id / 4) % 4)"""
+CTES["fails"] = f"""select concat('c', left(sha256(concat('job-', event_id - event_id % 4)), 24)) as job_id, event_id, created_at as failed_at, event_id % 11 = 0 as permanent from jobs"""
 
 
 @query(
@@ -157,7 +156,7 @@ CTES["fails"] = f"""select concat('c', left(sha256(concat('job-', event_id - eve
 )
 def job_retry_class(t):
     group = F.col("event_id") - F.col("event_id") % 4
-    failures = t.jobs().where("event_id % 4 < 1 + (floor(event_id / 4) % 4)").select(
+    failures = t.jobs().select(
         F.concat(F.lit("c"), F.left(F.sha2(F.concat(F.lit("job-"), group.cast("string")), 256), F.lit(24))).alias("job_id"),
         "event_id", F.col("created_at").alias("at"), (F.col("event_id") % 11 == 0).alias("permanent"),
     )
@@ -203,8 +202,7 @@ def metrics_duration_pct(t):
 @query("report_by_id", "select job_id, id, event_id from jreps where id = (select min(id) from jreps)")
 def report_by_id(t):
     reports = reports_of(t.jobs())
-    wanted = reports.agg(F.min("id").alias("id")).first()["id"]
-    return J.report_by_id(reports, wanted).select("job_id", "id", "event_id")
+    return J.report_by_id(reports, reports.agg(F.min("id")).scalar()).select("job_id", "id", "event_id")
 
 
 CTES["delreq"] = """select event_id as request_id, case when event_id % 17 = 0 then 'BAD ID' when event_id % 13 = 0 then 'rmissing0000000000000000000' else id end as report_id,
@@ -281,23 +279,24 @@ _HEADERS = ("Authorization", "COOKIE", "X-Api-Key", "accept", "set-cookie")
 
 @query(
     "redact_event",
-    """select event_id, concat('{"user":{"id":"', user_id, '"},"request":{"url":"https://x.example/', event_id, '","headers":{"Authorization":"[REDACTED]","COOKIE":"[REDACTED]",',
-        '"X-Api-Key":"[REDACTED]","accept":"text/', event_type, '","set-cookie":"[REDACTED]"}', case when event_id % 2 = 0 then ',"query_string":"[REDACTED]"' else '' end,
-        '},"message":"', event_type, '"}') as event_json from events""",
+    """select event_id, concat('{"user":{"id":"', user_id, '","segment":', user_id % 7, '},"request":{"headers":{"Authorization":"[REDACTED]","COOKIE":"[REDACTED]",',
+        '"X-Api-Key":"[REDACTED]","accept":"text/', event_type, '","set-cookie":"[REDACTED]"},"method":"GET"', case when event_id % 2 = 0 then ',"query_string":"[REDACTED]"' else '' end,
+        ',"url":"https://x.example/', event_id, '"},"message":"', event_type, '","level":"error","tags":["', event_type, '"]}') as event_json from events""",
 )
 def redact_event(t):
     events = t.read("events")
     user = F.struct(
         F.col("user_id").cast("string").alias("id"), F.lit("10.0.0.1").alias("ip_address"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"), F.lit("name").alias("username"),
+        (F.col("user_id") % 7).alias("segment"),
     )
     headers = [x for h in _HEADERS for x in (F.lit(h), F.concat(F.lit("text/"), "event_type"))]
     request = F.struct(
         F.concat(F.lit("https://x.example/"), F.col("event_id").cast("string")).alias("url"), F.lit("a=b").alias("cookies"),
-        F.col("props").alias("data"), F.create_map(*headers).alias("headers"),
+        F.col("props").alias("data"), F.lit("GET").alias("method"), F.create_map(*headers).alias("headers"),
         F.when(F.col("event_id") % 2 == 0, F.lit("q=1")).alias("query_string"),
     )
-    raw = F.to_json(F.struct(user.alias("user"), request.alias("request"), F.col("event_type").alias("message")))
+    raw = F.to_json(F.struct(user.alias("user"), request.alias("request"), F.col("event_type").alias("message"), F.lit("error").alias("level"), F.array("event_type").alias("tags")))
     return events.select("event_id", redaction.redact_event(raw).alias("event_json"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
@@ -14,12 +17,21 @@ from workload.inputs import Tables
 from workload.registry import query
 
 
+BATCHES = 3
+
+
 class StreamTables(Tables):
-    """The same recipes over a stream of the table's files."""
+    """The same recipes over a stream of the table's rows, arriving in three files in the order of their time or id."""
 
     def read(self, name):
-        schema = self.spark.read.parquet(f"{self.dir}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{self.dir}/{name}.parquet*")
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        order = {"events": F.unix_micros(F.col("ts").cast("timestamp")), "pages": F.col("page_id")}[name]
+        cuts = table.agg(F.percentile_approx(order, [i / BATCHES for i in range(1, BATCHES)]).alias("c")).first()["c"] or []
+        part = sum(((order > c).cast("int") for c in cuts), F.lit(0))
+        folder = shared_dir(self.spark, f"arriving-{name}")
+        for i in range(BATCHES):
+            table.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+        return self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def finish(stream):
@@ -59,8 +71,9 @@ def st_inflight_dedupe(t):
     return decided.select("event_id", "normalized_url", "accepted")
 
 
-# (query part, key divisor, limit, window): limits are lowered for the minute so that some are passed.
-_RATES = (("per-minute", 2, 1, "1 minute"), ("per-day", 10, dict((n, m) for n, m, _ in C.RATE_LIMITS)["analyze-day"], "1 day"))
+# (limit name, key divisor, limit, window): every limit, each with clients of its own; the global one has a single client.
+_CLIENTS = {"global": 1, "analyze-minute": 2, "analyze-day": 10, "report-read": 3, "report-delete": 5}
+_RATES = tuple((name, _CLIENTS[name], limit, window) for name, limit, window in C.RATE_LIMITS)
 
 
 @query(
@@ -81,7 +94,7 @@ def st_rate_window(t):
         parts.append(
             counts.select(F.lit(name).alias("rule"), F.col("key").alias("client"), F.unix_micros("window_start").alias("window_us"), "n", "over_limit")
         )
-    return parts[0].unionByName(parts[1])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -98,7 +111,7 @@ def st_rate_excess(t):
         asked = t.read("events").select("event_id", (F.col("user_id") % div).alias("client"), F.col("ts").cast("timestamp").alias("at"))
         rows = timelines.over_limit(asked, "client", F.col("at"), "event_id", limit, width)
         parts.append(rows.select(F.lit(name).alias("rule"), "event_id", "rank"))
-    return parts[0].unionByName(parts[1])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(
