@@ -111,6 +111,121 @@ def test_json_ld(spark):
     assert values(spark, ['{"@type":"A","x":[{"@type" : ["B","C"]}],"t":"{\\"@type\\":\\"D\\"}"}'], json_ld_types) == [["A", "B", "C"]]
 
 
+def test_json_ld_nested(spark):
+    types = ['{"@type":["A]B","Article"]}', '{"@type":"Art\\u0069cle"}', '[[[{"@type":"X"}]]]', '{"a":[{"b":{"@type":["P","Q"]}}]}']
+    assert values(spark, types, json_ld_types) == [["A]B", "Article"], ["Article"], ["X"], ["P", "Q"]]
+    contexts = ['[[[{"@context":"s"}]]]', "[" * 9 + '{"@context":["s"]}' + "]" * 9, '[{"x":[{"@context":"s"}]}]']
+    assert values(spark, contexts, json_ld_has_context) == [True, True, False]
+
+
+def test_references_are_decoded_once(spark):
+    got = values(spark, ["&#38;lt;", "&eacute;&rarr;&times;&hearts;", "&#150;&#x80;", "&#" + "9" * 50 + ";", "&nosuch; &amp", "&#00000000000065;", "&NotEqualTilde;"], T.decode_entities)
+    assert got == ["&lt;", "é→×♥", "–€", "\ufffd", "&nosuch; &", "A", "≂̸"]
+
+
+def test_sentences_end_before_any_white_space(spark):
+    assert values(spark, ["One. Two.\nThree!\tFour?", "a.b.c", "end.\u00a0more."], T.sentence_total) == [4, 1, 2]
+
+
+DISGUISED = {
+    "http://127。0。0。1/": "loopback-ip", "http://ｌｏｃａｌｈｏｓｔ/": "blocked-hostname", "http://ⓛⓞⓒⓐⓛⓗⓞⓢⓣ/": "blocked-hostname",
+    "http://１０.１.２.３/": "private-ip", "http://local\u00adhost/": "blocked-hostname", "http://⑩.1.2.3/": "invalid-url", "http://bücher.example/": None,
+    "http://𝐥𝐨𝐜𝐚𝐥𝐡𝐨𝐬𝐭/": "blocked-hostname", "http://LOCALHOST./": "blocked-hostname",
+}
+
+
+def test_disguised_hosts(spark):
+    assert dict(zip(DISGUISED, values(spark, list(DISGUISED), U.rejection))) == DISGUISED
+
+
+def test_dot_segments(spark):
+    paths = {"/a/../b": "/b", "/a/./b": "/a/b", "/a/b/..": "/a/", "/..": "/", "/a/%2e%2E/b": "/b", "/a..b/.c": "/a..b/.c", "/../../x/": "/x/", "/a//../b": "/a/b"}
+    assert dict(zip(paths, values(spark, list(paths), U.encoded_path))) == paths
+    assert values(spark, ["https://x.com/a/../b?q=1", "https://x.com/b?q=1"], U.normalize) == ["https://x.com/b?q=1"] * 2
+
+
+@pytest.mark.parametrize("page", [
+    "<" * 1_000_000, "<p " + "a='b' " * 1_000_000 + ">x", '<a href="x>' + "<a href=y>t</a>" * 1_000_000, "<p title=it's>" * 100_000, "&" * 1_000_000,
+    "<script " * 100_000, "<!" * 500_000, "</script" * 100_000, "<script>" + "</style " * 100_000, "x<" * 500_000,
+], ids=lambda p: p[:12])
+def test_tokens_of_any_page(spark, page):
+    """Lossless, in linear time and without recursion, whatever is repeated and however often."""
+    from pagegauge.functions import html as H
+
+    df = spark.createDataFrame([(page,)], "html string").select(H.tokens(F.col("html")).alias("t"), "html")
+    checked = df.select((F.array_join("t", "") == F.col("html")).alias("same"), F.size("t").alias("n"), F.exists("t", lambda t: H.raw_body(t).isNull()).alias("x"))
+    row = checked.first()
+    assert row["same"] and row["n"] >= 1
+
+
+def test_attributes_of_odd_tags(spark):
+    from pagegauge.functions import html as H
+
+    tags = ["<p title=it's id=a>", '<a href="x y" b=\'c\' d>', "<br/>", "<a href=x/>", '<i a="b', "<p a = b c= d e =f>", "<p a=\"1\" a=2>"]
+    got = values(spark, tags, lambda c: F.transform(H.attributes(c), lambda a: F.concat_ws("=", a["name"], a["value"])))
+    assert got == [["title=it's", "id=a"], ["href=x y", "b=c", "d="], [], ["href=x/"], ['a="b'], ["a=b", "c=d", "e=f"], ["a=1", "a=2"]]
+    kinds = values(spark, ["<p title=it's>", "<p title=", "</p", "</>", "<!-- x", "<script>var a", "a < b"], lambda c: H.token_kind(c, H.tag_name(c)))
+    assert kinds == ["open", "comment", "comment", "comment", "comment", "script", "text"]
+
+
+def test_events_keep_what_is_not_hidden(spark):
+    import json
+
+    from pagegauge.operators import redaction
+
+    event = {
+        "level": "error", "tags": ["a", {"b": 1}], "n": 1.5, "none": None, "user": {"id": 7, "email": "x", "ip_address": "y", "segment": {"k": [1]}},
+        "request": {"url": "u", "method": "GET", "cookies": "c", "data": {"p": 1}, "query_string": "q", "headers": {"Cookie": "c", "accept": "t"}},
+    }
+    want = dict(event, user={"id": 7, "segment": {"k": [1]}}, request={
+        "url": "u", "method": "GET", "query_string": "[REDACTED]", "headers": {"Cookie": "[REDACTED]", "accept": "t"}})
+    got = values(spark, [json.dumps(event), '{"message":"m"}', '{"request":{"url":"u"}}'], redaction.redact_event)
+    assert [json.loads(x) for x in got] == [want, {"message": "m"}, {"request": {"url": "u"}}]
+
+
+def test_hosts_and_redirects(spark):
+    from pagegauge.operators import fetching
+
+    hosts = spark.createDataFrame([(h,) for h in ("cafe.de", "ab.cd", "10.0.0.1", "8.8.8.8", "[::1]", "fine.org", "cafe.de")], "host string")
+    records = spark.createDataFrame([("cafe.de", "10.0.0.7"), ("fine.org", "9.9.9.9")], "host string, ip string")
+    got = {r["host"]: (r["verdict"], r["blocked_ip"]) for r in fetching.host_verdicts(hosts, records).collect()}
+    assert got == {
+        "cafe.de": ("blocked-host", "10.0.0.7"), "ab.cd": ("dns-failed", None), "10.0.0.1": ("blocked-host", "10.0.0.1"), "8.8.8.8": ("ok", None),
+        "[::1]": ("blocked-host", "[::1]"), "fine.org": ("ok", None),
+    }
+    edges = spark.createDataFrame([("http://a.com/", "http://c.com/"), ("http://a.com/", "http://b.com/"), ("http://b.com/", "http://d.com/")], "from_url string, to_url string")
+    done = fetching.resolve_redirects(spark.createDataFrame([("http://a.com/",)], "url string"), edges).collect()
+    assert [(r["final_url"], r["hops"]) for r in done] == [("http://d.com/", 2)]
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    from pagegauge.operators import jobs
+
+    rng = np.random.default_rng(1)
+    for sample in ([5.0], [1.0, 2.0], [7.0] * 500, list(rng.exponential(1e9, 3000)), [0.001 * i for i in range(1500)]):
+        df = spark.createDataFrame([(float(v),) for v in sample], "v double")
+        row = jobs.exact_percentiles(df, "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).first()
+        assert row["n"] == len(sample)
+        assert [row["p50"], row["p95"], row["p99"]] == pytest.approx(list(np.percentile(sample, [50, 95, 99])), rel=1e-9)
+    assert jobs.exact_percentiles(df.limit(0), "v", {"p50": 0.5}).first()["n"] == 0
+
+
+@pytest.mark.parametrize("now, left", [("2024-01-04 12:00:00", ["c"]), ("2024-01-04 00:00:00", ["b", "c"]), ("2023-01-01 00:00:00", ["a", "b", "c"]), ("2025-01-01 00:00:00", [])])
+def test_retention(spark, tmp_path, now, left):
+    """Two days are kept. A cut-off day that is wholly expired is emptied, earlier days go, later ones stay."""
+    from pagegauge.operators import jobs
+
+    path = str(tmp_path / "jobs")
+    rows = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("b", "2024-01-02 11:00:00"), ("c", "2024-01-09 00:00:00")], "job_id string, at string")
+    rows = rows.select("job_id", F.to_timestamp("at").alias("created_at"), F.to_date("at").alias("created_date"))
+    rows.write.partitionBy("created_date").parquet(path)
+    for _ in range(2):
+        jobs.apply_retention(spark, path, F.to_timestamp(F.lit(now)), 2)
+        assert sorted(r["job_id"] for r in spark.read.schema(rows.schema).parquet(path).collect()) == left
+
+
 def test_retention_period_is_checked(spark):
     from pagegauge.operators import jobs
 
