@@ -26,6 +26,7 @@ LEAST_RARE = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 BITS = 1 << 24
+SALTS = 32
 _BUCKET = 32768  # bits per bitmap bucket of Spark's bitmap functions
 _MAX = (1 << 63) - 1
 
@@ -167,9 +168,12 @@ def _leaks(docs: DataFrame, bench: DataFrame, n: int, min_score: float) -> DataF
     )
     order = Window.partitionBy("item_id").orderBy("log_rate", "q")
     rare = rates.withColumn("nth", F.row_number().over(order)).where((F.col("log_rate") <= F.log(F.lit(RARE))) | (F.col("nth") <= LEAST_RARE))
-    seeds = seeds.join(rare.select("item_id", "q"), ["item_id", "q"]).select("h", "item_id").distinct()
-    hits = found.where("kind = 'h'").select("k", "tag", "seg", "h", "pos").distinct()
-    pairs = hits.join(seeds, "h").groupBy("k", "tag", "seg", "item_id").agg(F.count_distinct("pos").alias("n")).where(F.col("n") >= MIN_SEEDS)
+    seeds = stored(seeds.join(rare.select("item_id", "q"), ["item_id", "q"]).select("h", "item_id").distinct(), "leak-seeds")
+    # A passage that many documents share makes its seeds frequent among the hits, so each seed is dealt to several tasks.
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    hits = found.where("kind = 'h'").select("k", "tag", "seg", "h", "pos", F.pmod(F.xxhash64("k", "tag"), F.lit(SALTS)).cast("int").alias("salt"))
+    shared = hits.join(seeds.select("h", "item_id", salts), ["h", "salt"])
+    pairs = shared.groupBy("k", "tag", "seg", "item_id").agg(F.count_distinct("pos").alias("n")).where(F.col("n") >= MIN_SEEDS)
     passages = found.where("kind = 's'").select("doc_id", "k", "tag", "seg", F.col("pos").alias("first"), F.col("words").alias("passage")).dropDuplicates(["k", "tag", "seg"])
     ready = pairs.join(passages, ["k", "tag", "seg"]).join(items.select("item_id", F.col("words").alias("item")), "item_id")
     scored = _aligned(ready).where(F.col("score") >= min_score)
