@@ -169,6 +169,8 @@ def keep_first(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) ->
     Null ids come last, rows that share the id go by the hash of their text, and of rows equal in both one stays.
     """
     _, rooted = _classes(docs, words, max_bits)
-    winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.tag").alias("_w_tag")).distinct()
-    mine = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_w_id")) & (F.col("_tag") == F.col("_w_tag"))
-    return docs.withColumn("_tag", _tag()).join(winners, mine, "left_semi").dropDuplicates(["doc_id", "_tag"]).drop("_tag")
+    last = F.lit((1 << 63) - 1)
+    winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(F.coalesce("w.doc_id", last).alias("_k"), F.col("w.tag").alias("_tag")).distinct()
+    keyed = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("bigint"), last), "_tag": _tag()})
+    # The join and the removal of equal rows go by the same two columns, so texts cross the network once.
+    return keyed.join(winners, ["_k", "_tag"], "left_semi").select(*docs.columns, "_k", "_tag").dropDuplicates(["_k", "_tag"]).drop("_k", "_tag")
