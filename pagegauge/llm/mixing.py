@@ -182,18 +182,25 @@ def mixture(docs: DataFrame, cycle: int = CYCLE, most: int = MOST) -> DataFrame:
     ``mix_copy`` counts the copies of a row from 1. Columns of these names in ``docs`` are replaced.
     """
     added = ("mix_target", "mix_copies", "mix_copy")
-    same = Window.partitionBy("_d", "_u").orderBy("_c")
-    plan = stored(
-        _mixed(docs, cycle, most).where("copies > 0")
-        .select(F.col("doc_id").alias("_d"), F.col("u").alias("_u"), F.col("copies").alias("_c"), F.col("target").alias("_t")), "mix-plan",
-    )
-    # Rows that repeat id and text are told apart by a number only.
-    plan = plan.withColumn("_n", F.row_number().over(same)).withColumnsRenamed({"_d": "_pd", "_u": "_pu", "_n": "_pn"})
-    keyed = docs.drop(*added).withColumn("_d", F.col("doc_id").cast("bigint")).withColumn("_u", _mark())
-    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_u").orderBy("_d")))
-    joined = keyed.join(plan, F.col("_d").eqNullSafe(F.col("_pd")) & (F.col("_u") == F.col("_pu")) & (F.col("_n") == F.col("_pn")))
-    return (
-        joined.withColumn("mix_target", F.col("_t")).withColumn("mix_copies", F.col("_c"))
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"))))
-        .drop("_d", "_u", "_n", "_pd", "_pu", "_pn", "_c", "_t")
+    last = F.lit((1 << 63) - 1)
+    chosen = _mixed(docs, cycle, most).select(F.coalesce("doc_id", last).alias("_k"), F.col("u").alias("_u"), "copies", "target")
+    # Rows that repeat id and text are alike: it matters only how many of them have how many copies.
+    shares = chosen.groupBy("_k", "_u", "target", "copies").agg(F.count("*").alias("n"))
+    plan = shares.groupBy("_k", "_u").agg(F.sort_array(F.collect_list(F.struct("copies", "n", "target")), asc=False).alias("_plan"))
+    keyed = docs.drop(*added).withColumns({"_k": F.coalesce(F.col("doc_id").cast("bigint"), last), "_u": _mark()})
+    # The window goes by the columns of the join, so texts cross the network once.
+    joined = keyed.join(stored(plan, "mix-plan"), ["_k", "_u"]).withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_u").orderBy("_u")))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("copies"), F.lit(None).cast("double").alias("target"))
+
+    def step(done: Column, part: Column) -> Column:
+        mine = done["copies"].isNull() & (F.col("_n") <= done["seen"] + part["n"])
+        return F.struct(
+            (done["seen"] + part["n"]).alias("seen"), F.when(mine, part["copies"]).otherwise(done["copies"]).alias("copies"),
+            F.when(mine, part["target"]).otherwise(done["target"]).alias("target"),
+        )
+
+    mine = joined.withColumn("_mine", F.aggregate("_plan", start, step)).where("_mine.copies > 0")
+    return mine.select(
+        *[c for c in docs.columns if c not in added], F.col("_mine.target").alias("mix_target"), F.col("_mine.copies").alias("mix_copies"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mine.copies"))).alias("mix_copy"),
     )
