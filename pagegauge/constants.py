@@ -169,7 +169,7 @@ TOKEN_PATTERN = (
     r"|<[!?][^>]*+(?:>|\z)"
     r"|" + _raw_text_alternatives() + r"|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|" + _ATTRIBUTE + r"|=)*+(?:>|\z)"
     r"|</(?:>|[^a-zA-Z>][^>]*+(?:>|\z))"
-    r"|(?:[^<]++|<(?![a-zA-Z/!?]))++"
+    r"|(?:[^<]++|<(?![a-zA-Z/!?])|</\z)++"
     r"|<"
 )
 TAG_NAME_PATTERN = r"^</?([a-zA-Z][^\s/>]*)"

@@ -9,7 +9,7 @@ Groups are single pages, so no window or aggregate group grows with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
@@ -40,9 +40,13 @@ def _classify(exploded: DataFrame) -> DataFrame:
     )
 
 
-def _document_tokens(captures: DataFrame, partitioned: bool) -> DataFrame:
-    """Tokens of the rendered document and, where it differs, of the raw one (``raw`` = true)."""
-    pages = captures.select("page_id", "raw_html", "rendered_html")
+def _document_tokens(captures: DataFrame, partitioned: bool, carried: tuple[str, ...]) -> DataFrame:
+    """Tokens of the rendered document and, where it differs, of the raw one (``raw`` = true).
+
+    ``meta`` holds the carried columns of the capture on one row of its page and is NULL on the others.
+    """
+    meta = F.struct(*carried) if carried else F.struct(F.lit(0).alias("none"))
+    pages = captures.select("page_id", "raw_html", "rendered_html", meta.alias("meta"))
     if not partitioned:
         pages = pages.repartition("page_id")
     empty = F.lit("")
@@ -50,11 +54,12 @@ def _document_tokens(captures: DataFrame, partitioned: bool) -> DataFrame:
     raw = F.struct(F.lit(True).alias("raw"), F.coalesce("raw_html", empty).alias("html"))
     same = F.col("raw_html").eqNullSafe(F.col("rendered_html"))
     documents = pages.select(
-        "page_id", F.inline(F.when(same, F.array(rendered)).otherwise(F.array(rendered, raw)))
+        "page_id", "meta", F.inline(F.when(same, F.array(rendered)).otherwise(F.array(rendered, raw)))
     )
     # The outer form keeps a row for an empty document.
-    exploded = documents.select("page_id", "raw", F.posexplode_outer(H.tokens(F.col("html"))).alias("pos", "tok"))
-    return _classify(exploded)
+    exploded = documents.select("page_id", "meta", "raw", F.posexplode_outer(H.tokens(F.col("html"))).alias("pos", "tok"))
+    first = ~F.col("raw") & (F.coalesce("pos", F.lit(0)) == 0)
+    return _classify(exploded.withColumn("meta", F.when(first, F.col("meta"))))
 
 
 def with_nesting(tokens: DataFrame, *document: str) -> DataFrame:
@@ -94,21 +99,28 @@ def attributes(captures: DataFrame, html: str = "rendered_html") -> DataFrame:
     )
 
 
-def _with_text(tokens: DataFrame, *document: str) -> DataFrame:
-    """Add ``txt`` (decoded text of the token) and ``node`` (trimmed visible text node or NULL)."""
+def _text() -> Column:
+    """Decoded text of a token."""
     tok, kind, tag = F.col("tok"), F.col("kind"), F.col("tag")
     body = H.raw_body(tok)
-    txt = (
+    return (
         F.when(kind == "text", T.decode_entities(tok))
         .when(tag.isin(*C.ESCAPABLE_RAW_TAGS) & (kind == "rawtext"), T.decode_entities(body))
         .when(kind.isin("script", "style", "rawtext"), body)
     )
+
+
+def _hidden(*document: str) -> Column:
+    """Whether a token's text is not shown, by its own tag or by a template around it."""
+    kind, tag = F.col("kind"), F.col("tag")
     template = F.when((tag == "template") & (kind == "open"), 1).when((tag == "template") & (kind == "close"), -1)
     before = Window.partitionBy(*document).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    hidden = (F.sum(F.coalesce(template, F.lit(0))).over(before) > 0) | F.coalesce(
-        tag.isin(*C.HIDDEN_TAGS), F.lit(False)
-    )
-    out = tokens.withColumn("txt", txt).withColumn("hidden", hidden)
+    return (F.sum(F.coalesce(template, F.lit(0))).over(before) > 0) | F.coalesce(tag.isin(*C.HIDDEN_TAGS), F.lit(False))
+
+
+def _with_text(tokens: DataFrame, *document: str) -> DataFrame:
+    """Add ``txt`` (decoded text of the token) and ``node`` (trimmed visible text node or NULL)."""
+    out = tokens.withColumn("txt", _text()).withColumn("hidden", _hidden(*document))
     return out.withColumn("node", F.when(~F.col("hidden"), F.nullif(T.trim(F.col("txt")), F.lit(""))))
 
 
@@ -141,9 +153,34 @@ _DOC = ("page_id", "raw")
 
 
 @staged
-def _counts_and_marks() -> Stages:
-    """Running counts before each token, nesting flags, and the attributes of checked elements."""
+def _facts() -> Stages:
+    """What a token tells by itself. Only ``txt`` and the attributes of checked elements stay as text; everything the windows
+    below work with is a number, a flag or a hash, so the sorts move no second copy of the page."""
     tag, kind, txt = F.col("tag"), F.col("kind"), F.col("txt")
+    starts = kind.isin("open", "script", "style", "rawtext")
+    return [
+        {
+            "txt": _text(),
+            "size": F.length("tok"),
+            "checked": starts & ~F.col("raw") & (tag.isin(*CHECKED_TAGS) | F.col("tok").rlike(CHECKED_ATTRIBUTES)),
+        },
+        {
+            "attrs": F.when(F.col("checked"), H.attributes(F.col("tok"))),
+            "chars_all": F.coalesce(F.length(txt), F.lit(0)),
+            "core_chars": F.length(T.trim(txt)),
+            "core_hash": F.xxhash64(T.trim(txt)),
+            "lead": F.length(txt) - F.length(F.ltrim(txt, F.lit(C.WHITESPACE_CHARS))),
+            "is_text": txt.isNotNull(),
+            "mentions": F.coalesce(txt.rlike(C.COOKIE_PATTERN), F.lit(False)),
+        },
+        {"is_solid": F.coalesce(F.col("core_chars") > 0, F.lit(False))},
+    ]
+
+
+@staged
+def _counts_and_marks() -> Stages:
+    """Running counts before each token and nesting flags."""
+    tag, kind = F.col("tag"), F.col("kind")
     running = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
     def before(flag):
@@ -154,23 +191,15 @@ def _counts_and_marks() -> Stages:
         step = F.when(tag.isin(*tags), F.when(kind == "open", 1).when(kind == "close", -1)).otherwise(0)
         return F.sum(F.coalesce(step, F.lit(0))).over(running) > 0
 
-    starts = kind.isin("open", "script", "style", "rawtext")
     mark = F.when((kind == "open") & (tag == "body"), 2).when((kind == "close") & (tag == "head"), 1).otherwise(0)
-    core, all_chars = F.length("core"), F.coalesce(F.length(txt), F.lit(0))
+    core = F.col("core_chars")
     return [
         {
-            "core": T.trim(txt),
-            "lead": F.length(txt) - F.length(F.ltrim(txt, F.lit(C.WHITESPACE_CHARS))),
-            "is_text": txt.isNotNull(),
-            "mentions": F.coalesce(txt.rlike(C.COOKIE_PATTERN), F.lit(False)),
-            "checked": starts & ~F.col("raw") & (tag.isin(*CHECKED_TAGS) | F.col("tok").rlike(CHECKED_ATTRIBUTES)),
-        },
-        {"is_solid": F.coalesce(core > 0, F.lit(False)), "attrs": F.when(F.col("checked"), H.attributes(F.col("tok")))},
-        {
+            "hidden": _hidden(*_DOC),
             "t": before(F.col("is_text")),
             "n": before(F.col("is_solid")),
             "k": before(F.col("mentions")),
-            "chars": F.sum(all_chars).over(running) - all_chars,
+            "chars": F.sum("chars_all").over(running) - F.col("chars_all"),
             "in_label": inside("label"),
             "in_boiler": inside(*C.BOILERPLATE_TAGS),
             "in_template": inside("template"),
@@ -179,20 +208,21 @@ def _counts_and_marks() -> Stages:
         {
             "first": F.when(F.col("is_solid"), F.col("chars") + F.col("lead")),
             "last": F.when(F.col("is_solid"), F.col("chars") + F.col("lead") + core),
+            "shown": F.col("is_solid") & ~F.col("hidden"),
         },
     ]
 
 
 @staged
 def _shared_keys() -> Stages:
-    """One window answers both set-membership questions of a page: is this rendered text node also in the
-    raw document, and does some label point at this input's id."""
+    """One window answers both set-membership questions of a page: is this rendered text node also in the raw document, and
+    does some label point at this input's id. Keys are 64-bit hashes, so the sort compares numbers; within one page two
+    texts share a hash only by a chance of one in 10**13 for a million nodes."""
     tag = F.col("tag")
     same_key = Window.partitionBy("page_id", "key")
     target = F.when(tag == "label", H.attr(F.col("attrs"), "for")).otherwise(H.attr(F.col("attrs"), "id"))
-    key = F.when(F.col("node").isNotNull(), F.concat(F.lit("t"), F.col("node"))).when(
-        F.col("checked") & tag.isin("label", "input", "textarea", "select"), F.concat(F.lit("i"), target)
-    )
+    asks = F.col("checked") & tag.isin("label", "input", "textarea", "select") & target.isNotNull()
+    key = F.when(F.col("shown"), F.col("core_hash")).when(asks, F.xxhash64(F.lit("id"), target))
     is_label = F.coalesce((tag == "label") & F.col("checked"), F.lit(False))
     return [
         {"key": key},
@@ -213,35 +243,37 @@ def _counts_at_close() -> Stages:
     ]
 
 
-def page_documents(captures: DataFrame, partitioned: bool = False) -> DataFrame:
+def page_documents(captures: DataFrame, partitioned: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """One nested row per page, the input of every check.
 
     ``els``   checked elements in document order, with half-open index ranges into ``txts``
               (t0..t1), into its non-blank entries (n0..n1) and keyword-bearing entries (k0..k1)
     ``txts``  text pieces in document order
+    ``meta``  the ``carried`` columns of the capture
     Index ranges come from running counts, so the text below an element is a slice or a difference of
     two counts, never a join of elements with text.
     """
-    rows = _counts_and_marks(_with_text(_document_tokens(captures, partitioned), *_DOC))
+    rows = _counts_and_marks(_facts(_document_tokens(captures, partitioned, carried)))
     nested = _counts_at_close(with_nesting(_shared_keys(rows), *_DOC))
     tag, kind, rendered = F.col("tag"), F.col("kind"), ~F.col("raw")
     index = lambda c, name: F.col(c).cast("int").alias(name)
     element = F.struct(
         "pos", "tag", "attrs", index("t", "t0"), index("t1", "t1"), index("n", "n0"), index("n1", "n1"),
-        F.col("k").alias("k0"), "k1", "in_label", "labelled", F.length("tok").alias("size"),
+        F.col("k").alias("k0"), "k1", "in_label", "labelled", "size",
     )
+    core = T.trim(F.col("txt"))
     piece = F.struct(
-        "pos", F.col("txt").alias("s"), "node", "in_raw", "tag", "in_boiler", "in_template", "body_mark", "first", "last"
+        "pos", F.col("txt").alias("s"), F.when(F.col("shown"), core).alias("node"), "in_raw", "tag", "in_boiler", "in_template", "body_mark", "first", "last"
     )
     starts = kind.isin("open", "rawtext") & rendered
     is_title = (tag == "title") & (kind == "rawtext")
-    size = F.coalesce(F.length("tok"), F.lit(0))
     grouped = nested.groupBy("page_id").agg(
-        F.sum(F.when(rendered, size).otherwise(0)).alias("html_chars"),
-        F.sum(F.when(F.col("raw"), F.length("node"))).alias("raw_node_chars"),
+        F.max("meta").alias("meta"),
+        F.sum(F.when(rendered, F.coalesce("size", F.lit(0))).otherwise(0)).alias("html_chars"),
+        F.sum(F.when(F.col("raw") & F.col("shown"), F.col("core_chars"))).alias("raw_node_chars"),
         F.max("raw").alias("has_raw"),
-        F.min_by("core", F.when(is_title & F.col("raw"), F.col("pos"))).alias("raw_title"),
-        F.min_by("core", F.when(is_title & rendered, F.col("pos"))).alias("rendered_title"),
+        F.min_by(F.when(is_title, core), F.when(is_title & F.col("raw"), F.col("pos"))).alias("raw_title"),
+        F.min_by(F.when(is_title, core), F.when(is_title & rendered, F.col("pos"))).alias("rendered_title"),
         F.max(F.when(rendered, F.col("body_mark"))).alias("body_kind"),
         F.count_if(F.col("mentions") & rendered).alias("k_total"),
         *[F.count_if((tag == t) & starts).cast("int").alias(f"n_{t}") for t in ("div", *C.SEMANTIC_TAGS)],

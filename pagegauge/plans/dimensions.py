@@ -32,6 +32,10 @@ class Dimension:
     def score(self) -> str:
         return f"{self.prefix}_score"
 
+    @property
+    def metrics(self) -> str:
+        return f"{self.prefix}_metrics"
+
     @property
     def findings(self) -> str:
         return f"{self.prefix}_findings"

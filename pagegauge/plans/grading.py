@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge.functions.binding import Stages, staged
@@ -19,17 +19,19 @@ PAGE_DIMENSIONS = tuple(d for d in REGISTRY if not d.per_site)
 SITE_DIMENSIONS = tuple(d for d in REGISTRY if d.per_site)
 
 
+CARRIED = ("url", "final_url", "perf", "captured_at")
+
+
 def page_rows(captures: DataFrame, partitioned: bool = False) -> DataFrame:
-    """Nested page rows plus the capture's scalar columns (one narrow extra read, no html)."""
-    meta = captures.select("page_id", "url", "final_url", "perf", "captured_at")
+    """Nested page rows plus the capture's scalar columns, which travel with the page."""
     raw_title = F.when(F.col("has_raw"), F.col("raw_title")).otherwise(F.col("rendered_title"))
-    docs = structure.page_documents(captures, partitioned).withColumn("page_title", F.nullif(raw_title, F.lit("")))
-    return docs.join(meta, "page_id")
+    docs = structure.page_documents(captures, partitioned, CARRIED)
+    return docs.withColumns({"page_title": F.nullif(raw_title, F.lit("")), **{c: F.col(f"meta.{c}") for c in CARRIED}}).drop("meta")
 
 
-def page_features(captures: DataFrame, *prefixes: str) -> DataFrame:
+def page_features(captures: DataFrame, *prefixes: str, partitioned: bool = False) -> DataFrame:
     """Feature columns of the page-level dimensions (all of them, or those with the given prefixes)."""
-    out = page_rows(captures)
+    out = page_rows(captures, partitioned)
     for dimension in PAGE_DIMENSIONS:
         if not prefixes or dimension.prefix in prefixes:
             out = dimension.features(out)
@@ -68,15 +70,25 @@ def _verdict() -> Stages:
     return [{**findings, "overall_score": overall}, {"grade": S.grade(F.col("overall_score"))}]
 
 
-def graded_pages(captures: DataFrame, site_files: DataFrame) -> DataFrame:
-    """One row per page: six scores, overall score, grade, six finding arrays and the site bodies."""
-    pages = page_features(captures)
+def metrics_of(dimension) -> Column:
+    """The dimension's sub-scores as one struct, the columns named as its parts are."""
+    return F.struct(*dimension.scores).alias(dimension.metrics)
+
+
+def graded_pages(captures: DataFrame, site_files: DataFrame, partitioned: bool = False) -> DataFrame:
+    """One row per page: six scores, overall score, grade, six structs of sub-scores, six finding arrays and the site bodies.
+
+    ``partitioned`` tells that captures are already dealt by ``page_id`` (a bucketed table), which saves the only exchange of
+    the html.
+    """
+    pages = page_features(captures, partitioned=partitioned)
     pages = _page_findings(pages)
-    keep = [d.score for d in PAGE_DIMENSIONS] + [d.findings for d in PAGE_DIMENSIONS]
+    keep = [F.col(d.score) for d in PAGE_DIMENSIONS] + [F.col(d.findings) for d in PAGE_DIMENSIONS] + [metrics_of(d) for d in PAGE_DIMENSIONS]
     slim = pages.select("page_id", "url", "final_url", "captured_at", "page_title", *keep)
     site = agent_signals.site_features(site_files)
     joined = agent_signals.features(with_site(slim, captures, site))
-    return _verdict(joined).select(
+    verdict = _verdict(joined).select("*", *[metrics_of(d) for d in SITE_DIMENSIONS])
+    return verdict.select(
         "page_id", "url", "final_url", "origin", "captured_at", "page_title", "robots", "llms", "sitemap", "overall_score", "grade",
-        *[d.score for d in REGISTRY], *[d.findings for d in REGISTRY],
+        *[d.score for d in REGISTRY], *[d.metrics for d in REGISTRY], *[d.findings for d in REGISTRY],
     )

@@ -145,9 +145,9 @@ def row_id(prefix: str, kind: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), F.left(F.sha2(F.concat(F.lit(kind + "-"), key.cast("string")), 256), F.lit(24)))
 
 
-def build_reports(captures: DataFrame, site_files: DataFrame, insights: DataFrame | None = None) -> DataFrame:
-    """One report row per capture. ``insights`` may add (page_id, verdict, quick_wins)."""
-    rows = with_findings(grading.graded_pages(captures, site_files))
+def build_reports(captures: DataFrame, site_files: DataFrame, insights: DataFrame | None = None, partitioned: bool = False) -> DataFrame:
+    """One report row per capture. ``insights`` may add (page_id, verdict, quick_wins); ``partitioned`` as in graded_pages."""
+    rows = with_findings(grading.graded_pages(captures, site_files, partitioned))
     if insights is None:
         rows = rows.withColumns(
             {"verdict": F.lit(None).cast("string"), "quick_wins": F.lit(None).cast("array<string>")}

@@ -19,9 +19,13 @@ EVIDENCE = (
 )
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """Append reports, one folder per creation date."""
-    reports.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").parquet(path)
+def write_reports(reports: DataFrame, path: str, batch: str = "all") -> None:
+    """Write the reports of one batch, by creation date and batch; the same batch written again replaces itself.
+
+    Rows are brought together by date, and a date that is large is split over several files.
+    """
+    dated = reports.withColumns({"created_date": F.to_date("created_at"), "batch": F.lit(batch)}).hint("rebalance", "created_date")
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_date", "batch").parquet(path)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

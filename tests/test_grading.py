@@ -135,3 +135,22 @@ def test_reports_validate(spark):
     assert good.count() == 0 and bad.count() == len(P.CASES)
     with pytest.raises(Exception, match="drifted"):
         store.strict(bad).select("id").collect()
+
+
+def test_sub_scores_add_up(verdicts):
+    for row in verdicts.values():
+        for d in REGISTRY:
+            assert row[d.score] == max(0, min(100, sum(row[d.metrics].asDict().values()))), (d.name, row[d.metrics])
+
+
+def test_views(spark, tmp_path):
+    from pagegauge.views import create_views
+
+    captures, files = frames(spark)
+    captures.write.parquet(str(tmp_path / "captures"))
+    files.write.parquet(str(tmp_path / "site_files"))
+    create_views(spark, str(tmp_path))
+    count = lambda table: spark.sql(f"select count(*) from {table}").first()[0]
+    assert count("reports") == count("jobs") == len(P.CASES)
+    assert spark.sql("select count(distinct job_id) from jobs join reports using (job_id)").first()[0] == len(P.CASES)
+    assert count("tokens") > count("elements") > 0 and spark.sql("select count(*) from findings where id = 'CC_H1_MISSING'").first()[0] > 0

@@ -79,12 +79,12 @@ RAW_TAGS = inlist(C.RAW_TEXT_TAGS)
 _RAW_ALT = "|".join(C.RAW_TEXT_TAGS)
 _PERF = ", ".join(f"{sql} as {name}" for name, sql in I.PERF_SQL.items())
 
-# The token grammar once more, for an engine that backtracks nowhere. Runs of bare "<" are split here; the pages have none.
+# The token grammar once more, for an engine that backtracks nowhere. Runs of bare "<" inside a page are split here; the pages have none.
 _ATTR = """[^\\s/>=]+(?:\\s*=\\s*(?:"[^"]*"|'[^']*'|[^\\s>]*))?"""
 _TOKEN = (
     "(?s)<!--.*?(?:-->|\\z)|<[!?][^>]*(?:>|\\z)|"
     + "|".join(f"<(?i:{t})(?:[\\s/][^>]*)?>.*?(?:</(?i:{t})[^>]*(?:>|\\z)|\\z)" for t in "script style title textarea noscript iframe noembed noframes xmp".split())
-    + f"|</?[a-zA-Z][^\\s/>]*(?:[\\s/]+|{_ATTR}|=)*(?:>|\\z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\\z))|(?:[^<]|<[^a-zA-Z/!?<])+|<"
+    + f"|</?[a-zA-Z][^\\s/>]*(?:[\\s/]+|{_ATTR}|=)*(?:>|\\z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\\z))|(?:[^<]|<[^a-zA-Z/!?<]|<\\z|</\\z)+|<"
 )
 
 _TOKEN_COLUMNS = f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagegauge import constants as C
 from pagegauge.functions import text as T
+from workload.rule_sql import RULES, severity
 from workload.ctes import CTES, WS, collapse, inlist, jaccard, linear_sql, lit, round_half, snip, trim, url_columns
 
 _SEM = inlist(C.SEMANTIC_TAGS)
@@ -269,9 +270,9 @@ def finding_ctes() -> None:
     for d_ord, dim in enumerate(REGISTRY):
         for i, r in enumerate(dim.rules):
             branches.append(
-                f"select page_id, '{dim.name}' as dimension, {d_ord} as dim_ord, {i} as ord, '{r.id}' as id, {r.severity} as severity, "
+                f"select page_id, '{dim.name}' as dimension, {d_ord} as dim_ord, {i} as ord, '{r.id}' as id, {severity(r.id)} as severity, "
                 f"{r.title} as title, {r.description} as description, cast({r.evidence or 'null'} as varchar) as evidence "
-                f"from {dim.prefix}f where {r.when}"
+                f"from {dim.prefix}f where {RULES[r.id][1]}"
             )
     CTES["finds"] = " union all ".join(branches)
     weighted = " + ".join(f"cast({d.score} as double) * {C.WEIGHTS[d.name]}e0" for d in REGISTRY)
