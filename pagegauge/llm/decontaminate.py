@@ -161,16 +161,17 @@ def _leaks(docs: DataFrame, bench: DataFrame, n: int, min_score: float) -> DataF
     # How often chance would put the words of a seed next to each other.
     counts = found.where("kind = 'w'").groupBy("h").agg(F.sum("pos").alias("n"))
     total = float((counts.where("h is null").select("n").first() or [1])[0] or 1)
-    parts = items.select("item_id", F.posexplode("ids").alias("q", "ids")).select("item_id", "q", F.explode("ids").alias("h"))
+    # Frequent words stand in many seeds, so each word's count is dealt to several tasks.
+    salt, salts = F.pmod("item_id", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    parts = items.select("item_id", salt, F.posexplode("ids").alias("q", "ids")).select("item_id", "salt", "q", F.explode("ids").alias("h"))
     rates = (
-        parts.join(counts, "h", "left")
+        parts.join(counts.select("h", "n", salts), ["h", "salt"], "left")
         .groupBy("item_id", "q").agg(F.sum(F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) / F.lit(total))).alias("log_rate"))
     )
     order = Window.partitionBy("item_id").orderBy("log_rate", "q")
     rare = rates.withColumn("nth", F.row_number().over(order)).where((F.col("log_rate") <= F.log(F.lit(RARE))) | (F.col("nth") <= LEAST_RARE))
     seeds = stored(seeds.join(rare.select("item_id", "q"), ["item_id", "q"]).select("h", "item_id").distinct(), "leak-seeds")
     # A passage that many documents share makes its seeds frequent among the hits, so each seed is dealt to several tasks.
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
     hits = found.where("kind = 'h'").select("k", "tag", "seg", "h", "pos", F.pmod(F.xxhash64("k", "tag"), F.lit(SALTS)).cast("int").alias("salt"))
     shared = hits.join(seeds.select("h", "item_id", salts), ["h", "salt"])
     pairs = shared.groupBy("k", "tag", "seg", "item_id").agg(F.count_distinct("pos").alias("n")).where(F.col("n") >= MIN_SEEDS)
