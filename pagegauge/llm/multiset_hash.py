@@ -117,7 +117,7 @@ def _ranges(docs: DataFrame, rows_per_range: int) -> list[int]:
         return []
     wanted = max(1, n // rows_per_range, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / wanted for i in range(1, wanted)]
-    cuts = docs.agg(F.percentile_approx("key", shares, 20 * wanted)).first()[0] if shares else []
+    cuts = docs.agg(F.percentile_approx("key", shares, max(10_000, 4 * wanted))).first()[0] if shares else []
     return sorted({least, *(cuts or [])})
 
 
