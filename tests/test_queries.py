@@ -40,10 +40,5 @@ def test_expected_sql_does_not_hang_on_the_order_of_imports():
     assert got.stdout.strip() == hashlib.md5(repr(sorted(oracles().items())).encode()).hexdigest()
 
 
-def test_expected_sql_binds(database):
-    for name, body in oracles().items():
-        database.execute(f"explain {body}")
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
