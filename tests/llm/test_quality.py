@@ -75,3 +75,28 @@ def test_edges(spark, edge_rows):
     assert kept.count() == sum(r.predicted for r in rows)
     none = labels.limit(0)
     assert quality.scores(docs, none).count() == len(edge_rows) + 2 and quality.scores(docs.limit(0), labels).count() == 0
+
+
+def prose(rng, words, n):
+    return " ".join(" ".join(rng.choice(words, 8)).capitalize() + "." for _ in range(n))
+
+
+def test_junk_of_unseen_kinds(spark):
+    """Boilerplate and keyword stuffing without any mark of the five shares go; prose from the same words as the trusted stays."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in ("ba", "lo", "mi", "tur", "sen") for b in ("ne", "ra", "vi", "ko") for c in ("l", "n", "st", "r")]
+    spam = ["cookie", "policy", "accept", "subscribe", "newsletter", "cheap", "offer", "click", "login", "terms"]
+    rows = [(i, prose(rng, words, 12), "s") for i in range(600)] + [(i, prose(rng, spam, 12), "s") for i in range(1000, 1100)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)], "doc_id bigint, quality int, toxic int")
+    docs = documents(spark, rows)
+    assert len(set(quality.cells(pd.Series([t for _, t, _ in rows])))) == 1
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == set(range(600))
+    assert {r.doc_id for r in quality.scores(docs, labels).collect() if r.predicted} == kept
+
+
+def test_one_side_empty_keeps_all(spark, small):
+    docs, labels = small("documents"), small("labels")
+    everything = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    for some in (labels.limit(0), everything):
+        assert quality.keep_good(docs, some).count() == docs.count()
