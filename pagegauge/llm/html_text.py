@@ -26,7 +26,10 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PIECES = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+# Markup of its own: a block ends it, and its tags may end themselves. Inner tags of the sheltered ones end nothing outside.
+FOREIGN = frozenset(("svg", "math"))
+SHELTERED = frozenset(("template", "noscript"))
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option select".split()
@@ -40,7 +43,7 @@ SAME = {
 STOPS = frozenset("ul ol dl table select menu dir html body td th".split())
 P_STOPS = frozenset("table td th caption button object html body".split())
 # Never part of an article, whatever they are called.
-FURNITURE = frozenset("nav footer aside form head button select input label dialog menu".split()) | RAW
+FURNITURE = frozenset("nav footer aside form head button select input label dialog menu svg template noscript annotation annotation-xml".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promoted banner sidebar sidebars "
@@ -93,6 +96,13 @@ def parse(page: str) -> _Tree:
         if piece:
             flow.append((stack[-1], 0, piece))
 
+    last_ends: dict[str, int] = {}
+
+    def ends_ahead(name: str) -> bool:
+        if name not in last_ends:
+            last_ends[name] = max((m.start() for m in re.finditer(rf"</{name}(?=[\s/>]|\Z)", page, re.I)), default=-1)
+        return last_ends[name] >= at
+
     at, size = 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -119,30 +129,37 @@ def parse(page: str) -> _Tree:
                 continue
             if name in ("html", "body"):
                 continue
-            stops = STOPS - {name} if name in ("li", "dd", "dt") else P_STOPS if name == "p" else frozenset() if name in BLOCK else BLOCK
+            stops = frozenset() if name in FOREIGN or name in SHELTERED else STOPS - {name} if name in ("li", "dd", "dt") else P_STOPS if name == "p" else frozenset() if name in BLOCK else BLOCK
             for depth in range(len(stack) - 1, 0, -1):
                 here = tags[stack[depth]]
                 if here == name:
                     pop_to(depth)
                     break
-                if here in stops:
+                if here in stops or here in SHELTERED:
                     break
             continue
         if name == "html" or (name == "body" and open_tags.get("body")):
             continue
+        if name in BLOCK and not (open_tags.get("foreignobject") or open_tags.get("annotation-xml")):
+            while open_tags.get("svg") or open_tags.get("math"):
+                pop_to(len(stack) - 1)
         if name == "body" or (name in BLOCK and open_tags.get("head")):
-            end(("head",), frozenset())
+            end(("head",), SHELTERED)
         if name in CLOSES_P and open_tags.get("p"):
-            end(("p",), P_STOPS)
+            end(("p",), P_STOPS | SHELTERED)
         if name in SAME:
-            end(SAME[name], STOPS - set(SAME[name]) if name not in ("tr", "td", "th", "tbody", "tfoot") else frozenset(("table", "html", "body")))
+            stops = STOPS - set(SAME[name]) if name not in ("tr", "td", "th", "tbody", "tfoot") else frozenset(("table", "html", "body"))
+            end(SAME[name], stops | SHELTERED)
+        if name in SHELTERED and not ends_ahead(name):
+            continue
         node = len(tags)
         tags.append(name), parents.append(stack[-1]), attrs.append(m[3])
         if name in BLOCK:
             flow.append((stack[-1], 1, ""))
         elif name == "br":
             flow.append((stack[-1], 2, ""))
-        if name in VOID or (m[3].endswith("/") and name in RAW):
+        foreign = name in FOREIGN or open_tags.get("svg") or open_tags.get("math")
+        if name in VOID or (m[3].endswith("/") and (name in RAW or name in SHELTERED or foreign)):
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)

@@ -57,3 +57,22 @@ def test_edges(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect() if r.url)
     assert got == [(0, "u", "just text", 9), (1, "u", "", 0), (3, "u", "twice", 5), (3, "u", "twice", 5)]
     assert html_text.extract(pages).count() == 5 and html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("before", [
+    "<svg><path d=1>", "<template><div>no</div>", "<noscript><img src=x>", "<math><mi>", "<div><svg><g></div>", "<svg><title>t</title><path/></svg>",
+    "<template><div>no</template>", "<noscript><p>no</noscript>", "<template></div></p><li>no</template>", "<svg><text>no</text></svg>", "<svg/>",
+])
+def test_markup_of_its_own_does_not_end_the_page(before):
+    body = "words of text " * 20
+    page = f"<html><head><noscript><div>no</div></noscript></head><body><div>{before}<article><p>{body}<p>x is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here</article></div></body>"
+    assert html_text.main_text(page) == body.strip() + "\n\nx is E=m here"
+
+
+@pytest.mark.parametrize("tag", ["svg", "template", "noscript", "math"])
+def test_repeated_open_tags_take_linear_time(tag):
+    start = time.time()
+    html_text.main_text(f"<{tag}>" * 50_000 + "<p>x")
+    html_text.main_text(f"<{tag}>" * 50_000 + f"<p>x</{tag}>")
+    html_text.main_text(f"<{tag}><p>x</{tag}>" * 20_000)
+    assert time.time() - start < 20
