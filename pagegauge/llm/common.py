@@ -54,6 +54,16 @@ def numbered(df: DataFrame, order: list[Column], out: str, name: str) -> DataFra
     )
 
 
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: list[str], salts: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has at most one row per key; the rows of a key are dealt over ``salts`` parts by ``by``.
+
+    The row of ``one`` is repeated only for the parts that are there, so a hot key is split and other keys cost little.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    parts = salted.select(*keys, "_salt").distinct().join(one, keys)
+    return salted.join(parts, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: bigint): one row (node, root) per node, root its smallest node.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegauge.llm import decontaminate, html_text, licenses, line_dedup, mixing, multiset_hash, periodic_runs, pii, quality, simhash, warc
+from pagegauge.llm import centroids, decontaminate, html_text, licenses, line_dedup, mixing, multiset_hash, periodic_runs, pii, quality, sign_hash, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,61 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), tail=True)
+
+
+def centroid_sql(clusters: int, rounds: int, length: int, scale: int, seed: str) -> str:
+    """Every distance measured, and a centroid's components as rows; no rotation and no bounds."""
+    blocks = [f"""
+v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as v
+  from embeddings where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {length} and len(embedding) = {length}),
+c0 as (select cast(row_number() over (order by sha256('{seed}:' || vec_id), v) - 1 as int) as c, v as m from v
+  where r in (select r from v order by sha256('{seed}:' || vec_id) nulls last, v limit {clusters}))"""]
+    for i in range(rounds + 1):
+        blocks.append(f"""
+a{i} as materialized (
+  select r, arg_min(c, (d, c)) as c, min(d) as d from (
+    select r, c, list_sum(list_transform(range(1, {length} + 1), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::bigint as d from v, c{i}) group by r)""")
+        if i < rounds:
+            blocks.append(f"""
+c{i + 1} as materialized (
+  select c{i}.c, coalesce(moved.m, c{i}.m) as m from c{i} left join (
+    select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as m from (
+      select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, generate_subscripts(v, 1) as i from v join a{i} using (r)) group by c, i)
+    group by c) moved on moved.c = c{i}.c)""")
+    return f"""with {",".join(blocks)}
+select vec_id, c as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(m, ',')) as centroid_sha256
+from v join a{rounds} using (r) join c{rounds} using (c)
+"""
+
+
+@query("op12_centroids", centroid_sql(clusters=16, rounds=3, length=64, scale=64, seed="1"))
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), clusters=16, rounds=3, length=64, scale=64, seed="1", lead=16)
+
+
+NEAR_VECTORS_SQL = """
+with recursive v as (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v
+  from embeddings where label is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked as materialized (
+  select a.r, a.vec_id as a, b.vec_id as b, b.r as other from v a join v b on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach as (select r, r as to from v where r in (select r from linked) union select reach.r, other from reach join linked on linked.r = reach.to),
+least as (select reach.r, min(v.vec_id) as component_id from reach join v on v.r = reach.to group by reach.r),
+counted as (select r, count(*) as n from linked group by r),
+every as (
+  select e.vec_id, coalesce(n, 0) as n_links, coalesce(component_id, e.vec_id) as component_id
+  from v e left join counted using (r) left join least using (r)
+  union all
+  select vec_id, 0, vec_id from embeddings where not (label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0))
+select vec_id, n_links, component_id, vec_id is not distinct from component_id as kept from every
+"""
+
+
+@query("op11_near_vectors", NEAR_VECTORS_SQL)
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sign_hash.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
