@@ -1,6 +1,5 @@
 """Registered queries against their expected SQL (all of them with ALL_QUERIES=1)."""
 
-import hashlib
 import os
 import subprocess
 import sys
@@ -9,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import verify
+from workload import ctes
 from workload.registry import QUERIES, oracles
 
 SAMPLE = (
@@ -34,10 +34,27 @@ def test_every_query_has_expected_sql():
     assert set(QUERIES) == set(oracles())
 
 
-def test_expected_sql_does_not_hang_on_the_order_of_imports():
-    first = "import workload.q_streams, workload.registry as r; import hashlib; print(hashlib.md5(repr(sorted(r.oracles().items())).encode()).hexdigest())"
-    got = subprocess.run([sys.executable, "-c", first], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, check=True)
-    assert got.stdout.strip() == hashlib.md5(repr(sorted(oracles().items())).encode()).hexdigest()
+_BIND = """
+import importlib, sys
+importlib.import_module(sys.argv[1])
+import verify, workload.registry as registry
+database = verify.database(sys.argv[2])
+for name, sql in sorted(registry.oracles().items()):
+    database.execute("explain " + sql)
+"""
+
+
+@pytest.mark.parametrize("first", ["workload.q_streams", "workload.q_reports", "workload.q_dimensions"])
+def test_expected_sql_binds_whatever_is_imported_first(sf_dir, first):
+    subprocess.run([sys.executable, "-c", _BIND, first, sf_dir], cwd=os.path.dirname(entry.__file__), check=True)
+
+
+def test_blocks_come_after_those_they_read(monkeypatch):
+    monkeypatch.setattr(ctes, "CTES", {"top": "select * from middle", "middle": "select 'from other' as x from base", "base": "select 1", "other": "select 2"})
+    assert [line.split(" as ")[0] for line in ctes.sql("select 'top' from top").removeprefix("with ").split(",\n")] == ["base", "middle", "top"]
+    monkeypatch.setattr(ctes, "CTES", {"a": "select * from b", "b": "select * from a"})
+    with pytest.raises(ValueError):
+        ctes.sql("select * from a")
 
 
 def test_entry(spark):

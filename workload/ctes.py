@@ -200,18 +200,23 @@ CTES["jobs"] = f"""select event_id, user_id, event_type, value, props, {I.JOB_ID
     from events"""
 
 
-def sql(body: str) -> str:
-    """Prefix a query with the blocks it (transitively) names."""
-    needed: list[str] = []
+_LITERAL = re.compile(r"'(?:[^']|'')*'")
+_SOURCE = re.compile(r"\b(?:from|join)\s+([a-z_]\w*)", re.IGNORECASE)
 
-    def visit(text: str):
-        for name in CTES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.append(name)
-                visit(CTES[name])
 
-    visit(body)
-    ordered = [n for n in CTES if n in needed]
+def sql(body: str) -> str:
+    """Prefix a query with the blocks that it reads, directly or through others: each after those that it reads itself."""
+    ordered: list[str] = []
+
+    def visit(text: str, open_blocks: tuple[str, ...]):
+        for name in dict.fromkeys(_SOURCE.findall(_LITERAL.sub("''", text))):
+            if name in CTES and name not in ordered:
+                if name in open_blocks:
+                    raise ValueError(f"block {name} reads itself")
+                visit(CTES[name], (*open_blocks, name))
+                ordered.append(name)
+
+    visit(body, ())
     if not ordered:
         return body
     head = ",\n".join(f"{n} as materialized ({CTES[n]})" for n in ordered)

@@ -172,7 +172,7 @@ def newest(jobs):
 CTES["nowt"] = "select max(created_at) as now from jobs"
 CTES["counts"] = "select " + ", ".join(
     f"count(*) filter (status = '{s}') as {s.lower()}" for s in C.JOB_STATUSES
-) + " from jobs, nowt where created_at >= now - interval 1 hour"
+) + " from jobs cross join nowt where created_at >= now - interval 1 hour"
 
 
 @query("metrics_by_status", "select pending, running, completed, failed, pending + running + completed + failed as total from counts")
@@ -191,7 +191,7 @@ def metrics_error_rate(t):
     "metrics_duration_pct",
     """select count(*) as sample_size, cast(floor(quantile_cont(ms, 0.5) + 5e-1) as bigint) as p50, cast(floor(quantile_cont(ms, 0.95) + 5e-1) as bigint) as p95,
         cast(floor(quantile_cont(ms, 0.99) + 5e-1) as bigint) as p99
-       from (select (epoch_us(completed_at) - epoch_us(started_at)) / 1000e0 as ms from jobs, nowt
+       from (select (epoch_us(completed_at) - epoch_us(started_at)) / 1000e0 as ms from jobs cross join nowt
              where status = 'COMPLETED' and started_at is not null and completed_at >= now - interval 1 hour)""",
 )
 def metrics_duration_pct(t):
@@ -243,19 +243,19 @@ def report_delete_authorised(t):
 KEEP_DAYS = 7
 
 
-@query("retention_expired", f"select job_id from jobs, nowt where created_at < now - interval {KEEP_DAYS} day")
+@query("retention_expired", f"select job_id from jobs cross join nowt where created_at < now - interval {KEEP_DAYS} day")
 def retention_expired(t):
     jobs = t.jobs()
     return J.expired(jobs, newest(jobs), KEEP_DAYS).select("job_id")
 
 
-CTES["kept"] = f"select job_id, status from jobs, nowt where created_at >= now - interval {KEEP_DAYS} day"
+CTES["kept"] = f"select job_id, status from jobs cross join nowt where created_at >= now - interval {KEEP_DAYS} day"
 
 
 @query(
     "retention_apply",
     f"""select 'job' as kind, job_id from kept union all select 'report', job_id from kept where status = 'COMPLETED'
-        union all select 'deleted', cast(count(*) as varchar) from jobs, nowt where created_at < now - interval {KEEP_DAYS} day""",
+        union all select 'deleted', cast(count(*) as varchar) from jobs cross join nowt where created_at < now - interval {KEEP_DAYS} day""",
 )
 def retention_apply(t):
     """Write the job table by day, apply retention in place, read back; reports follow by cascade."""

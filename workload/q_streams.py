@@ -157,7 +157,7 @@ CTES["wm"] = "select max(t0 + step * case when done then 3 else 2 end) // 1000 *
 @query(
     "st_stalled_jobs",
     """select job_id, 10 as value, t0 as since_us from prog where step * 2 > 60000000
-       union all select job_id, 30, t0 + step * 2 from prog, wm where (done and step > 60000000) or (not done and t0 + step * 2 + 60000000 < wm)""",
+       union all select job_id, 30, t0 + step * 2 from prog cross join wm where (done and step > 60000000) or (not done and t0 + step * 2 + 60000000 < wm)""",
 )
 def st_stalled_jobs(t):
     return collect_alerts(t, deadlines.stalled)
@@ -165,7 +165,7 @@ def st_stalled_jobs(t):
 
 @query(
     "st_job_timeout",
-    "select job_id, t0 as since_us from prog, wm where (done and step * 3 > 90000000) or (not done and t0 + 90000000 < wm)",
+    "select job_id, t0 as since_us from prog cross join wm where (done and step * 3 > 90000000) or (not done and t0 + 90000000 < wm)",
 )
 def st_job_timeout(t):
     return collect_alerts(t, deadlines.overrun).drop("value")
