@@ -51,8 +51,21 @@ VOID_TAGS = (
 RAW_TEXT_TAGS = ("script", "style", "title", "textarea", "iframe", "noscript", "xmp", "noembed", "noframes")
 HIDDEN_TAGS = ("script", "style", "noscript", "iframe")
 ESCAPABLE_RAW_TAGS = ("title", "textarea")
-# A second start tag of these ends the open one.
-SELF_ENDING_TAGS = ("a", "button", "option", "p", "h1", "h2", "h3", "h4", "h5", "h6")
+# Elements that an end tag from outside does not reach into, and those that end tags of inline elements do not reach out of.
+SCOPE_TAGS = ("applet", "caption", "html", "marquee", "object", "table", "td", "template", "th")
+SPECIAL_TAGS = (
+    "address", "applet", "article", "aside", "blockquote", "body", "button", "caption", "center", "colgroup", "dd", "details", "dialog",
+    "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head",
+    "header", "hgroup", "html", "li", "listing", "main", "marquee", "menu", "nav", "object", "ol", "p", "plaintext", "pre", "search",
+    "section", "select", "summary", "table", "tbody", "td", "template", "tfoot", "th", "thead", "tr", "ul",
+)
+# Start tags that end an open p.
+PARAGRAPH_ENDING_TAGS = (
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure",
+    "footer", "form", "header", "hgroup", "hr", "listing", "main", "menu", "nav", "ol", "p", "plaintext", "pre", "search", "section",
+    "summary", "table", "ul",
+)
+TABLE_SECTION_TAGS = ("tbody", "tfoot", "thead")
 
 # -- fixed values: structured data ------------------------------------------------------------
 KNOWN_SCHEMA_TYPES = (

@@ -1,9 +1,9 @@
-"""Page structure: captures -> tokens -> elements and text nodes -> one nested row per page.
+"""Page structure: captures -> tokens -> element tree and text nodes -> one nested row per page.
 
-Plan shape. Captures are hash-partitioned by ``page_id`` once, while a page is still one row. Everything
-after that (token explode, windows over page / page+tag / page+tag+level, the per-page aggregate) is
-clustered by ``page_id`` and reuses that partitioning, so the html crosses the network once and no token
-ever does. A capture table bucketed by ``page_id`` saves that exchange too (``partitioned=True``).
+Plan shape. The element tree is worked out first, from the names of the tags, while a page is one row. Then captures are
+hash-partitioned by ``page_id`` once, with the tree as arrays of numbers. Everything after that (token explode, windows over a
+page, the per-page aggregate) is clustered by ``page_id`` and reuses that partitioning, so the html crosses the network once
+and no token ever does. Of a capture table bucketed by ``page_id`` only the trees cross it (``partitioned=True``).
 Groups are single pages, so no window or aggregate group grows with the table.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagegauge import constants as C
 from pagegauge.functions import html as H
 from pagegauge.functions import text as T
+from pagegauge.functions import tree as X
 from pagegauge.functions.binding import Stages, staged
 
 # Elements the checks look at; the rest are only counted, unless an attribute below makes them matter.
@@ -25,19 +26,48 @@ CHECKED_TAGS = (
 CHECKED_ATTRIBUTES = r"(?i)[\s\"'/](?:style|role|aria-modal|onclick|itemscope)"
 
 
-def tokens(captures: DataFrame, html: str = "rendered_html", partitioned: bool = False) -> DataFrame:
-    """(page_id, pos, kind, tag, tok): ordered tokens of one document column."""
+_ELEMENT_KINDS = ("open", "script", "style", "rawtext")
+_NODE_COLUMNS = ("tok", "tag", "kind")
+_GRADED_PLACES = ("close_pos", "inside")
+
+
+def _parsed(html: Column) -> Column:
+    """Ordered tokens of a document with tag and kind."""
+    named = F.transform(H.tokens(html), lambda t: F.struct(t.alias("tok"), H.tag_name(t).alias("tag")))
+    return F.transform(named, lambda x: F.struct(x["tok"].alias("tok"), x["tag"].alias("tag"), H.token_kind(x["tok"], x["tag"]).alias("kind")))
+
+
+def _tree_of(html: Column) -> Column:
+    return X.trees(F.transform(_parsed(html), lambda x: X.mark(x["tok"], x["tag"], x["kind"])))
+
+
+def _clustered(pages: DataFrame, trees: dict[str, Column], partitioned: bool) -> DataFrame:
+    """Pages clustered by ``page_id``, with the trees that Python works out.
+
+    Pages are shuffled behind that step, as Spark forgets there how rows lie; the trees cross as arrays of numbers. Pages that
+    lie right already stay where they are, and only the trees are shuffled to them.
+    """
+    if partitioned:
+        return pages.join(pages.withColumns(trees).select("page_id", *trees), "page_id")
+    return pages.withColumns(trees).repartition("page_id")
+
+
+def _exploded(documents: DataFrame, places: tuple[str, ...], *carried: str) -> DataFrame:
+    """The carried columns, pos, tok, tag, kind and the chosen places in the tree; a document without tokens keeps one row."""
+    each = documents.select(*carried, _parsed(F.col("html")).alias("parsed"), *(F.col("tree")[c].alias(c) for c in places))
+    rows = each.select(*carried, F.posexplode_outer(F.arrays_zip("parsed", *places)).alias("pos", "x"))
+    return rows.select(*carried, "pos", *(F.col(f"x.parsed.{c}").alias(c) for c in _NODE_COLUMNS), *(F.col(f"x.{c}").alias(c) for c in places))
+
+
+def _tokens_in_tree(captures: DataFrame, html: str, places: tuple[str, ...], partitioned: bool = False) -> DataFrame:
     pages = captures.select("page_id", F.col(html).alias("html"))
-    if not partitioned:
-        pages = pages.repartition("page_id")
-    exploded = pages.select("page_id", F.posexplode(H.tokens(F.col("html"))).alias("pos", "tok"))
-    return _classify(exploded)
+    return _exploded(_clustered(pages, {"tree": _tree_of(F.col("html"))}, partitioned), places, "page_id").where("pos is not null")
 
 
-def _classify(exploded: DataFrame) -> DataFrame:
-    return exploded.withColumn("tag", H.tag_name(F.col("tok"))).withColumn(
-        "kind", H.token_kind(F.col("tok"), F.col("tag"))
-    )
+def tokens(captures: DataFrame, html: str = "rendered_html") -> DataFrame:
+    """(page_id, pos, kind, tag, tok): ordered tokens of one document column."""
+    exploded = captures.select("page_id", F.posexplode(H.tokens(F.col(html))).alias("pos", "tok"))
+    return exploded.withColumn("tag", H.tag_name(F.col("tok"))).withColumn("kind", H.token_kind(F.col("tok"), F.col("tag")))
 
 
 def _document_tokens(captures: DataFrame, partitioned: bool, carried: tuple[str, ...]) -> DataFrame:
@@ -47,48 +77,28 @@ def _document_tokens(captures: DataFrame, partitioned: bool, carried: tuple[str,
     """
     meta = F.struct(*carried) if carried else F.struct(F.lit(0).alias("none"))
     pages = captures.select("page_id", "raw_html", "rendered_html", meta.alias("meta"))
-    if not partitioned:
-        pages = pages.repartition("page_id")
-    empty = F.lit("")
-    rendered = F.struct(F.lit(False).alias("raw"), F.coalesce("rendered_html", empty).alias("html"))
-    raw = F.struct(F.lit(True).alias("raw"), F.coalesce("raw_html", empty).alias("html"))
     same = F.col("raw_html").eqNullSafe(F.col("rendered_html"))
-    documents = pages.select(
-        "page_id", "meta", F.inline(F.when(same, F.array(rendered)).otherwise(F.array(rendered, raw)))
-    )
-    # The outer form keeps a row for an empty document.
-    exploded = documents.select("page_id", "meta", "raw", F.posexplode_outer(H.tokens(F.col("html"))).alias("pos", "tok"))
+    slim = lambda tree: F.struct(*(tree[c].alias(c) for c in _GRADED_PLACES))
+    trees = {"rendered_tree": slim(_tree_of(F.col("rendered_html"))), "raw_tree": slim(_tree_of(F.when(~same, F.col("raw_html"))))}
+    pages = _clustered(pages, trees, partitioned)
+    empty = F.lit("")
+    rendered = F.struct(F.lit(False).alias("raw"), F.coalesce("rendered_html", empty).alias("html"), F.col("rendered_tree").alias("tree"))
+    raw = F.struct(F.lit(True).alias("raw"), F.coalesce("raw_html", empty).alias("html"), F.col("raw_tree").alias("tree"))
+    documents = pages.select("page_id", "meta", F.inline(F.when(same, F.array(rendered)).otherwise(F.array(rendered, raw))))
+    exploded = _exploded(documents, _GRADED_PLACES, "page_id", "meta", "raw")
     first = ~F.col("raw") & (F.coalesce("pos", F.lit(0)) == 0)
-    return _classify(exploded.withColumn("meta", F.when(first, F.col("meta"))))
-
-
-def with_nesting(tokens: DataFrame, *document: str) -> DataFrame:
-    """Add ``level`` (same-tag nesting) and ``close_pos`` to every token row; NULL close = end of page."""
-    document = document or ("page_id",)
-    opens = (F.col("kind") == "open") & ~F.col("tag").isin(*C.VOID_TAGS)
-    closes = (F.col("kind") == "close") & ~F.col("tag").isin(*C.VOID_TAGS)
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    by_tag = Window.partitionBy(*document, "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    depth = F.sum(step).over(by_tag)
-    level = F.when(F.col("tag").isin(*C.SELF_ENDING_TAGS), F.lit(0)).when(opens, depth - 1).when(closes, depth)
-    by_level = Window.partitionBy(*document, "tag", "level").orderBy("pos")
-    nested = tokens.withColumn("level", level.cast("int"))
-    partner = F.when(opens, F.lead("pos").over(by_level)).when(
-        F.col("kind").isin("open", "script", "style", "rawtext"), F.col("pos")
-    )
-    return nested.withColumn("close_pos", partner).withColumn("is_container", opens)
+    return exploded.withColumn("meta", F.when(first, F.col("meta")))
 
 
-def elements(captures: DataFrame, html: str = "rendered_html") -> DataFrame:
-    """(page_id, pos, tag, attrs, close_pos, level): one row per element; unclosed ones end with the page."""
-    page = Window.partitionBy("page_id")
-    nested = with_nesting(tokens(captures, html)).withColumn(
-        "close_pos", F.coalesce("close_pos", F.max("pos").over(page) + 1)
-    )
-    return nested.where(F.col("kind").isin("open", "script", "style", "rawtext")).select(
-        "page_id", "pos", "tag", H.attributes(F.col("tok")).alias("attrs"), "close_pos",
-        F.coalesce("level", F.lit(0)).alias("level"),
-    )
+def elements(captures: DataFrame, html: str = "rendered_html", partitioned: bool = False) -> DataFrame:
+    """(page_id, pos, tag, attrs, close_pos, parent, level): one row per element.
+
+    ``pos`` and ``close_pos`` number the tokens that begin and end it, so an element is below another if its ``pos`` lies
+    between the other's; ``parent`` is the ``pos`` of the element around it (NULL at the top), ``level`` the number of elements
+    around it. An element without content ends where it begins; one that nothing ends, ends behind the last token.
+    """
+    rows = _tokens_in_tree(captures, html, ("close_pos", "parent", "level"), partitioned).where(F.col("kind").isin(*_ELEMENT_KINDS))
+    return rows.select("page_id", "pos", "tag", H.attributes(F.col("tok")).alias("attrs"), "close_pos", F.expr("nullif(parent, -1)").alias("parent"), "level")
 
 
 def attributes(captures: DataFrame, html: str = "rendered_html") -> DataFrame:
@@ -110,30 +120,28 @@ def _text() -> Column:
     )
 
 
-def _hidden(*document: str) -> Column:
+def _hidden() -> Column:
     """Whether a token's text is not shown, by its own tag or by a template around it."""
-    kind, tag = F.col("kind"), F.col("tag")
-    template = F.when((tag == "template") & (kind == "open"), 1).when((tag == "template") & (kind == "close"), -1)
-    before = Window.partitionBy(*document).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return (F.sum(F.coalesce(template, F.lit(0))).over(before) > 0) | F.coalesce(tag.isin(*C.HIDDEN_TAGS), F.lit(False))
+    return X.in_template(F.col("inside")) | F.coalesce(F.col("tag").isin(*C.HIDDEN_TAGS), F.lit(False))
 
 
-def _with_text(tokens: DataFrame, *document: str) -> DataFrame:
-    """Add ``txt`` (decoded text of the token) and ``node`` (trimmed visible text node or NULL)."""
-    out = tokens.withColumn("txt", _text()).withColumn("hidden", _hidden(*document))
+def _with_text(captures: DataFrame, html: str) -> DataFrame:
+    """Tokens with ``txt`` (decoded text of the token) and ``node`` (trimmed visible text node or NULL)."""
+    rows = _tokens_in_tree(captures, html, ("inside",))
+    out = rows.withColumn("txt", _text()).withColumn("hidden", _hidden())
     return out.withColumn("node", F.when(~F.col("hidden"), F.nullif(T.trim(F.col("txt")), F.lit(""))))
 
 
 def text_nodes(captures: DataFrame, html: str = "rendered_html") -> DataFrame:
     """(page_id, pos, node): non-empty visible text nodes in document order."""
-    return _with_text(tokens(captures, html), "page_id").where(F.col("node").isNotNull()).select(
+    return _with_text(captures, html).where(F.col("node").isNotNull()).select(
         "page_id", "pos", "node"
     )
 
 
 def visible_text(captures: DataFrame, html: str = "rendered_html") -> DataFrame:
     """(page_id, visible_text): text nodes joined by one space, white space collapsed."""
-    rows = _with_text(tokens(captures, html), "page_id")
+    rows = _with_text(captures, html)
     nodes = F.array_sort(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("pos", "node"))))
     return rows.groupBy("page_id").agg(nodes.alias("nodes")).select(
         "page_id", T.collapse(F.array_join("nodes.node", " ")).alias("visible_text")
@@ -179,30 +187,26 @@ def _facts() -> Stages:
 
 @staged
 def _counts_and_marks() -> Stages:
-    """Running counts before each token and nesting flags."""
-    tag, kind = F.col("tag"), F.col("kind")
+    """Running counts before each token and what the tree says of it."""
+    tag, kind, inside = F.col("tag"), F.col("kind"), F.coalesce("inside", F.lit(0))
     running = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
     def before(flag):
         one = F.when(flag, 1).otherwise(0)
         return F.sum(one).over(running) - one
 
-    def inside(*tags):
-        step = F.when(tag.isin(*tags), F.when(kind == "open", 1).when(kind == "close", -1)).otherwise(0)
-        return F.sum(F.coalesce(step, F.lit(0))).over(running) > 0
-
     mark = F.when((kind == "open") & (tag == "body"), 2).when((kind == "close") & (tag == "head"), 1).otherwise(0)
     core = F.col("core_chars")
     return [
         {
-            "hidden": _hidden(*_DOC),
+            "hidden": X.in_template(inside) | F.coalesce(tag.isin(*C.HIDDEN_TAGS), F.lit(False)),
             "t": before(F.col("is_text")),
             "n": before(F.col("is_solid")),
             "k": before(F.col("mentions")),
             "chars": F.sum("chars_all").over(running) - F.col("chars_all"),
-            "in_label": inside("label"),
-            "in_boiler": inside(*C.BOILERPLATE_TAGS),
-            "in_template": inside("template"),
+            "in_label": X.in_label(inside),
+            "in_boiler": X.in_boilerplate(inside),
+            "in_template": X.in_template(inside),
             "body_mark": F.max(mark).over(running),
         },
         {
@@ -230,17 +234,18 @@ def _shared_keys() -> Stages:
     ]
 
 
-@staged
-def _counts_at_close() -> Stages:
-    """Running counts where each element ends; a void or raw-text element covers only its own text."""
-    by_level = Window.partitionBy(*_DOC, "tag", "level").orderBy("pos")
-    own = {"t": "is_text", "n": "is_solid", "k": "mentions"}
-    return [
-        {
-            f"{c}1": F.when(F.col("is_container"), F.lead(c).over(by_level)).otherwise(F.col(c) + F.col(flag).cast("int"))
-            for c, flag in own.items()
-        }
+def _closed(e: Column) -> Column:
+    """An element of ``els`` with the running counts where it ends, read from the page's list of them; NULL at the end of the page."""
+    at_end = F.get("counts", e["ends"])
+    own = {"t": e["is_text"], "n": e["is_solid"], "k": e["mentions"]}
+    closed = [
+        F.when(e["ends"] > e["pos"], at_end[c].cast(kind)).otherwise((e[f"{c}0"] + flag.cast("int")).cast(kind)).alias(f"{c}1")
+        for (c, flag), kind in zip(own.items(), ("int", "int", "bigint"), strict=True)
     ]
+    return F.struct(
+        e["pos"].alias("pos"), e["tag"].alias("tag"), e["attrs"].alias("attrs"), e["t0"].alias("t0"), closed[0], e["n0"].alias("n0"), closed[1],
+        e["k0"].alias("k0"), closed[2], e["in_label"].alias("in_label"), e["labelled"].alias("labelled"), e["size"].alias("size"),
+    )
 
 
 def page_documents(captures: DataFrame, partitioned: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -253,13 +258,12 @@ def page_documents(captures: DataFrame, partitioned: bool = False, carried: tupl
     Index ranges come from running counts, so the text below an element is a slice or a difference of
     two counts, never a join of elements with text.
     """
-    rows = _counts_and_marks(_facts(_document_tokens(captures, partitioned, carried)))
-    nested = _counts_at_close(with_nesting(_shared_keys(rows), *_DOC))
+    rows = _shared_keys(_counts_and_marks(_facts(_document_tokens(captures, partitioned, carried))))
     tag, kind, rendered = F.col("tag"), F.col("kind"), ~F.col("raw")
     index = lambda c, name: F.col(c).cast("int").alias(name)
     element = F.struct(
-        "pos", "tag", "attrs", index("t", "t0"), index("t1", "t1"), index("n", "n0"), index("n1", "n1"),
-        F.col("k").alias("k0"), "k1", "in_label", "labelled", "size",
+        "pos", "tag", "attrs", F.col("close_pos").alias("ends"), index("t", "t0"), index("n", "n0"), F.col("k").alias("k0"),
+        "is_text", "is_solid", "mentions", "in_label", "labelled", "size",
     )
     core = T.trim(F.col("txt"))
     piece = F.struct(
@@ -267,7 +271,7 @@ def page_documents(captures: DataFrame, partitioned: bool = False, carried: tupl
     )
     starts = kind.isin("open", "rawtext") & rendered
     is_title = (tag == "title") & (kind == "rawtext")
-    grouped = nested.groupBy("page_id").agg(
+    grouped = rows.groupBy("page_id").agg(
         F.max("meta").alias("meta"),
         F.sum(F.when(rendered, F.coalesce("size", F.lit(0))).otherwise(0)).alias("html_chars"),
         F.sum(F.when(F.col("raw") & F.col("shown"), F.col("core_chars"))).alias("raw_node_chars"),
@@ -278,6 +282,7 @@ def page_documents(captures: DataFrame, partitioned: bool = False, carried: tupl
         F.count_if(F.col("mentions") & rendered).alias("k_total"),
         *[F.count_if((tag == t) & starts).cast("int").alias(f"n_{t}") for t in ("div", *C.SEMANTIC_TAGS)],
         F.array_sort(F.collect_list(F.when(F.col("checked"), element))).alias("els"),
+        F.array_sort(F.collect_list(F.when(rendered & F.col("pos").isNotNull(), F.struct("pos", "t", "n", "k")))).alias("counts"),
         F.array_sort(F.collect_list(F.when(F.col("is_text") & rendered, piece))).alias("txts"),
     )
-    return grouped.withColumn("solid", F.filter("txts", lambda p: p["first"].isNotNull()))
+    return grouped.withColumn("els", F.transform("els", _closed)).withColumn("solid", F.filter("txts", lambda p: p["first"].isNotNull())).drop("counts")

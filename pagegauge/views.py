@@ -20,8 +20,8 @@ def create_views(spark: SparkSession, path: str, partitioned: bool = False) -> d
     graded = graded_pages(captures, site_files, partitioned)
     built = reports.build_reports(captures, site_files, partitioned=partitioned)
     views = {
-        "tokens": structure.tokens(captures, partitioned=partitioned),
-        "elements": structure.elements(captures),
+        "tokens": structure.tokens(captures),
+        "elements": structure.elements(captures, partitioned=partitioned),
         "findings": reports.findings_long(graded),
         "reports": built,
         "jobs": _jobs(spark, path, built),

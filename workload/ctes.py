@@ -107,22 +107,81 @@ def _tokens(source: str, html: str) -> str:
       from (select page_id, regexp_extract_all({html}, {lit(_TOKEN)}) as toks from {source}))"""
 
 
-def _texts(tokens: str) -> str:
-    return f"""select *, case when not hidden then nullif({trim('txt')}, '') end as node from (
-      select page_id, pos, tok, tag, kind,
-        case when kind = 'text' then {decode('tok')}
-             when kind = 'rawtext' and tag in ('title', 'textarea') then {decode(_BODY)}
-             when kind in ('script', 'style', 'rawtext') then {_BODY} end as txt,
-        coalesce(tag in {inlist(C.HIDDEN_TAGS)}, false) or sum(case when tag = 'template' and kind = 'open' then 1
-             when tag = 'template' and kind = 'close' then -1 else 0 end) over (partition by page_id order by pos) > 0 as hidden,
-        sum(case when tag = 'template' and kind = 'open' then 1 when tag = 'template' and kind = 'close' then -1 else 0 end)
-          over (partition by page_id order by pos) > 0 as in_template
-      from {tokens})"""
+VOID = inlist(C.VOID_TAGS)
 
+# The tree rules as rows: mark, tag, what it ends, what it does not reach out of, whether the outermost such element ends.
+_SCOPE = "applet caption html marquee object table td template th".split()
+_HEADS = "h1 h2 h3 h4 h5 h6".split()
+_SPECIAL = _SCOPE + _HEADS + (
+    "address article aside blockquote body button center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
+    "head header hgroup li listing main menu nav ol p plaintext pre search section select summary tbody tfoot thead tr ul"
+).split()
+_ENDS_P = (
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr listing main menu nav ol p "
+    "plaintext pre search section summary table ul"
+).split()
+
+
+def _less(names, *without):
+    return [n for n in names if n not in without]
+
+
+def _tree_rules() -> list[tuple[str, str, list[str], list[str]]]:
+    table, parts = ["table", "template", "html"], ["tr", "td", "th", "caption", "colgroup"]
+    rules = [("open", t, ["p"], [*_SCOPE, "button"]) for t in _ENDS_P]
+    rules += [("open", t, ["p", *_HEADS], _less(_SPECIAL, "p", *_HEADS)) for t in _HEADS]
+    rules += [("open", "li", ["li", "p"], _less(_SPECIAL, "address", "div", "p", "li"))]
+    rules += [("open", t, ["dd", "dt", "p"], _less(_SPECIAL, "address", "div", "p", "dd", "dt")) for t in ("dd", "dt")]
+    rules += [("open", "option", ["option"], _SPECIAL), ("open", "optgroup", ["option", "optgroup"], _SPECIAL)]
+    rules += [("open", "a", ["a"], _SCOPE), ("open", "button", ["button"], _SCOPE)]
+    rules += [("open", t, ["td", "th"], [*table, "tr"]) for t in ("td", "th")] + [("open", "tr", parts, table)]
+    rules += [("open", t, [*parts, "tbody", "thead", "tfoot"], table) for t in ("tbody", "thead", "tfoot")]
+    rules += [("close", t, _HEADS, _SCOPE) for t in _HEADS] + [("close", t, [t], []) for t in ("body", "html")]
+    rules += [("close", t, [t], _less(table, t)) for t in ("table", "caption", "tr", "td", "th", "tbody", "thead", "tfoot")]
+    rules += [("close", "li", ["li"], [*_SCOPE, "ol", "ul"]), ("close", "p", ["p"], [*_SCOPE, "button"])]
+    done = {t for k, t, _, _ in rules if k == "close"}
+    return rules + [("close", t, [t], _less(_SCOPE, t)) for t in _SPECIAL if t not in done]
+
+
+_RULES = ", ".join(f"('{k}', '{t}', {ends}::varchar[], {stops}::varchar[])" for k, t, ends, stops in _tree_rules())
+# Place (from 1) on the stack of the innermost element that is a barrier; what is ended stands above it.
+_STOP = "coalesce(list_max(list_filter(range(1, len(stack) + 1), lambda i: list_contains(k.stops, stack[i].tag))), 0)"
+_HITS = f"list_filter(range(1, len(stack) + 1), lambda i: list_contains(k.ends, stack[i].tag) and i > {_STOP})"
+
+
+def _tree(tokens: str) -> str:
+    """Per token: the elements that it ends, its parent and level, what it is inside of. A walk, token by token, of all pages at once."""
+    return f"""with recursive rules(mark, rtag, ends, stops) as (values {_RULES}),
+      steps as materialized (
+        select t.page_id, cast(row_number() over (partition by t.page_id order by t.pos) as int) as step, t.pos, t.tag, t.kind, t.tok,
+          coalesce(r.ends, case when t.kind = 'close' then [t.tag] else []::varchar[] end) as ends, coalesce(r.stops, {_SPECIAL}::varchar[]) as stops
+        from {tokens} t left join rules r on r.mark = t.kind and r.rtag = t.tag),
+      walk(page_id, step, pos, stack, gone, parent, level, tags) as (
+        select page_id, 0, -1, []::struct(pos bigint, tag varchar)[], []::bigint[], null::bigint, 0, []::varchar[] from steps group by page_id
+        union all
+        select page_id, step, pos, case when pushes then list_append(left_over, {{'pos': pos, 'tag': tag}}) else left_over end, gone, parent, level, tags from (
+          select *, left_over[-1].pos as parent, len(left_over) as level, list_transform(left_over, lambda s: s.tag) as tags,
+            kind = 'open' and tag not in {VOID} and not (ends_with(tok, '/>') and len(list_filter(left_over, lambda s: s.tag in ('svg', 'math'))) > 0) as pushes
+          from (
+            select *, list_slice(stack, 1, coalesce(cut, len(stack) + 1) - 1) as left_over,
+              list_transform(list_slice(stack, coalesce(cut, len(stack) + 1), len(stack)), lambda s: s.pos) as gone
+            from (
+              select k.page_id, k.step, k.pos, k.tag, k.kind, k.tok, w.stack, case when k.kind = 'open' then list_min({_HITS}) else list_max({_HITS}) end as cut
+              from walk w join steps k on k.page_id = w.page_id and k.step = w.step + 1))))
+      select page_id, pos, gone, parent, level, list_contains(tags, 'template') as under_template, list_contains(tags, 'svg') or list_contains(tags, 'math') as drawing,
+        len(list_intersect(tags, ['header', 'footer', 'nav', 'aside'])) > 0 as under_boiler from walk where step > 0"""
+
+
+def _texts(tokens: str, tree: str) -> str:
+    return f"""select *, case when not hidden then nullif({trim('txt')}, '') end as node from (
+      select t.page_id, t.pos, t.tok, t.tag, t.kind,
+        case when t.kind = 'text' then {decode('tok')}
+             when t.kind = 'rawtext' and t.tag in ('title', 'textarea') then {decode(_BODY)}
+             when t.kind in ('script', 'style', 'rawtext') then {_BODY} end as txt,
+        coalesce(t.tag in {inlist(C.HIDDEN_TAGS)}, false) or w.under_template or (t.kind = 'open' and t.tag = 'template') as hidden,
+        w.under_template as in_template
+      from {tokens} t join {tree} w on w.page_id = t.page_id and w.pos = t.pos)"""
 
-VOID = inlist(C.VOID_TAGS)
-_OPEN = f"(kind = 'open' and tag not in {VOID})"
-_CLOSE = f"(kind = 'close' and tag not in {VOID})"
 
 # URL splitting
 _U = lit(C.URL_PATTERN)
@@ -149,15 +208,17 @@ CTES: dict[str, str] = {
         make_timestamp((1706659200 + page_id) * 1000000) as captured_at, {I.ORIGIN_SQL} as origin from caps0""",
     "tok": _tokens("caps", "rendered_html"),
     "raw_tok": _tokens("caps", "raw_html"),
-    "txt": _texts("tok"),
-    "raw_txt": _texts("raw_tok"),
-    "nest0": f"""select *, case when tag in {inlist(C.SELF_ENDING_TAGS)} then 0 when {_OPEN} then run - 1 when {_CLOSE} then run end as level
-      from (select *, sum(case when {_OPEN} then 1 when {_CLOSE} then -1 else 0 end)
-            over (partition by page_id, tag order by pos) as run from tok)""",
-    "els": f"""select page_id, pos, tag, kind, tok, coalesce(level, 0) as level,
-        case when {_OPEN} then nxt else pos end as close_pos, coalesce(case when {_OPEN} then nxt else pos end, 1000000000) as upto, kind = 'open' and tag not in {VOID} as container
-      from (select *, lead(pos) over (partition by page_id, tag, level order by pos) as nxt from nest0)
-      where kind in ('open', 'script', 'style', 'rawtext')""",
+    "tree": _tree("tok"),
+    "raw_tree": _tree("raw_tok"),
+    "txt": _texts("tok", "tree"),
+    "raw_txt": _texts("raw_tok", "raw_tree"),
+    "ended": "select page_id, unnest(gone) as pos, pos as close_pos from tree",
+    "els": f"""select page_id, pos, tag, kind, tok, level, parent, case when container then close_pos else pos end as close_pos,
+        coalesce(case when container then close_pos else pos end, 1000000000) as upto, container
+      from (select t.*, w.level, w.parent, n.close_pos,
+          t.kind = 'open' and t.tag not in {VOID} and not (ends_with(t.tok, '/>') and w.drawing) as container
+        from tok t join tree w on w.page_id = t.page_id and w.pos = t.pos left join ended n on n.page_id = t.page_id and n.pos = t.pos
+        where t.kind in ('open', 'script', 'style', 'rawtext'))""",
     "attr0": f"""select page_id, pos, tag, unnest(parts) as part, generate_subscripts(parts, 1) as ord from (
         select page_id, pos, tag, regexp_extract_all(regexp_replace(
             case when tag in {RAW_TAGS} then regexp_extract(tok, '^<[^>]*>') else tok end, '^<[a-zA-Z][^\\s/>]*', ''),

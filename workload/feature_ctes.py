@@ -182,9 +182,9 @@ CTES["pff"] = f"""select *, {score('pf_score', 'pf_ttfb_score + pf_page_score +
   from caps p left join banner b using (page_id))"""
 
 # -- content clarity --------------------------------------------------------------------------------
-CTES["mark"] = f"""select page_id, pos, max(case when kind = 'open' and tag = 'body' then 2 when kind = 'close' and tag = 'head' then 1 else 0 end) over (partition by page_id order by pos) as mark,
-    sum(case when tag in {inlist(C.BOILERPLATE_TAGS)} and kind = 'open' then 1 when tag in {inlist(C.BOILERPLATE_TAGS)} and kind = 'close' then -1 else 0 end) over (partition by page_id order by pos) as boiler from tok"""
-CTES["bodytext"] = """select t.page_id, coalesce(string_agg(t.txt, '' order by t.pos) filter (m.mark = k.top and m.boiler <= 0 and t.kind not in ('script', 'style')
+CTES["mark"] = """select k.page_id, k.pos, max(case when k.kind = 'open' and k.tag = 'body' then 2 when k.kind = 'close' and k.tag = 'head' then 1 else 0 end) over (partition by k.page_id order by k.pos) as mark,
+    w.under_boiler as boiler from tok k join tree w on w.page_id = k.page_id and w.pos = k.pos"""
+CTES["bodytext"] = """select t.page_id, coalesce(string_agg(t.txt, '' order by t.pos) filter (m.mark = k.top and not m.boiler and t.kind not in ('script', 'style')
       and coalesce(t.tag, '') <> 'noscript' and not t.in_template and not (k.top = 0 and coalesce(t.tag, '') = 'title')), '') as txt
   from txt t join mark m on m.page_id = t.page_id and m.pos = t.pos join (select page_id, max(mark) as top from mark group by page_id) k on k.page_id = t.page_id group by t.page_id"""
 CTES["mainsec"] = f"""select page_id, min_by(main_txt, pos) filter (tag = 'main') as m, min_by(main_txt, pos) filter (tag = 'article') as a,

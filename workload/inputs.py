@@ -62,6 +62,11 @@ LONG_META = (
 )
 SPA = '<script>var app = "<div>not markup</div>";</script><noscript>Please enable scripts</noscript>'
 
+OPEN_ENDS = (
+    "<div><section>left open<p>one<p>two<ul><li>first<li>second<aside>beside</ul><p>in the aside</div><form><label>Code <input name=code><span>x</form>"
+    "<input name=after><table><tr><td>a<td>b<tr><th>c</div><td>d</table><svg><g><path d=m/><path/></g></svg><h2>Open<h3>Next</h2>ends"
+)
+
 
 def _q(text: str, spark: bool) -> str:
     if spark:
@@ -80,7 +85,7 @@ def rendered_sql(spark: bool) -> str:
       when 7 then {head(q(HEAD_FULL))} when 8 then {head(q(HEAD_BROKEN))} when 9 then {end(q(STRUCTURED_BODY))}
       when 10 then replace(replace(html, '<article>', '<section>aa</section><section id="s">'), '</article>', '</section>')
       when 11 then {"replace(replace(" + head(q(LONG_META + SPA)) + ", '<article>', '<div>'), '</article>', '</div>')"}
-      else html end"""
+      else {"case when page_id % 24 = 0 then " + end(q(OPEN_ENDS)) + " else html end"} end"""
 
 
 RAW_SQL = """case when page_id % 5 = 0 then regexp_replace(html, '(?s)<article>.*</article>', '')

@@ -45,11 +45,11 @@ def dom_tokens(t):
 @query(
     "dom_elements",
     """select e.page_id, cast(e.pos as int) as pos, e.tag, cast(e.level as int) as level,
-        cast(coalesce(e.close_pos, n.n) as int) as close_pos
+        cast(e.parent as int) as parent, cast(coalesce(e.close_pos, n.n) as int) as close_pos
        from els e join (select page_id, max(pos) + 1 as n from tok group by page_id) n using (page_id)""",
 )
 def dom_elements(t):
-    return structure.elements(t.captures()).select("page_id", "pos", "tag", "level", "close_pos")
+    return structure.elements(t.captures()).select("page_id", "pos", "tag", "level", "parent", "close_pos")
 
 
 @query("dom_attrs", "select page_id, cast(pos as int) as pos, tag, name, value from attrs")
