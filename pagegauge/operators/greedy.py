@@ -1,15 +1,16 @@
 """Greedy de-duplication in time: accept a request, ignore its key for a while, accept the next.
 
 The window is anchored on the accepted request, so each decision depends on the one before, back to the
-first request of the key. To keep a busy key from becoming one long task, time is cut into chunks:
+first request of the key. To keep a busy key from becoming one long task, time is cut into chunks and scanned as prefixes:
 
 1. every (key, chunk) works out, for each possible last acceptance before it, the last acceptance after it
    (a step function; chains merge quickly, so it has few steps);
-2. per key these functions are chained in chunk order, which gives each chunk its true starting point;
-3. every (key, chunk) lists its accepted times.
+2. neighbouring chunks' functions are composed, ``fan`` of them to one, in rounds, until a key has one function;
+3. from there the true last acceptance goes down the same rounds to every chunk;
+4. every (key, chunk) lists its accepted times.
 
-Times are whole milliseconds and equal times are merged first, so a chunk's input is bounded by its length,
-not by the number of requests.
+Times are whole milliseconds and equal times are merged first, so a chunk's input is bounded by its length, not by the
+number of requests, and no group of a round is larger than ``fan``, however many chunks a key has.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
+from pagegauge.session import written
 
 CHUNK_MS = 10 * 60 * 1000
+FAN = 32
 NEVER = -(2**62)
 
 
@@ -47,48 +50,91 @@ def _steps(times: np.ndarray, chunk_start: int, window: int) -> tuple[np.ndarray
     return below[keep], after[keep]
 
 
-def _frame(key: str, keys: list, **numbers) -> pd.DataFrame:
-    """Result rows: the key as plain objects, everything else as 64-bit integers."""
-    columns = {name: np.broadcast_to(np.asarray(v, dtype="int64"), len(keys)).copy() for name, v in numbers.items()}
-    return pd.DataFrame({key: np.array(keys, dtype=object), **columns}).astype({key: object})
+def _after(below: np.ndarray, after: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The step function's values; beyond its last bound nothing is accepted and the last acceptance stays."""
+    step = np.searchsorted(below, last, side="right")
+    return np.where(step < len(below), after[np.minimum(step, len(below) - 1)], last)
 
 
-def accepted_times(points: DataFrame, key: str, window_ms: int, seeds: DataFrame | None = None) -> DataFrame:
-    """(key, ms) accepted among distinct (key, ms). ``seeds`` (key, ms) are acceptances before the data."""
+def _composed(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of two spans of time, one after the other."""
+    more = second[0] > first[0][-1]
+    below = np.concatenate([first[0], second[0][more]])
+    after = np.concatenate([_after(*second, first[1]), second[1][more]])
+    keep = np.append(after[1:] != after[:-1], True)
+    return below[keep], after[keep]
+
+
+def _children(row) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return sorted(((c["node"], np.asarray(c["below"]), np.asarray(c["after"])) for c in row), key=lambda c: c[0])
+
+
+def accepted_times(points: DataFrame, key: str, window_ms: int, seeds: DataFrame | None = None, fan: int = FAN, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """(key, ms) accepted among distinct (key, ms). ``seeds`` (key, ms) are acceptances before the data; NULL keys accept like any other."""
     key_type = points.schema[key].dataType.simpleString()
-    chunked = points.withColumn("chunk", F.floor(F.col("ms") / F.lit(CHUNK_MS)))
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["chunk"].iloc[0])
-        below, after = _steps(np.sort(pdf["ms"].to_numpy()), chunk * CHUNK_MS, window_ms)
-        return _frame(key, [pdf[key].iloc[0]] * len(below), chunk=chunk, below=below, after=after)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk", "below"])
-        given = pdf.loc[pdf["chunk"] == NEVER, "after"]
-        last, rows = (int(given.max()) if len(given) else NEVER), []
-        for chunk, part in pdf[pdf["chunk"] != NEVER].groupby("chunk", sort=True):
-            rows.append((chunk, last))
-            step = int(np.searchsorted(part["below"].to_numpy(), last, side="right"))
-            if step < len(part):
-                last = int(part["after"].iloc[step])
-        return _frame(key, [pdf[key].iloc[0]] * len(rows), chunk=[r[0] for r in rows], entry=[r[1] for r in rows])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, out = np.sort(pdf["ms"].to_numpy()), []
-        at = int(np.searchsorted(times, pdf["entry"].iloc[0] + window_ms, side="right"))
-        while at < len(times):
-            out.append(times[at])
-            at = int(np.searchsorted(times, times[at] + window_ms, side="right"))
-        return _frame(key, [pdf[key].iloc[0]] * len(out), ms=out)
-
-    functions = chunked.groupBy(key, "chunk").applyInPandas(steps, f"{key} {key_type}, chunk long, below long, after long")
-    if seeds is not None:
-        functions = functions.unionByName(
-            seeds.select(key, F.lit(NEVER).alias("chunk"), F.lit(NEVER).alias("below"), F.col("ms").alias("after"))
-        )
-    entries = functions.groupBy(key).applyInPandas(chain, f"{key} {key_type}, chunk long, entry long")
-    return chunked.join(entries, [key, "chunk"]).groupBy(key, "chunk").applyInPandas(walk, f"{key} {key_type}, ms long")
+    chunk = F.floor(F.col("ms") / F.lit(chunk_ms))
+    span = points.agg(F.min(chunk).alias("low"), F.max(chunk).alias("high")).first()
+    low, chunks = (span["low"], span["high"] - span["low"] + 1) if span["low"] is not None else (0, 0)
+    keyed = points.withColumnRenamed(key, "key").withColumn("node", chunk - F.lit(low))
+    timed = written(keyed.groupBy("key", "node").agg(F.array_sort(F.collect_list("ms")).alias("times")), "chunk-times")
+
+    def steps(batches):
+        for pdf in batches:
+            made = [_steps(np.asarray(t), (low + n) * chunk_ms, window_ms) for n, t in zip(pdf["node"], pdf["times"], strict=True)]
+            yield pdf[["key", "node"]].assign(below=[b for b, _ in made], after=[a for _, a in made])
+
+    functions = f"key {key_type}, node bigint, below array<bigint>, after array<bigint>"
+    level = timed.mapInPandas(steps, functions)
+    rounds: list[DataFrame] = []
+    while chunks > 1:
+        parent = F.floor(F.col("node") / F.lit(fan))
+        groups = level.groupBy("key", parent.alias("parent")).agg(F.collect_list(F.struct("node", "below", "after")).alias("children"))
+        rounds.append(written(groups.withColumnRenamed("parent", "node"), "chunk-groups"))
+
+        def compose(batches):
+            for pdf in batches:
+                made = []
+                for row in pdf["children"]:
+                    (_, *whole), *others = _children(row)
+                    for _, *other in others:
+                        whole = _composed(whole, other)
+                    made.append(whole)
+                yield pdf[["key", "node"]].assign(below=[b for b, _ in made], after=[a for _, a in made])
+
+        level, chunks = rounds[-1].mapInPandas(compose, functions), -(-chunks // fan)
+    entries = level.select("key", "node")
+    if seeds is None:
+        entries = entries.withColumn("entry", F.lit(NEVER))
+    else:
+        given = seeds.groupBy(F.col(key).alias("given")).agg(F.max("ms").alias("entry"))
+        entries = entries.join(given, F.col("key").eqNullSafe(F.col("given")), "left").select("key", "node", F.coalesce("entry", F.lit(NEVER)).alias("entry"))
+
+    def descend(batches):
+        for pdf in batches:
+            keys, nodes, lasts = [], [], []
+            for k, row, last in zip(pdf["key"], pdf["children"], pdf["entry"], strict=True):
+                for node, below, after in _children(row):
+                    keys.append(k), nodes.append(node), lasts.append(last)
+                    last = int(_after(below, after, np.int64(last)))
+            yield pd.DataFrame({"key": np.array(keys, dtype=object), "node": np.array(nodes, dtype="int64"), "entry": np.array(lasts, dtype="int64")})
+
+    same = lambda a, b: (a["node"] == b["node"]) & a["key"].eqNullSafe(b["key"])
+    for groups in reversed(rounds):
+        met = groups.join(entries, same(groups, entries)).select(groups["key"], "children", "entry")
+        entries = written(met.mapInPandas(descend, f"key {key_type}, node bigint, entry bigint"), "chunk-entries")
+
+    def walk(batches):
+        for pdf in batches:
+            keys, out = [], []
+            for k, times, last in zip(pdf["key"], pdf["times"], pdf["entry"], strict=True):
+                at = int(np.searchsorted(times, last + window_ms, side="right"))
+                while at < len(times):
+                    keys.append(k), out.append(times[at])
+                    at = int(np.searchsorted(times, times[at] + window_ms, side="right"))
+            yield pd.DataFrame({"key": np.array(keys, dtype=object), "ms": np.array(out, dtype="int64")})
+
+    met = timed.join(entries, same(timed, entries)).select(timed["key"], "times", "entry")
+    return met.mapInPandas(walk, f"key {key_type}, ms bigint").withColumnRenamed("key", key)
 
 
 def accept_requests(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that the plans profit from; none is needed for right results.
 DEFAULTS = {
@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return f"{configured.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{tempfile.mkdtemp(prefix='pagegauge-')}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder and read from there: lineage ends, and a lost executor costs the running stage only."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,55 +1,111 @@
-"""In-flight de-duplication of a request stream."""
+"""In-flight de-duplication of a request stream: keyed state, decided in the order of time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pagegauge import constants as C
-from pagegauge.operators.greedy import accept_requests
-
+from pagegauge.streaming.state import on_rocksdb
 
-# Requests may arrive this much later than the newest one seen; the state keeps no older acceptance than they need.
+# Requests may arrive this much later than the newest one seen.
 LATENESS_SECONDS = 600
 
 
+class _Acceptance(StatefulProcessor):
+    """Requests of one key wait until the watermark has passed them; then they are decided in the order of time.
+
+    The state is what still waits, bounded by the lateness, and the last acceptance, which a timer clears a window later.
+    """
+
+    def __init__(self, window_ms: int, id_type: str):
+        self.window_ms, self.id_type = window_ms, id_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"ms bigint, id {self.id_type}")
+        self.last = handle.getValueState("last", "ms bigint")
+
+    def _decided(self, key, due: list[tuple[int, object]], accepted: np.ndarray) -> pd.DataFrame:
+        # Plain objects, as the stream takes no Arrow-backed strings.
+        return pd.DataFrame({
+            "key": pd.Series([key[0]] * len(due), dtype=object), "id": pd.Series([i for _, i in due], dtype=object),
+            "ms": pd.Series([ms for ms, _ in due], dtype="int64"), "accepted": pd.Series(accepted, dtype=bool),
+        })
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for pdf in rows:
+            # Rows without a key only move the clock; a filter would be pushed below the watermark and hide them from it.
+            pdf = pdf[pdf["ms"].notna() & pdf["id"].notna()]
+            if len(pdf) and key[0] is not None:
+                # Whole numbers next to a missing one arrive as doubles.
+                ids = pdf["id"].astype("int64") if self.id_type == "bigint" else pdf["id"]
+                self.waiting.appendList(list(zip(pdf["ms"].astype("int64").tolist(), ids.tolist(), strict=True)))
+                first = int(pdf["ms"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.handle.registerTimer(earliest)
+        yield self._decided(key, [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        cut = next((i for i, (ms, _) in enumerate(waiting) if ms > passed), len(waiting))
+        due, rest = waiting[:cut], waiting[cut:]
+        last = self.last.get()[0] if self.last.exists() else None
+        if due:
+            times = np.array([ms for ms, _ in due])
+            accepted = np.zeros(len(due), dtype=bool)
+            at = 0 if last is None else int(np.searchsorted(times, last + self.window_ms, side="right"))
+            while at < len(times):
+                accepted[at], last = True, int(times[at])
+                at = int(np.searchsorted(times, last + self.window_ms, side="right"))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            if last is not None:
+                self.last.update((last,))
+            yield self._decided(key, due, accepted)
+        if rest:
+            self.handle.registerTimer(int(rest[0][0]))
+        elif last is not None and last + self.window_ms < passed:
+            self.last.clear()
+        elif last is not None:
+            self.handle.registerTimer(last + self.window_ms + 1)
+
+
+def decisions(requests: DataFrame, key: str, at: str, row_id: str, seconds: int = C.INFLIGHT_SECONDS, lateness_seconds: int = LATENESS_SECONDS) -> DataFrame:
+    """Streaming (key, row_id, ms, accepted): the same decisions as operators.greedy, whatever order requests arrive in.
+
+    A request is decided once the watermark, the newest time less the lateness, has passed it; later ones than that are
+    dropped. Of requests of one key and millisecond the smallest ``row_id`` can be accepted. Requests without a key, a time or an id are not decided.
+    """
+    types = {c: requests.schema[c].dataType.simpleString() for c in (key, row_id)}
+    if types[row_id] not in ("bigint", "string"):
+        raise ValueError(f"{row_id} must be bigint or string")
+    timed = requests.withWatermark(at, f"{lateness_seconds} seconds")
+    rows = timed.select(F.col(key).alias("key"), F.col(row_id).alias("id"), F.unix_millis(at).alias("ms"), at)
+    out = f"key {types[key]}, id {types[row_id]}, ms bigint, accepted boolean"
+    decided = rows.groupBy("key").transformWithStateInPandas(_Acceptance(seconds * 1000, types[row_id]), out, "append", "eventTime")
+    return decided.withColumnsRenamed({"key": key, "id": row_id})
+
+
 def dedupe_stream(
-    requests: DataFrame, key: str, at: str, row_id: str, out: str, checkpoint: str, seconds: int = C.INFLIGHT_SECONDS,
-    trigger: dict | None = None,
+    requests: DataFrame, key: str, at: str, row_id: str, out: str, checkpoint: str, seconds: int = C.INFLIGHT_SECONDS, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Decide each micro-batch, starting from the last acceptances of the batches before it.
+    """Append the decisions to the table in ``out``; each is written once, also over restarts from the checkpoint.
 
-    Decisions, the last acceptances and the newest time are written per batch, so a repeated batch starts from the same state
-    and replaces its own output. An acceptance that is older than the newest time by more than the window and the lateness can
-    decide nothing any more and is left out, so the state follows the keys of that span, not those of all time. A request
-    later than the lateness is written with ``accepted`` null. A busy key is cut by time inside the batch (see
-    operators.greedy). ``trigger`` are the arguments of the stream's trigger; the default reads what is there and stops.
+    ``trigger`` are the arguments of the stream's trigger; the default reads what is there and stops.
     """
-    spark = requests.sparkSession
-
-    def decide(batch: DataFrame, batch_id: int) -> None:
-        state = spark.read.parquet(f"{out}/last/batch={batch_id - 1}") if batch_id > 0 else None
-        newest = None if state is None else state.where(F.col(key).isNull()).agg(F.max("ms")).first()[0]
-        seeds = None if state is None else state.where(F.col(key).isNotNull())
-        late = F.lit(False) if newest is None else F.unix_millis(at) < newest - LATENESS_SECONDS * 1000
-        decided = accept_requests(batch.where(~late), key, F.col(at), row_id, seconds, seeds)
-        if newest is not None:
-            decided = decided.unionByName(batch.where(late).withColumn("accepted", F.lit(None).cast("boolean")), allowMissingColumns=True)
-        decided.write.mode("overwrite").parquet(f"{out}/decisions/batch={batch_id}")
-        written = spark.read.parquet(f"{out}/decisions/batch={batch_id}")
-        seen = written.agg(F.max(F.unix_millis(at))).first()[0]
-        upto = max((x for x in (seen, newest) if x is not None), default=None)
-        last = written.where("accepted").select(key, F.unix_millis(at).alias("ms"))
-        if seeds is not None:
-            last = last.unionByName(seeds)
-        last = last.groupBy(key).agg(F.max("ms").alias("ms"))
-        if upto is not None:
-            last = last.where(F.col("ms") >= upto - (seconds + LATENESS_SECONDS) * 1000)
-        clock = spark.range(1).select(F.lit(None).cast(requests.schema[key].dataType).alias(key), F.lit(upto).cast("bigint").alias("ms"))
-        last.unionByName(clock).write.mode("overwrite").parquet(f"{out}/last/batch={batch_id}")
-
-    return (
-        requests.writeStream.foreachBatch(decide)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    )
+    with on_rocksdb(requests.sparkSession):
+        return (
+            decisions(requests, key, at, row_id, seconds).writeStream.outputMode("append").format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        )

@@ -18,10 +18,18 @@ from workload.registry import query
 
 
 BATCHES = 3
+FILES = 2
 
 
 class StreamTables(Tables):
-    """The same recipes over a stream of the table's rows, arriving in three files in the order of their time or id."""
+    """The same recipes over a stream of the table's rows, arriving in three batches of several files in the order of their time or id.
+
+    With ``closing`` a last batch holds nothing but a row an hour later, which moves the watermark past all others.
+    """
+
+    def __init__(self, spark, sf_dir, closing: bool = False):
+        super().__init__(spark, sf_dir)
+        self.closing = closing
 
     def read(self, name):
         table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -30,16 +38,23 @@ class StreamTables(Tables):
         part = sum(((order > c).cast("int") for c in cuts), F.lit(0))
         folder = shared_dir(self.spark, f"arriving-{name}")
         for i in range(BATCHES):
-            table.where(part == i).coalesce(1).write.mode("append").parquet(folder)
-        return self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+            # Rows are dealt over the files by their content, so each batch is read by as many tasks as it has files.
+            table.where(part == i).repartition(FILES, order).write.mode("append").parquet(folder)
+        if self.closing:
+            last = table.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 1 hour")).alias("ts"))
+            others = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != "ts"]
+            clock = last.select("ts", *others).select(*table.columns)
+            for _ in range(FILES):
+                clock.write.mode("append").parquet(folder)
+        return self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 def finish(stream):
     stream.awaitTermination()
 
 
-def streamed(t):
-    return StreamTables(t.spark, t.dir)
+def streamed(t, closing=False):
+    return StreamTables(t.spark, t.dir, closing)
 
 
 @query("st_analyze", f"select {q_reports._REPORT} from rep")
@@ -65,10 +80,9 @@ CTES["points"] = "select normalized_url, cast(floor(epoch_us(created_at) / 1000)
 )
 def st_inflight_dedupe(t):
     out = shared_dir(t.spark, "dedupe")
-    asked = streamed(t).jobs().select("event_id", "normalized_url", "created_at")
+    asked = streamed(t, closing=True).jobs().select("event_id", F.when(F.col("event_id").isNotNull(), F.col("normalized_url")).alias("normalized_url"), "created_at")
     finish(dedupe.dedupe_stream(asked, "normalized_url", "created_at", "event_id", out, shared_dir(t.spark, "ckpt")))
-    decided = t.spark.read.parquet(f"{out}/decisions")
-    return decided.select("event_id", "normalized_url", "accepted")
+    return t.spark.read.parquet(out).select("event_id", "normalized_url", "accepted")
 
 
 # (limit name, key divisor, limit, window): every limit, each with clients of its own; the global one has a single client.
