@@ -1,75 +1,127 @@
-"""Per-job deadlines on a progress stream: stalled and overrun jobs.
+"""Per-job deadlines on a progress stream: stalled and overrun jobs, by event-time timers on keyed state.
 
-State is one value and one time per open job; a job's reports are few, so no group grows with the stream.
+Reports wait until the watermark has passed them, so they count in the order of time whatever order they arrive in. The state
+of a job is what still waits and the value it stands at; a job's reports are few, so no state grows with the stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pagegauge import constants as C
+from pagegauge.streaming.state import on_rocksdb
 from pagegauge.streaming.windows import LATENESS
 
 ALERT = "job_id string, value int, since_us long"
-_STATE = "value int, since_us long, raised boolean"
-
-
-def _watch(seconds: int, restart_on_change: bool):
-    limit = seconds * 1_000_000
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, since, raised = state.get if state.exists else (None, None, False)
-        alerts = []
-
-        def raise_alert() -> None:
-            nonlocal raised
-            alerts.append((key[0], value, since))
-            raised = True
-
-        if state.hasTimedOut:
-            raise_alert()
-        else:
-            done = False
-            for row in pd.concat(list(batches)).sort_values("at_us").itertuples(index=False):
-                if since is not None and not raised and row.at_us - since > limit:
-                    if row.done or not restart_on_change or row.value != value:
-                        raise_alert()
-                if row.done:
-                    done = True
-                    break
-                if since is None or (restart_on_change and row.value != value):
-                    value, since, raised = int(row.value), int(row.at_us), False
-            if done:
-                state.remove()
-                yield pd.DataFrame(alerts, columns=["job_id", "value", "since_us"])
-                return
-        state.update((value, since, raised))
-        if not raised:
-            due = (since + limit) // 1000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(alerts, columns=["job_id", "value", "since_us"])
-
-    return watch
-
-
-def _alerts(progress: DataFrame, seconds: int, restart_on_change: bool) -> DataFrame:
+# What a job reports within this time of its end does not open it again; then its state is gone.
+CLOSED_MS = 3_600_000
+
+
+def runs(at: np.ndarray, value: np.ndarray, done: np.ndarray, by_value: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(starts, ends, values, ended) of the stretches of equal value of one job's reports in the order of time.
+
+    Without ``by_value`` all reports are one stretch. The first done report ends the last stretch and what comes after it does
+    not count; without one its end is -1.
+    """
+    last = int(done.argmax()) if done.any() else None
+    at, value, end = (at, value, -1) if last is None else (at[:last], value[:last], int(at[last]))
+    changes = np.ones(len(at), dtype=bool)
+    changes[1:] = (value[1:] != value[:-1]) if by_value else False
+    starts = at[changes]
+    return starts, np.append(starts[1:], end)[: len(starts)], value[changes], last is not None
+
+
+class _Deadline(StatefulProcessor):
+    def __init__(self, seconds: int, by_value: bool):
+        self.limit, self.by_value = seconds * 1_000_000, by_value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at_us bigint, done boolean, value int")
+        self.standing = handle.getValueState("standing", "since_us bigint, value int, raised boolean, ended boolean")
+
+    def _alerts(self, key, values, starts) -> pd.DataFrame:
+        return pd.DataFrame({
+            "job_id": pd.Series([key[0]] * len(starts), dtype=object), "value": pd.Series(values, dtype="int32"), "since_us": pd.Series(starts, dtype="int64"),
+        })
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for pdf in rows:
+            pdf = pdf[pdf["at_us"].notna()]
+            # Rows without a job only move the clock.
+            if len(pdf) and key[0] is not None:
+                at, value = pdf["at_us"].astype("int64"), pdf["value"].fillna(0).astype("int32")
+                self.waiting.appendList(list(zip(at.tolist(), pdf["done"].fillna(False).astype(bool).tolist(), value.tolist(), strict=True)))
+                first = -(-int(at.min()) // 1000)
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.handle.registerTimer(earliest)
+        yield self._alerts(key, [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get())
+        reports = np.array(waiting, dtype=np.int64).reshape(-1, 3)
+        cut = int(np.searchsorted(reports[:, 0], passed, side="right"))
+        since, value, raised, ended = self.standing.get() or (None, None, False, False)
+        if cut < len(waiting):
+            self.waiting.put(waiting[cut:])
+            self.handle.registerTimer(-(-int(waiting[cut][0]) // 1000))
+        elif waiting:
+            self.waiting.clear()
+        if ended:
+            if since // 1000 + CLOSED_MS < passed // 1000:
+                self.standing.clear()
+            yield self._alerts(key, [], [])
+            return
+        due = reports[:cut] if since is None else np.vstack([[since, 0, value], reports[:cut]]).astype(np.int64)
+        if not len(due):
+            yield self._alerts(key, [], [])
+            return
+        starts, ends, values, ended = runs(due[:, 0], due[:, 2], due[:, 1] == 1, self.by_value)
+        # A stretch that nothing has ended yet has lasted until the watermark.
+        too_long = np.where(ends < 0, passed, ends) - starts > self.limit
+        fresh = too_long.copy()
+        if len(fresh):
+            fresh[0] &= not raised
+        yield self._alerts(key, values[fresh], starts[fresh])
+        if ended:
+            end = int(due[due[:, 1] == 1][0, 0])
+            self.standing.update((end, 0, False, True))
+            self.handle.registerTimer(end // 1000 + CLOSED_MS + 1)
+            return
+        self.standing.update((int(starts[-1]), int(values[-1]), bool(too_long[-1]), False))
+        if not too_long[-1]:
+            self.handle.registerTimer((int(starts[-1]) + self.limit) // 1000 + 1)
+
+
+def _watched(progress: DataFrame, seconds: int, by_value: bool) -> DataFrame:
     """``progress`` has job_id, at (event time), value and done."""
     rows = progress.withWatermark("at", LATENESS).select("job_id", "at", F.unix_micros("at").alias("at_us"), "value", "done")
-    return rows.groupBy("job_id").applyInPandasWithState(
-        _watch(seconds, restart_on_change), ALERT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return rows.groupBy("job_id").transformWithStateInPandas(_Deadline(seconds, by_value), ALERT, "append", "eventTime")
 
 
 def stalled(progress: DataFrame) -> DataFrame:
     """One row per progress value that stood still for more than 60 s."""
-    return _alerts(progress, C.STALL_SECONDS, restart_on_change=True)
+    return _watched(progress, C.STALL_SECONDS, by_value=True)
 
 
 def overrun(progress: DataFrame) -> DataFrame:
     """One row per job that ran for more than 90 s from its first report."""
-    return _alerts(progress, C.JOB_TIMEOUT_SECONDS, restart_on_change=False)
+    return _watched(progress, C.JOB_TIMEOUT_SECONDS, by_value=False)
+
+
+def alert_stream(alerts: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append alerts to the table in ``out``; the default trigger reads what is there and stops."""
+    with on_rocksdb(alerts.sparkSession):
+        return (
+            alerts.writeStream.outputMode("append").format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        )

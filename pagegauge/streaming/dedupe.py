@@ -55,10 +55,10 @@ class _Acceptance(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        waiting = sorted(self.waiting.get())
         cut = next((i for i, (ms, _) in enumerate(waiting) if ms > passed), len(waiting))
         due, rest = waiting[:cut], waiting[cut:]
-        last = self.last.get()[0] if self.last.exists() else None
+        (last,) = self.last.get() or (None,)
         if due:
             times = np.array([ms for ms, _ in due])
             accepted = np.zeros(len(due), dtype=bool)

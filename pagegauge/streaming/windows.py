@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagegauge import constants as C
+
 LATENESS = "10 minutes"
 
 
@@ -23,16 +25,28 @@ def with_limit(counts: DataFrame, limit: int) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n") > limit)
 
 
-def job_minutes(jobs: DataFrame, at: str) -> DataFrame:
-    """Streaming per-minute status counts; the rolling hour is read from them (timelines.rolling_hour).
+def rolling_hours(jobs: DataFrame, at: str) -> DataFrame:
+    """Streaming (minute, one count per status): jobs created in the hour that ends with each minute that has new jobs.
 
-    A sliding window of an hour by the minute would copy each job into sixty windows.
+    Two chained aggregates: jobs are counted in panes of a minute, and panes, not jobs, are summed in sliding hours, so sixty
+    copies are made of one row a minute only. Rows are appended once the watermark has passed the hour.
     """
+    panes = jobs.withWatermark(at, LATENESS).groupBy(F.window(at, "1 minute").alias("pane")).agg(
+        *[F.count_if(F.col("status") == s).alias(s.lower()) for s in C.JOB_STATUSES]
+    )
+    named = panes.withColumn("time", F.window_time("pane"))
+    hours = named.groupBy(F.window("time", "1 hour", "1 minute").alias("hour")).agg(
+        *[F.sum(s.lower()).alias(s.lower()) for s in C.JOB_STATUSES], F.max("pane.start").alias("minute")
+    )
+    # The pane's own time is its last microsecond, so a pane lies in the hours that end with its minute or later.
+    return hours.where(F.col("minute") + F.expr("interval 1 minute") == F.col("hour.end")).select("minute", *[s.lower() for s in C.JOB_STATUSES])
+
+
+def append_rows(rows: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append finished rows to the table in ``out``; the default trigger reads what is there and stops."""
     return (
-        jobs.withWatermark(at, LATENESS)
-        .groupBy(F.window(at, "1 minute").alias("w"), "status")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("minute"), "status", "n")
+        rows.writeStream.outputMode("append").format("parquet").option("path", out)
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

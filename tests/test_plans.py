@@ -64,7 +64,7 @@ def test_stalls_on_a_stream_equal_the_batch(spark, sf_dir):
     t = Tables(spark, sf_dir)
     streamed = {(r["job_id"], r["value"], r["since_us"]) for r in collect_alerts(t, deadlines.stalled).collect()}
     progress = progress_of(t.jobs())
-    clock = progress.agg((F.max("at") - F.expr("interval 10 minutes"))).scalar()
+    clock = t.jobs().agg((F.max("created_at") + F.expr("interval 50 minutes"))).scalar()
     batch = timelines.stalls(progress, F.date_trunc("millisecond", clock))
     assert streamed == {(r["job_id"], r["value"], r["us"]) for r in batch.select("job_id", "value", F.unix_micros("since").alias("us")).collect()}
 
@@ -76,5 +76,5 @@ def test_overruns_on_a_stream_equal_the_batch(spark, sf_dir):
     streamed = {r["job_id"] for r in collect_alerts(t, deadlines.overrun).collect()}
     progress = progress_of(t.jobs())
     jobs = progress.groupBy("job_id").agg(F.min("at").alias("started_at"), F.max(F.when(F.col("done"), F.col("at"))).alias("completed_at"))
-    clock = progress.agg((F.max("at") - F.expr("interval 10 minutes"))).scalar()
+    clock = t.jobs().agg((F.max("created_at") + F.expr("interval 50 minutes"))).scalar()
     assert streamed == {r["job_id"] for r in timelines.overruns(jobs, clock).collect()}

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagegauge.operators import greedy
+from pagegauge import constants as C
+from pagegauge.operators import greedy, timelines
 from pagegauge.session import shared_dir
-from pagegauge.streaming import dedupe
+from pagegauge.streaming import deadlines, dedupe, windows
 
 T0 = 1_700_000_000_000
 
@@ -93,3 +94,77 @@ def test_composed_step_functions():
         whole = greedy._composed(f, g)
         lasts = np.arange(-400, 0)
         assert (greedy._after(*whole, lasts) == greedy._after(*g, greedy._after(*f, lasts))).all()
+
+
+def deadline_rows(rng):
+    """Reports of jobs that stall, go on, end and stay open; and one report that is too late to count."""
+    rows = []
+    for job in range(40):
+        at, value = T0 + rng.randrange(1_800_000), 0
+        for _ in range(rng.randint(1, 6)):
+            rows.append((f"j{job}", value, False, at))
+            at += rng.choice([5_000, 20_000, 59_999, 60_000, 60_001, 61_000, 95_000, 200_000])
+            value += rng.choice([0, 10])
+        if rng.random() < 0.5:
+            rows.append((f"j{job}", 100, True, at))
+            rows.append((f"j{job}", 100, False, at + 70_000))
+    return rows
+
+
+@pytest.mark.parametrize("rule, by_value, limit", [(deadlines.stalled, True, C.STALL_SECONDS), (deadlines.overrun, False, C.JOB_TIMEOUT_SECONDS)])
+def test_deadlines_over_reordered_batches_late_rows_and_a_restart(spark, rule, by_value, limit):
+    rng = random.Random(limit)
+    schema = "job_id string, value int, done boolean"
+    rows = deadline_rows(rng)
+    order = shuffled(rows, rng, 400_000)
+    third = len(order) // 3
+    parts = [order[:third], order[third : 2 * third], order[2 * third :], [("late", 1, False, T0), (None, None, None, T0 + 20_000_000)]]
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("source", "out", "ckpt"))
+    for part in parts:
+        arrive(spark, source, part, schema)
+        deadlines.alert_stream(rule(reading(spark, source, schema)), out, checkpoint).awaitTermination()
+    want = set()
+    for job in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == job), key=lambda r: r[3])
+        ends = next((r[3] for r in own if r[2]), None)
+        own = [r for r in own if not r[2] and (ends is None or r[3] < ends)]
+        value, since = None, None
+        for _, v, _, at in [*own, (None, object(), None, ends or T0 + 19_400_000)]:
+            last = not isinstance(v, int)
+            if since is None:
+                value, since = v, at
+            elif last or (by_value and v != value):
+                if at - since > limit * 1000:
+                    want.add((job, value, since * 1000))
+                value, since = v, at
+    got = [(r["job_id"], r["value"], r["since_us"]) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_rolling_hours_over_reordered_batches_and_a_restart(spark):
+    rng = random.Random(8)
+    schema = "status string"
+    rows = [(rng.choice(C.JOB_STATUSES), T0 + rng.randrange(4 * 3_600_000)) for _ in range(300)]
+    order = shuffled(rows, rng, 500_000) + [("PENDING", T0 + 30_000_000)]
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("source", "out", "ckpt"))
+    for part in (order[:100], order[100:200], order[200:]):
+        arrive(spark, source, part, schema)
+        windows.append_rows(windows.rolling_hours(reading(spark, source, schema), "at"), out, checkpoint).awaitTermination()
+    jobs = spark.createDataFrame(rows, "status string, ms bigint").withColumn("at", F.timestamp_millis("ms"))
+    want = timelines.rolling_hour(timelines.minute_counts(jobs, F.col("at")))
+    got = spark.read.parquet(out)
+    names = ["minute", *[s.lower() for s in C.JOB_STATUSES]]
+    assert sorted(got.select(names).collect()) == sorted(want.select(names).collect())
+
+
+def test_state_of_finished_keys_is_gone(spark):
+    """After the watermark has passed everything, no request waits and no acceptance is kept."""
+    schema = "id bigint, key string"
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("source", "out", "ckpt"))
+    arrive(spark, source, [(i, f"k{i % 50}", T0 + 1000 * i) for i in range(200)], schema)
+    arrive(spark, source, [(None, None, T0 + 5_000_000)], schema)
+    arrive(spark, source, [(None, None, T0 + 9_000_000)], schema)
+    stream = dedupe.dedupe_stream(reading(spark, source, schema), "key", "at", "id", out, checkpoint)
+    stream.awaitTermination()
+    assert spark.read.parquet(out).count() == 200
+    assert stream.lastProgress["stateOperators"][0]["numRowsTotal"] == 0

@@ -100,8 +100,9 @@ _RATES = tuple((name, _CLIENTS[name], limit, window) for name, limit, window in
 )
 def st_rate_window(t):
     parts = []
+    events = streamed(t).read("events")
     for name, div, limit, width in _RATES:
-        asked = streamed(t).read("events").select((F.col("user_id") % div).cast("int").alias("client"), F.col("ts").cast("timestamp").alias("at"))
+        asked = events.select((F.col("user_id") % div).cast("int").alias("client"), F.col("ts").cast("timestamp").alias("at"))
         out = shared_dir(t.spark, "rates")
         finish(windows.keep_updates(windows.request_counts(asked, "client", "at", width), out, shared_dir(t.spark, "ckpt")))
         counts = windows.with_limit(windows.latest_counts(t.spark.read.parquet(out), "key", "window_start"), limit)
@@ -138,12 +139,10 @@ def st_rate_excess(t):
     + " from (select distinct date_trunc('minute', created_at) as minute from jobs) m",
 )
 def st_job_metrics(t):
-    out = shared_dir(t.spark, "minutes")
-    created = streamed(t).jobs().select("created_at", "status")
-    finish(windows.keep_updates(windows.job_minutes(created, "created_at"), out, shared_dir(t.spark, "ckpt")))
-    minutes = windows.latest_counts(t.spark.read.parquet(out), "minute", "status")
-    rolled = timelines.rolling_hour(minutes)
-    return rolled.select(F.unix_micros("minute").alias("minute_us"), *[s.lower() for s in C.JOB_STATUSES])
+    out = shared_dir(t.spark, "hours")
+    created = streamed(t, closing=True).jobs().select("created_at", "status")
+    finish(windows.append_rows(windows.rolling_hours(created, "created_at"), out, shared_dir(t.spark, "ckpt")))
+    return t.spark.read.parquet(out).select(F.unix_micros("minute").alias("minute_us"), *[s.lower() for s in C.JOB_STATUSES])
 
 
 def progress_of(jobs):
@@ -164,8 +163,8 @@ def progress_of(jobs):
 
 _STEP = "cast(round(value * 2000000) as bigint)"
 CTES["prog"] = f"""select job_id, epoch_us(created_at) as t0, {_STEP} as step, status in ('COMPLETED', 'FAILED') as done from jobs"""
-# The clock of an event-time query is its watermark: the newest report less the allowed lateness.
-CTES["wm"] = "select max(t0 + step * case when done then 3 else 2 end) // 1000 * 1000 - 600000000 as wm from prog"
+# The clock of an event-time query is its watermark: the closing row, an hour after the newest event, less the allowed lateness.
+CTES["wm"] = "select (epoch_us(max(cast(ts as timestamp))) + 3600000000) // 1000 * 1000 - 600000000 as wm from events"
 
 
 @query(
@@ -187,9 +186,5 @@ def st_job_timeout(t):
 
 def collect_alerts(t, rule):
     out = shared_dir(t.spark, "alerts")
-    alerts = rule(progress_of(streamed(t).jobs()))
-    finish(
-        alerts.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", shared_dir(t.spark, "ckpt")).trigger(availableNow=True).start()
-    )
+    finish(deadlines.alert_stream(rule(progress_of(streamed(t, closing=True).jobs())), out, shared_dir(t.spark, "ckpt")))
     return t.spark.read.parquet(out)
