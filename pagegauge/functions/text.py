@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -41,13 +43,27 @@ def _numeric_reference(piece: Column) -> Column:
     ).otherwise(F.lit("\ufffd"))
 
 
+# A map is searched key by key, so names are spread over many small maps by their checksum.
+_GROUPS = 1024
+
+
+def _names() -> str:
+    groups: list[dict[str, str]] = [{} for _ in range(_GROUPS)]
+    for name, text in html5.items():
+        groups[zlib.crc32(f"&{name}".encode()) % _GROUPS][f"&{name}"] = text
+    return json.dumps(groups)
+
+
+_NAMES = _names()
+
+
 def decode_entities(col: Column) -> Column:
     """Character references decoded once: numeric ones of any length and all named ones.
 
     A name without its semicolon counts where the public table has it so; unknown names stay as they are.
     """
-    # The table as one string, split when the query starts: thousands of literals would slow every plan down.
-    names = F.str_to_map(F.lit("\x01".join(f"&{k}\x02{v}" for k, v in html5.items())), F.lit("\x01"), F.lit("\x02"))
+    # The table as one string, read when the query starts: thousands of literals would slow every plan down.
+    groups = F.from_json(F.lit(_NAMES), "array<map<string,string>>")
     pieces = F.regexp_extract_all(col, F.lit(REFERENCE_PATTERN), F.lit(0))
     decoded = F.array_join(
         F.transform(
@@ -55,7 +71,7 @@ def decode_entities(col: Column) -> Column:
             lambda p: F.when(~F.startswith(p, F.lit("&")) | (F.length(p) == 1), p)
             .when(p == "&amp;", "&").when(p == "&nbsp;", "\u00a0").when(p == "&quot;", '"')
             .when(F.startswith(p, F.lit("&#")), _numeric_reference(p))
-            .otherwise(F.coalesce(F.try_element_at(names, p), p)),
+            .otherwise(F.coalesce(F.try_element_at(F.get(groups, F.pmod(F.crc32(p.cast("binary")), F.lit(_GROUPS)).cast("int")), p), p)),
         ),
         "",
     )

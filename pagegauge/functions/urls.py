@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 from pagegauge import constants as C
 from pagegauge.functions import ips
 from pagegauge.functions.binding import let
+from pagegauge.functions.punycode import ascii_host
 
 _CONTROL = "".join(chr(c) for c in range(0x21))
 
 
+# Web schemes take any number of slashes of either kind, or none, before the host.
+_WEB = r"^(?i)(https?|wss?|ftp):[/\\]*"
+
+
 def _clean(url: Column) -> Column:
-    return F.btrim(url, F.lit(_CONTROL))
+    return F.regexp_replace(F.btrim(url, F.lit(_CONTROL)), _WEB, "$1://")
 
 
 def _host_forms() -> tuple[str, str, str]:
@@ -52,6 +57,9 @@ def canonical_host(host: Column) -> Column:
     return F.when(host.rlike(r"[^\x00-\x7F]"), F.lower(F.translate(F.lower(host), _DISGUISED, _PLAIN))).otherwise(F.lower(host))
 
 
+_PARTS = ("scheme", "userinfo", "host", "port", "path", "query", "fragment")
+
+
 def _split(clean: Column) -> Column:
     group = lambda i: F.regexp_extract(clean, C.URL_PATTERN, i)
     return F.struct(
@@ -68,8 +76,14 @@ def _well_formed(p: Column) -> Column:
 
 
 def parts(url: Column) -> Column:
-    """Struct (scheme, userinfo, host, port, path, query, fragment); NULL if the URL cannot be split."""
-    return let(let(_clean(url), _split), lambda p: F.when(_well_formed(p), p))
+    """Struct (scheme, userinfo, host, port, path, query, fragment); NULL if the URL cannot be split.
+
+    Hosts are in lower case and in ASCII, labels beyond it in Punycode, so the two spellings of a name are one host.
+    """
+    def named(p: Column) -> Column:
+        return F.struct(*(p[c].alias(c) if c != "host" else ascii_host(p[c]).alias(c) for c in _PARTS))
+
+    return let(let(_clean(url), _split), lambda p: F.when(_well_formed(p), named(p)))
 
 
 def shape_ok(url: Column) -> Column:

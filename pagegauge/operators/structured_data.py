@@ -19,7 +19,9 @@ SCORES = (
 )
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
 # Quotes inside the strings of valid JSON are escaped, so only real keys match; a list ends at its own bracket.
-_TYPE_KEY = rf'[{{,]\s*"@type"\s*:\s*({_STRING}|\[(?:{_STRING}|[^\]"])*+\])'
+# Any character of the key may be written as its escape.
+_TYPE_NAME = "".join(rf"(?:{c}|\\u{ord(c):04x})" for c in "@type")
+_TYPE_KEY = rf'[{{,]\s*"{_TYPE_NAME}"\s*:\s*({_STRING}|\[(?:{_STRING}|[^\]"])*+\])'
 
 
 def json_ld_types(raw: Column) -> Column:

@@ -243,6 +243,8 @@ def url_variant_sql() -> str:
         f"https://example.com/UPPER/{n}", f"  https://example.com/trim/{n}  ", f"https://ip6-localhost/{n}",
         f"http://017700000001/{n}", f"http://1.2.3.4.5/{n}", f"https://example.com:99999/{n}", "",
         f"https://example.com:8443/café/{n}?q=é&z=*~&a=(1)",
+        f"https://Bücher.example/{n}?b=1", f"https://xn--bcher-kva.example/{n}?b=1", f"http:example.com/a/{n}", f"HTTPS:///example.com/{n}",
+        f"https://例え.テスト.example:443/{n}/",
     ]
     whens = " ".join(f"when {i} then concat('{c}')" for i, c in enumerate(cases))
     return f"case page_id % {len(cases)} {whens} else url end"

