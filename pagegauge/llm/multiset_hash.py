@@ -4,10 +4,14 @@ A fingerprint is a vector of sums. Every paragraph is hashed into a wide vector
 lane, modulo a power of two, so the order of paragraphs does not matter and paragraphs can be put in or taken out without
 reading the rest (``add``, ``take``). Three blocks of lanes:
 
-* ``DIGEST`` lanes modulo 2**32: pseudorandom numbers of the paragraph (its SHA-256 expanded), which decide equality;
+* ``DIGEST`` lanes modulo 2**32: the paragraph's SHA-256, hashed with a seed of its own for every two lanes, which decide equality;
 * one lane modulo 2**32: the number of clauses;
 * ``SKETCH`` lanes modulo 2**16: the bits of a hash of each clause of the paragraph, counted. Over the count they are sums of
   plus and minus one, whose cosine estimates what two texts share.
+
+Clauses end at sentence marks, ASCII or not, and after every word whose hash ends in three zero bits, so a text has clauses in
+proportion to its length whatever its marks, and a change moves the ends next to it only. In scripts without spaces each
+character is a word; runs of 64 characters without a space are cut there.
 """
 
 from __future__ import annotations
@@ -20,7 +24,11 @@ from pyspark.sql import functions as F
 DIGEST = 16
 SKETCH = 64
 ROWS_PER_RANGE = 20_000
-CLAUSE_END = r"[.!?,;:|\t ]*[.!?,;:|\t]+[.!?,;:|\t ]*"
+# A plan holds this many ids at most; beyond that ranges grow, and their tasks sort them on disk.
+MOST_RANGES = 8192
+# Sentence marks of ASCII, of East Asian, Arabic and Indic scripts, and the mark that stands behind chosen words.
+CLAUSE_END = r"[.!?,;:|\t\x01\u2026\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F\u060C\u061B\u061F\u06D4\u0964\u0965]++"
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|[^ ]{64})"
 _LOW = 0xFFFFFFFF
 
 
@@ -28,7 +36,8 @@ def _sums() -> list[Column]:
     """Lane sums of clause rows: columns first (is it the paragraph's first clause), digest, clause."""
     lanes = []
     for j in range(DIGEST // 2):
-        h = F.xxhash64("digest", F.lit(j))
+        # The number comes first, so it seeds the hash of the digest.
+        h = F.xxhash64(F.lit(j), "digest")
         for part in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(_LOW))):
             lanes.append(F.sum(F.when(F.col("first"), part).otherwise(0)))
     h = F.xxhash64("clause")
@@ -93,10 +102,17 @@ def take(fingerprint: Column, paragraphs: Column) -> Column:
     return _lanewise(fingerprint, paragraphs, -1)
 
 
+def _clauses(paragraph: Column) -> Column:
+    """The clauses of a paragraph, at least one; some may be empty."""
+    words = F.split(F.regexp_replace(paragraph, _UNSPACED, "$1 "), " ")
+    marked = F.transform(words, lambda w: F.when((w != "") & (F.xxhash64(w).bitwiseAND(F.lit(7)) == 0), F.concat(w, F.lit("\x01"))).otherwise(w))
+    return F.transform(F.split(F.array_join(F.filter(marked, lambda w: w != ""), " "), CLAUSE_END), lambda c: F.btrim(c))
+
+
 def _vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, v: struct(fp, signed) of column t. Rows of equal keys are one text."""
     paragraphs = texts.select(*keys, F.explode(F.split("t", "\n")).alias("paragraph"))
-    clauses = paragraphs.select(*keys, F.sha2("paragraph", 256).alias("digest"), F.split("paragraph", CLAUSE_END).alias("clauses")).select(
+    clauses = paragraphs.select(*keys, F.sha2("paragraph", 256).alias("digest"), _clauses(F.col("paragraph")).alias("clauses")).select(
         *keys, "digest", F.posexplode("clauses").alias("_i", "clause")
     )
     sums = clauses.select(*keys, "digest", "clause", (F.col("_i") == 0).alias("first")).groupBy(*keys).agg(*_sums())
@@ -115,7 +131,7 @@ def _ranges(docs: DataFrame, rows_per_range: int) -> list[int]:
     n, least = docs.agg(F.count("*"), F.min("key")).first()
     if not n:
         return []
-    wanted = max(1, n // rows_per_range, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = min(MOST_RANGES, max(1, n // rows_per_range, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     shares = [i / wanted for i in range(1, wanted)]
     cuts = docs.agg(F.percentile_approx("key", shares, max(10_000, 4 * wanted))).first()[0] if shares else []
     return sorted({least, *(cuts or [])})

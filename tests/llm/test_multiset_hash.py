@@ -1,5 +1,9 @@
 import hashlib
+import itertools
+import re
+import time
 
+import xxhash
 from pyspark.sql import functions as F
 
 from pagegauge.llm import multiset_hash
@@ -72,3 +76,81 @@ def test_no_python_on_executors(spark, small):
     assert "Python" not in plan and "Arrow" not in plan
     # The text crosses the network once.
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def plain_fingerprint(text):
+    """The lanes in whole numbers, paragraph by paragraph."""
+    low, lanes, count, sketch = 0xFFFFFFFF, [0] * 16, 0, [0] * 64
+    unspaced = re.compile(r"([\u4e00-\u9fff\u3041-\u309f\u30a0-\u30ff\u0e01-\u0e5b]|[^ ]{64})")
+    ends = re.compile("[.!?,;:|\t\x01\u2026\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u060c\u061b\u061f\u06d4\u0964\u0965]+")
+    for paragraph in text.split("\n"):
+        digest = hashlib.sha256(paragraph.encode()).hexdigest().encode()
+        for j in range(8):
+            h = xxhash.xxh64_intdigest(digest, xxhash.xxh64_intdigest(j.to_bytes(4, "little"), 42))
+            lanes[2 * j], lanes[2 * j + 1] = lanes[2 * j] + (h >> 32), lanes[2 * j + 1] + (h & low)
+        words = [w for w in unspaced.sub(r"\1 ", paragraph).split(" ") if w]
+        marked = " ".join(w + "\x01" if xxhash.xxh64_intdigest(w.encode(), 42) % 8 == 0 else w for w in words)
+        for clause in ends.split(marked):
+            clause = clause.strip(" ")
+            if clause:
+                count += 1
+                h = xxhash.xxh64_intdigest(clause.encode(), 42)
+                for j in range(64):
+                    sketch[j] += h >> j & 1
+    tail = "".join(f"{sketch[j + 32] & 0xFFFF:04x}{sketch[j] & 0xFFFF:04x}" for j in range(32))
+    return "".join(f"{x & low:08x}" for x in lanes) + f"{count & low:08x}" + tail, [2 * s - count for s in sketch]
+
+
+def plain_likeness(a, b):
+    (fp, x), (other, y) = a, b
+    norm = (sum(i * i for i in x) * sum(i * i for i in y)) ** 0.5
+    return 1.0 if fp == other else max(0.0, min(1.0, sum(i * j for i, j in zip(x, y)) / norm)) if norm else 0.0
+
+
+def test_fingerprints_and_likeness_against_whole_numbers(spark):
+    rows = [
+        (1, "one. two, three\nfour five six", "a"), (2, " ".join(f"word{i}" for i in range(300)), "a"), (3, "漢字かな交じり文。もう一つの文、終わり", "a"),
+        (4, "x" * 300 + " " * 50 + "tail", "a"), (5, "", "a"), (6, "...,,;\n\n\t", "a"), (7, "one. two, three\nfour five six", "a"), (8, "ไทยภาษา abc é ü", "b"),
+    ]
+    got = {r.doc_id: r for r in multiset_hash.edit_report(documents(spark, rows)).collect()}
+    for (d, text, new), (_, following, _) in zip(edited([(d, t) for d, t, _ in rows]), [*rows[1:], rows[0]]):
+        own, after, beside = plain_fingerprint(text), plain_fingerprint(new), plain_fingerprint(following)
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (own[0], after[0])
+        assert abs(got[d].near_edited - plain_likeness(own, after)) < 1e-9 and abs(got[d].near_next - plain_likeness(own, beside)) < 1e-9
+
+
+def test_lanes_do_not_follow_from_each_other(spark):
+    """Texts that agree in one pair of lanes are no likelier to agree in another."""
+    frame = spark.range(20_000).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("t"))
+    fps = [r.fingerprint for r in multiset_hash.fingerprints(frame, "id", "t").collect()]
+    lanes = [[int(f[8 * j : 8 * j + 8], 16) for f in fps] for j in range(16)]
+    for a, b in itertools.combinations(range(16), 2):
+        same = sum((x ^ y) & 255 == 0 for x, y in zip(lanes[a], lanes[b]))
+        assert 20 < same < 160
+    # Equal low bits in one lane, and how often those in the next are equal too.
+    first = {}
+    pairs = equal = 0
+    for x, y in zip(lanes[0], lanes[2]):
+        for z in first.get(x & 4095, []):
+            pairs, equal = pairs + 1, equal + (z == y & 4095)
+        first.setdefault(x & 4095, []).append(y & 4095)
+    assert pairs > 10_000 and equal < pairs / 500
+
+
+def test_texts_without_marks_and_texts_of_spaces(spark):
+    words = [f"word{i}x{i * 7919 % 101}" for i in range(400)]
+    texts = [" ".join(words), "".join(chr(0x4E00 + i * 37 % 5000) for i in range(2000)), "".join(chr(33 + i * i % 90) for i in range(4000)).replace("\n", "")]
+    rows = [(2 * i, t, "a") for i, t in enumerate(texts)] + [(2 * i + 1, "beside " * 9, "a") for i in range(3)]
+    got = {r.doc_id: r.near_edited for r in multiset_hash.edit_report(documents(spark, rows)).collect()}
+    assert got[0] >= 0.6 and got[2] >= 0.6
+    start = time.time()
+    assert multiset_hash.fingerprints(documents(spark, [(1, " " * 1_000_000, "a"), (2, " ." * 200_000, "a")]), "doc_id", "text").count() == 2
+    multiset_hash.fingerprints(documents(spark, [(1, " " * 1_000_000 + "x", "a")]), "doc_id", "text").collect()
+    assert time.time() - start < 10
+
+
+def test_the_plan_does_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(multiset_hash, "MOST_RANGES", 16)
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert len(multiset_hash._ranges(docs.select(F.col("doc_id").alias("key")), 1)) <= 16
+    assert multiset_hash.edit_report(docs, 1).count() == 2000
