@@ -9,6 +9,8 @@ from pagegauge import constants as C
 from pagegauge.functions import ips
 from pagegauge.functions import urls as U
 from pagegauge.functions.binding import let
+from pagegauge.operators.skew import spread_join
+from pagegauge.session import written
 
 # What a caller is told for each failure class; classes that are not listed count as unreachable.
 _REFUSED = "Pages at this address are not graded."
@@ -55,45 +57,56 @@ def host_verdicts(hosts: DataFrame, host_ips: DataFrame) -> DataFrame:
     return joined.select("host", "verdict", shown.alias("blocked_ip"))
 
 
+def _refused(url: Column) -> Column:
+    return let(
+        U.rejection(url),
+        lambda reason: F.when(reason == "invalid-url", reason).when(reason.isNotNull(), F.lit("blocked-host")),
+    )
+
+
+def _further(walks: DataFrame, others: DataFrame) -> DataFrame:
+    """Each walk (at, end, hops, reason) followed by the walk that starts at its end, unless it was refused there.
+
+    ``mid`` is where the second walk's first hop leads. Many walks may end in one address, so each address is met in parts.
+    """
+    second = others.select(
+        F.col("at").alias("end"), F.col("end").alias("_end"), F.col("hops").alias("_hops"), F.col("reason").alias("_reason"), F.col("first").alias("mid")
+    )
+    open_ended = walks.where("reason is null")
+    moved = spread_join(open_ended, second, ["end"], ["at"], how="left")
+    on = F.col("_hops").isNotNull()
+    joined = moved.select(
+        "at", "first", F.when(on, F.col("_end")).otherwise(F.col("end")).alias("end"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+        F.col("_reason").alias("reason"), "mid",
+    )
+    ended = walks.where("reason is not null").select("at", "first", "end", "hops", "reason", F.lit(None).cast("string").alias("mid"))
+    return joined.unionByName(ended)
+
+
 def resolve_redirects(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Follow redirect edges from ``url``: adds ``final_url``, ``hops`` and ``reason``.
 
-    Every address on the way is screened; a sixth hop fails. Of several edges from one address the smallest counts. The depth is fixed, so the chain is six plain
-    joins on the edge table, each keyed by the current address.
+    Every address on the way is screened; a sixth hop fails and leaves the address after the fifth. Of several edges from one
+    address the smallest counts. The screened edges double, to walks of two and four hops, and four and two make six; so the
+    starts, which may be many more, are joined once.
     """
-    hop = (
-        edges.where(F.col("to_url").isNotNull()).groupBy(F.col("from_url").alias("_at")).agg(F.min("to_url").alias("_next"))
-        .withColumn("_salt", F.lit(0))
+    one = edges.where(F.col("to_url").isNotNull()).groupBy(F.col("from_url").alias("at")).agg(F.min("to_url").alias("end"))
+    one = written(one.select("at", "end", F.lit(1).alias("hops"), _refused(F.col("end")).alias("reason"), F.col("end").alias("first")), "hops-1")
+    two = written(_further(one, one).drop("mid"), "hops-2")
+    four = written(_further(two, two).drop("mid"), "hops-4")
+    six = _further(four, two)
+    failed = F.col("hops") > C.MAX_REDIRECTS
+    walks = six.select(
+        F.col("at").alias("url"), F.when(failed, F.col("mid")).otherwise(F.col("end")).alias("_final"), F.col("hops").alias("_hops"),
+        F.when(failed, "too-many-redirects").otherwise(F.col("reason")).alias("_reason"),
+    )
+    screened = starts.withColumn("reason", _refused(F.col("url")))
+    done = spread_join(screened, written(walks, "walks"), ["url"], [c for c in starts.columns if c != "url"] or ["url"], how="left")
+    walked = F.col("reason").isNull() & F.col("_hops").isNotNull()
+    return done.select(
+        *starts.columns, F.when(walked, F.col("_final")).otherwise(F.col("url")).alias("final_url"), F.when(walked, F.col("_hops")).otherwise(0).alias("hops"),
+        F.when(walked, F.col("_reason")).otherwise(F.col("reason")).alias("reason"),
     )
-
-    def refused(url: Column) -> Column:
-        return let(
-            U.rejection(url),
-            lambda reason: F.when(reason == "invalid-url", reason).when(reason.isNotNull(), F.lit("blocked-host")),
-        )
-
-    state = starts.withColumns({"final_url": F.col("url"), "hops": F.lit(0), "reason": refused(F.col("url"))})
-    for step in range(1, C.MAX_REDIRECTS + 2):
-        # Chains that have ended match nothing; their salt spreads them instead of piling them up on NULL.
-        # An address on which many chains meet is split by the adaptive skew join (one edge per address).
-        walking = F.col("reason").isNull() & (F.col("hops") == step - 1)
-        state = state.withColumns(
-            {
-                "_at": F.when(walking, F.col("final_url")),
-                "_salt": F.when(walking, 0).otherwise(1 + F.pmod(F.xxhash64("url"), F.lit(1024))).cast("int"),
-            }
-        )
-        moved = F.col("_next").isNotNull()
-        state = state.join(hop, ["_at", "_salt"], "left").withColumns(
-            {
-                "hops": F.when(moved, F.lit(step)).otherwise(F.col("hops")),
-                "reason": F.when(
-                    moved, F.lit("too-many-redirects") if step > C.MAX_REDIRECTS else refused(F.col("_next"))
-                ).otherwise(F.col("reason")),
-                "final_url": F.when(moved & F.lit(step <= C.MAX_REDIRECTS), F.col("_next")).otherwise(F.col("final_url")),
-            }
-        ).drop("_at", "_salt", "_next")
-    return state
 
 
 def failure_class(reason: Column, status: Column) -> tuple[Column, Column]:

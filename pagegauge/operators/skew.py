@@ -10,6 +10,17 @@ HOT_KEYS = 64
 SALTS = 32
 
 
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner", parts: int = 1024) -> DataFrame:
+    """``rows`` joined with ``one``, which has at most one row per key; the rows of a key are dealt over up to ``parts`` parts by ``by``.
+
+    The row of ``one`` is repeated only for the parts that are there, so a hot key is split whatever its share and others cost
+    little; nothing is broadcast. ``rows`` is read twice, its keys and ``by`` only the first time.
+    """
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)))
+    there = salted.select(*keys, "_part").distinct().join(one, keys)
+    return salted.join(there, [*keys, "_part"], how).drop("_part")
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, row_id: str, key_source: DataFrame) -> DataFrame:
     """Left join of many rows to one row per key; rows of the most frequent keys spread over salts.
 
