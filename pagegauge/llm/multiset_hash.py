@@ -9,9 +9,9 @@ reading the rest (``add``, ``take``). Three blocks of lanes:
 * ``SKETCH`` lanes modulo 2**16: the bits of a hash of each clause of the paragraph, counted. Over the count they are sums of
   plus and minus one, whose cosine estimates what two texts share.
 
-Clauses end at sentence marks, ASCII or not, and after every word whose hash ends in three zero bits, so a text has clauses in
-proportion to its length whatever its marks, and a change moves the ends next to it only. In scripts without spaces each
-character is a word; runs of 64 characters without a space are cut there.
+Clauses end after every word whose hash ends in three zero bits, so a text has clauses in proportion to its length in any
+script and whatever its marks, and a change moves the ends next to it only. Words are what single spaces separate; in scripts
+without spaces each character is a word, and other runs of 64 characters without a space are cut there.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ SKETCH = 64
 ROWS_PER_RANGE = 20_000
 # A plan holds this many ids at most; beyond that ranges grow, and their tasks sort them on disk.
 MOST_RANGES = 8192
-# Sentence marks of ASCII, of East Asian, Arabic and Indic scripts, and the mark that stands behind chosen words.
-CLAUSE_END = r"[.!?,;:|\t\x01\u2026\u3001\u3002\uFF01\uFF0C\uFF1A\uFF1B\uFF1F\u060C\u061B\u061F\u06D4\u0964\u0965]++"
-_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|[^ ]{64})"
+_END = "\x01"
+# Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = r"[\u0E01-\u0EFF\u1000-\u109F\u1780-\u17FF\u3041-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]"
+_LONGEST_WORD = 64
 _LOW = 0xFFFFFFFF
 
 
@@ -102,11 +103,20 @@ def take(fingerprint: Column, paragraphs: Column) -> Column:
     return _lanewise(fingerprint, paragraphs, -1)
 
 
+def _marked(w: Column) -> Column:
+    """The word, with the mark that ends a clause if its hash says so."""
+    return F.when(F.xxhash64(w).bitwiseAND(F.lit(7)) == 0, F.concat(w, F.lit(_END))).otherwise(w)
+
+
 def _clauses(paragraph: Column) -> Column:
     """The clauses of a paragraph, at least one; some may be empty."""
-    words = F.split(F.regexp_replace(paragraph, _UNSPACED, "$1 "), " ")
-    marked = F.transform(words, lambda w: F.when((w != "") & (F.xxhash64(w).bitwiseAND(F.lit(7)) == 0), F.concat(w, F.lit("\x01"))).otherwise(w))
-    return F.transform(F.split(F.array_join(F.filter(marked, lambda w: w != ""), " "), CLAUSE_END), lambda c: F.btrim(c))
+    unbroken = f"([^ ]{{{_LONGEST_WORD}}})"
+    # Characters of scripts without spaces are marked one by one, first of all and only where there are any.
+    apart = F.array_join(F.transform(F.regexp_extract_all(paragraph, F.lit(r"(?s)."), F.lit(0)), lambda c: F.when(c.rlike(_UNSPACED), _marked(c)).otherwise(c)), "")
+    odd = F.when(paragraph.rlike(_UNSPACED), apart).otherwise(F.regexp_replace(paragraph, unbroken, f"$1{_END}"))
+    by_word = lambda text: F.array_join(F.transform(F.split(text, " "), _marked), " ")
+    marked = F.when(paragraph.rlike(f"{unbroken}|{_UNSPACED}"), by_word(odd)).otherwise(by_word(paragraph))
+    return F.transform(F.split(marked, _END), lambda c: F.btrim(c))
 
 
 def _vectors(texts: DataFrame, keys: list[str]) -> DataFrame:

@@ -81,16 +81,18 @@ def test_no_python_on_executors(spark, small):
 def plain_fingerprint(text):
     """The lanes in whole numbers, paragraph by paragraph."""
     low, lanes, count, sketch = 0xFFFFFFFF, [0] * 16, 0, [0] * 64
-    unspaced = re.compile(r"([\u4e00-\u9fff\u3041-\u309f\u30a0-\u30ff\u0e01-\u0e5b]|[^ ]{64})")
-    ends = re.compile("[.!?,;:|\t\x01\u2026\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u060c\u061b\u061f\u06d4\u0964\u0965]+")
+    unspaced = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+    mark = lambda w: w + "\x01" if xxhash.xxh64_intdigest(w.encode(), 42) % 8 == 0 else w
     for paragraph in text.split("\n"):
         digest = hashlib.sha256(paragraph.encode()).hexdigest().encode()
         for j in range(8):
             h = xxhash.xxh64_intdigest(digest, xxhash.xxh64_intdigest(j.to_bytes(4, "little"), 42))
             lanes[2 * j], lanes[2 * j + 1] = lanes[2 * j] + (h >> 32), lanes[2 * j + 1] + (h & low)
-        words = [w for w in unspaced.sub(r"\1 ", paragraph).split(" ") if w]
-        marked = " ".join(w + "\x01" if xxhash.xxh64_intdigest(w.encode(), 42) % 8 == 0 else w for w in words)
-        for clause in ends.split(marked):
+        if unspaced.search(paragraph):
+            paragraph = "".join(mark(c) if unspaced.match(c) else c for c in paragraph)
+        else:
+            paragraph = re.sub("([^ ]{64})", "\\1\x01", paragraph)
+        for clause in " ".join(map(mark, paragraph.split(" "))).split("\x01"):
             clause = clause.strip(" ")
             if clause:
                 count += 1
