@@ -3,11 +3,14 @@
 One pass over the documents keeps the word n-grams that pass a bitmap of the benchmark's n-grams (its size is fixed, whatever
 the benchmark's) and have another such n-gram nearby, with the words around them. The n-grams that are really seeds are
 found by a join, and each document passage that shares at least ``MIN_SEEDS`` rare seeds with a test item is aligned to it
-word by word, so substituted, added and dropped words lower the score but do not hide the copy.
+word by word, so substituted, added and dropped words lower the score but do not hide the copy. Items of two words up to one n-gram
+have too few seeds for that; they are found where they stand word for word, by a join of their whole hash. One word alone is no
+evidence. In scripts without spaces every character is a word.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -21,8 +24,9 @@ N = 3
 MIN_SEEDS = 2
 # A seed is rare if chance, by its words' frequencies in all documents, meets it less than once in so many words.
 RARE = 1e-6
-# Items whose words are all frequent keep this many of their rarest seeds.
+# Items whose words are all frequent keep this many of their rarest seeds, or this share of them if that is more.
 LEAST_RARE = 8
+RARE_SHARE = 1 / 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 BITS = 1 << 24
@@ -31,13 +35,21 @@ _BUCKET = 32768  # bits per bitmap bucket of Spark's bitmap functions
 _MAX = (1 << 63) - 1
 
 
+# Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han. And the punctuation of East Asia.
+_UNSPACED = re.compile("([\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def passage_words(text: str | None) -> list[bytes]:
-    """Words that are compared: lower case in all scripts, without punctuation."""
-    return folded_words((text or "").lower())
+    """Words that are compared: lower case in all scripts, without punctuation, single characters in scripts without spaces."""
+    text = (text or "").lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", _MARKS.sub(" ", text))
+    return folded_words(text)
 
 
 def _item_words(bench: DataFrame, n: int) -> DataFrame:
-    """item_id, words, and arrays of n-gram and word hashes per item; items of fewer than n words can't be evidence."""
+    """item_id, words, and arrays of n-gram and word hashes per item; items of up to n words have one hash, of the whole, in ``whole``."""
 
     def run(batches):
         cache = WordHashes()
@@ -45,16 +57,18 @@ def _item_words(bench: DataFrame, n: int) -> DataFrame:
             rows = []
             for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = passage_words(text)
-                if len(words) >= n:
-                    ids = cache.of(words)
+                ids = cache.of(words)
+                if len(words) > n:
                     grams = gram_hashes(ids, n).view(np.int64)
-                    rows.append((item, b" ".join(words), len(words), grams.tolist(), [ids[i : i + n].view(np.int64).tolist() for i in range(len(grams))]))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "words", "n_words", "grams", "ids"])
+                    rows.append((item, b" ".join(words), len(words), grams.tolist(), [ids[i : i + n].view(np.int64).tolist() for i in range(len(grams))], None))
+                elif len(words) > 1:
+                    rows.append((item, b" ".join(words), len(words), [], [], int(gram_hashes(ids, len(words)).view(np.int64)[0])))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "words", "n_words", "grams", "ids", "whole"])
 
     rows = bench.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    return rows.mapInArrow(run, "item_id bigint, words binary, n_words int, grams array<bigint>, ids array<array<bigint>>")
+    return rows.mapInArrow(run, "item_id bigint, words binary, n_words int, grams array<bigint>, ids array<array<bigint>>, whole bigint")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -69,23 +83,30 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _passages(docs: DataFrame, gram_map: np.ndarray, word_map: np.ndarray, n: int, around: int) -> DataFrame:
-    """Rows of three kinds: w (h, count) word counts; s passages with their words; h n-grams (h) at word pos of a passage."""
+def _passages(docs: DataFrame, gram_map: np.ndarray, word_map: np.ndarray, n: int, around: int, short_map: np.ndarray, lengths: list[int]) -> DataFrame:
+    """Rows of four kinds: w (h, count) word counts; s passages with their words; h n-grams (h) at word pos of a passage;
+    x runs (h) of as many words as a short item has, with their words, once a document and run."""
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     names = ["kind", "doc_id", "k", "tag", "seg", "h", "pos", "words"]
 
     def run(batches):
         cache = WordHashes()
-        grams_in, words_in = (np.unpackbits(m, bitorder="little").view(bool) for m in (gram_map, word_map))
+        grams_in, words_in, short_in = (np.unpackbits(m, bitorder="little").view(bool) for m in (gram_map, word_map, short_map))
         for batch in batches:
             counts: Counter = Counter()
             rows: list[tuple] = []
             for doc_id, k, tag, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "k", "tag", "text")), strict=True):
                 words = passage_words(text)
                 counts.update(words)
+                ids = cache.of(words)
+                for length in lengths:
+                    short = gram_hashes(ids, length).view(np.int64)
+                    at = np.flatnonzero(short_in[short % BITS])
+                    for p in at[np.unique(short[at], return_index=True)[1]]:
+                        rows.append(("x", doc_id, k, tag, length, int(short[p]), int(p), b" ".join(words[p : p + length])))
                 if len(words) < n:
                     continue
-                grams = gram_hashes(cache.of(words), n)
+                grams = gram_hashes(ids, n)
                 hits = np.flatnonzero(grams_in[(grams.view(np.int64) % BITS)])
                 if len(hits) < MIN_SEEDS:
                     continue
@@ -156,8 +177,11 @@ def _leaks(docs: DataFrame, bench: DataFrame, n: int, min_score: float) -> DataF
     items = stored(_item_words(bench, n), "leak-items")
     seeds = items.select("item_id", F.posexplode("grams").alias("q", "h"))
     longest = items.agg(F.max("n_words")).first()[0] or 0
+    short = items.where("whole is not null").select(F.col("whole").alias("h"), "item_id", F.col("words").alias("item"), F.col("n_words").alias("seg"))
+    # At most n - 1 different lengths.
+    lengths = sorted(r["seg"] for r in short.select("seg").distinct().collect())
     words = items.select(F.explode(F.flatten("ids")).alias("h"))
-    found = stored(_passages(docs, _bitmap(seeds), _bitmap(words), n, longest + longest // 4 + 8), "leak-passages")
+    found = stored(_passages(docs, _bitmap(seeds), _bitmap(words), n, longest + longest // 4 + 8, _bitmap(short), lengths), "leak-passages")
     # How often chance would put the words of a seed next to each other.
     counts = found.where("kind = 'w'").groupBy("h").agg(F.sum("pos").alias("n"))
     total = float((counts.where("h is null").select("n").first() or [1])[0] or 1)
@@ -169,7 +193,8 @@ def _leaks(docs: DataFrame, bench: DataFrame, n: int, min_score: float) -> DataF
         .groupBy("item_id", "q").agg(F.sum(F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) / F.lit(total))).alias("log_rate"))
     )
     order = Window.partitionBy("item_id").orderBy("log_rate", "q")
-    rare = rates.withColumn("nth", F.row_number().over(order)).where((F.col("log_rate") <= F.log(F.lit(RARE))) | (F.col("nth") <= LEAST_RARE))
+    least = F.greatest(F.lit(float(LEAST_RARE)), F.count("*").over(Window.partitionBy("item_id")) * RARE_SHARE)
+    rare = rates.withColumns({"nth": F.row_number().over(order), "least": least}).where((F.col("log_rate") <= F.log(F.lit(RARE))) | (F.col("nth") <= F.col("least")))
     seeds = stored(seeds.join(rare.select("item_id", "q"), ["item_id", "q"]).select("h", "item_id").distinct(), "leak-seeds")
     # A passage that many documents share makes its seeds frequent among the hits, so each seed is dealt to several tasks.
     hits = found.where("kind = 'h'").select("k", "tag", "seg", "h", "pos", F.pmod(F.xxhash64("k", "tag"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -178,6 +203,12 @@ def _leaks(docs: DataFrame, bench: DataFrame, n: int, min_score: float) -> DataF
     passages = found.where("kind = 's'").select("doc_id", "k", "tag", "seg", F.col("pos").alias("first"), F.col("words").alias("passage")).dropDuplicates(["k", "tag", "seg"])
     ready = pairs.join(passages, ["k", "tag", "seg"]).join(items.select("item_id", F.col("words").alias("item")), "item_id")
     scored = _aligned(ready).where(F.col("score") >= min_score)
+    if lengths:
+        runs = found.where("kind = 'x'").select("doc_id", "k", "tag", "seg", "h", "pos", "words", F.pmod(F.xxhash64("k", "tag"), F.lit(SALTS)).cast("int").alias("salt"))
+        stand = runs.join(short.select("h", "item_id", "item", "seg", salts), ["h", "seg", "salt"]).where(F.col("words") == F.col("item"))
+        scored = scored.unionByName(
+            stand.select("doc_id", "k", "tag", "item_id", F.lit(1.0).alias("score"), F.col("pos").alias("start_word"), (F.col("pos") + F.col("seg")).alias("end_word"))
+        )
     best = F.max(F.struct("score", (-F.col("start_word")).alias("_at"), "start_word", "end_word")).alias("b")
     return scored.groupBy("doc_id", "k", "tag", "item_id").agg(best).select("doc_id", "k", "tag", "item_id", "b.score", "b.start_word", "b.end_word")
 
@@ -186,8 +217,8 @@ def leaks(docs: DataFrame, bench: DataFrame, n: int = N, min_score: float = MIN_
     """One row (doc_id, item_id, score, start_word, end_word) per document and test item it holds a copy of.
 
     ``score`` is the best local alignment of the item in the document over that of a verbatim copy (0 to 1), the words are
-    those of ``passage_words``, end exclusive. Null and empty texts hold nothing; items of fewer than ``n`` words and items
-    without an id are left out; items with equal texts are all reported; rows that repeat id and text are one document; a
+    those of ``passage_words``, end exclusive. Null and empty texts hold nothing; items of two to ``n`` words
+    count only where they stand word for word (score 1, their first place), items of one word and items without an id not at all; items with equal texts are all reported; rows that repeat id and text are one document; a
     null doc_id is reported as null; other columns are ignored; empty tables give no rows.
     """
     return _leaks(docs, bench, n, min_score).select("doc_id", "item_id", "score", "start_word", "end_word")

@@ -1,6 +1,7 @@
 """Repeated runs of lines, found by a suffix array over line ids that grows by prefix doubling; later copies are deleted.
 
-Documents are sequences of line ids. A run *qualifies* if it has at least ``min_words`` words. A line is deleted if it lies
+Documents are sequences of line ids. A run *qualifies* if it has at least ``min_words`` words; a line counts as many words as white
+space separates in it, or one for every ten code points if that is more, as in scripts without spaces. A line is deleted if it lies
 in a qualifying run that also starts at an earlier place of the corpus (by doc_id, then line). The union over all repeated
 runs equals the union over the shortest qualifying runs: those that start at a line and reach ``min_words``, and those that
 end at one. How long such a window is depends on its own lines only, so equal windows are exactly the suffixes in one
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pagegauge.llm.common import numbered, stored
 
 MIN_WORDS = 8
+CODE_POINTS = 10
 _SCHEMA = "k bigint, tag bigint, pos bigint, d1 bigint, d2 bigint, spans array<int>"
 _PLACE = ["k", "tag", "pos"]
 
@@ -56,8 +58,9 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             keys, tags, places, digests, counts, spans = [], [], [], [], [], []
             for k, tag, text in zip(*(batch[c].to_pylist() for c in ("_k", "_tag", "text")), strict=True):
+                points = [len(line) // CODE_POINTS for line in (text or "").split("\n")]
                 lines = [line.encode("utf-8", "surrogatepass") for line in (text or "").split("\n")]
-                first, length = windows([len(line.split()) for line in lines], min_words)
+                first, length = windows([max(len(line.split()), n) for line, n in zip(lines, points, strict=True)], min_words)
                 keys.append(np.full(len(lines), k)), tags.append(np.full(len(lines), tag)), places.append(np.arange(len(lines)))
                 digests += [hashlib.md5(line).digest() for line in lines]
                 counts.append(np.bincount(first, minlength=len(lines)))

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# The deleted lines, spelled out: every shortest window of at least eight words that starts or ends at a line, as a string;
+# The deleted lines, spelled out: every shortest window of at least eight words (or ten code points each) that starts or ends at a line, as a string;
 # all but the first place of equal windows go. The operator ranks line ids instead and never builds the strings.
 LINE_DEDUP_SQL = r"""
 with ln as (
@@ -35,7 +35,7 @@ with ln as (
   from documents),
 w as (
   select *, sum(words) over (partition by doc_id order by pos) as upto from (
-    select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from ln)),
+    select *, greatest(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')), length(line) // 10) as words from ln)),
 win as (
   select a.doc_id, a.pos as s, min(b.pos) as e from w a join w b on a.doc_id = b.doc_id and b.pos >= a.pos and b.upto >= a.upto - a.words + 8 group by all
   union

@@ -88,3 +88,37 @@ def test_edges(spark, edge_rows):
     assert sorted((r.doc_id, r.item_id, r.score, r.start_word, r.end_word) for r in got) == [(1, 4, 1.0, 1, 7), (2, 4, 1.0, 1, 7)]
     assert decontaminate.clean(docs, bench).count() == len(edge_rows) - 2
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    bench = spark.createDataFrame([
+        (1, "One day, sun"), (2, "two words"), (3, "single"), (4, "第一次世界大战爆发于一九一四年。"), (5, "กรุงเทพมหานครเป็นเมืองหลวง"), (6, "four plain short words"),
+        (7, "大战"), (8, "日本語の文です"),
+    ], "item_id bigint, text string")
+    rows = [
+        (1, "there was one day SUN and one day sun again", "s"), (2, "one day the sun, single", "s"), (3, "in two words: done", "s"),
+        (4, "文章开头，第一次世界大战爆发于一九一四年，后来结束。", "s"), (5, "x กรุงเทพมหานครเป็นเมืองหลวง y", "s"), (6, "say four plain short words now", "s"), (7, "one one day sun", "s"),
+        (8, "これは日本語の文でした", "s"),
+    ]
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.end_word) for r in decontaminate.leaks(documents(spark, rows), bench).collect() if r.score == 1.0)
+    assert got == [(1, 1, 2, 5), (3, 2, 1, 3), (4, 4, 4, 19), (4, 7, 9, 11), (5, 5, 1, 27), (6, 6, 1, 5), (7, 1, 1, 4)]
+    near = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert near[8, 8] == 6 / 7
+
+
+def test_edited_copies_of_frequent_words(spark):
+    """Items of words that every document holds: copies with a fifth of the words changed are found."""
+    rng = random.Random(9)
+    words = [f"common{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=45))) for i in range(10)]
+    noise = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, f"{noise(300)} {' '.join(edit(t.split(), rng, 5))} {noise(300)}", "s") for i, t in items] + [(100 + i, noise(800), "s") for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    want = set()
+    for d, t, _ in rows:
+        for i, x in items:
+            a, b = decontaminate.passage_words(t), decontaminate.passage_words(x)
+            if plain_alignment(a, b) / (2 * len(b)) >= 0.5:
+                want.add((d, i))
+    assert want >= {(i, i) for i in range(10)} and len(got & want) >= 0.95 * len(want) and got <= want

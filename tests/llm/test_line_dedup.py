@@ -16,7 +16,7 @@ def brute_force(rows, least):
     gone = [set() for _ in lines]
     for d, s, e in sorted(places):
         run = tuple(lines[d][s:e])
-        if sum(len(x.encode().split()) for x in run) >= least:
+        if sum(max(len(x.encode().split()), len(x) // 10) for x in run) >= least:
             if run in seen:
                 gone[d] |= set(range(s, e))
             seen.add(run)
@@ -68,3 +68,10 @@ def test_query_sql(spark, least):
     want = con.execute(f"select doc_id, n_lines, n_deleted, text from ({ORACLES['op1_line_dedup']}) order by 1").fetchall()
     got = QUERIES["op1_line_dedup"](spark, "/root/testdata/sf0.001").select("doc_id", "n_lines", "n_deleted", "text").orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want and sum(r.n_deleted for r in got) > 0
+
+
+def test_long_lines_without_spaces(spark):
+    lines = ["".join(chr(0x4E00 + (7 * i + 13 * j) % 3000) for i in range(380)) for j in range(7)]
+    rows = [(1, "\n".join(["eins", *lines]), "s"), (2, "\n".join([*lines, "zwei"]), "s"), (3, "短い行\n" + "x" * 69, "s"), (4, "短い行\n" + "x" * 69, "s"), (5, "y" * 80, "s"), (6, "y" * 80, "s")]
+    got = {r.doc_id: r.text for r in line_dedup.clean(documents(spark, rows), 8).collect()}
+    assert got == {1: rows[0][1], 2: "zwei", 3: rows[2][1], 4: rows[3][1], 5: "y" * 80, 6: ""}
