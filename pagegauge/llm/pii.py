@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pagegauge.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-# At most so many candidates train the trees (those with the smallest hashes), and as many others calibrate them.
+# At most so many different candidates train the trees, an equal share of each kind and class (those with the smallest hashes),
+# weighted by how often they occur. The thresholds are calibrated on all candidates of the other half.
 TRAIN_ROWS = 50_000
 TREES, DEPTH = 12, 3
 PRECISION = 0.99
@@ -43,6 +44,11 @@ GENERATORS = (
     Generator(1, True, r"[0-9]\.[0-9]", r"(?<![0-9])", r"[0-9]++(?:\.[0-9]++){3}"),
     Generator(2, True, r"[0-9][ -]?[0-9]", "", r"[0-9](?:[\x20-]?[0-9])++"),
     Generator(3, True, r"\+[0-9]", "", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    Generator(
+        0, False, r"(?i)@|[(\[]at[)\]]", r"(?<![A-Za-z0-9._%+-])",
+        r"[A-Za-z0-9._%+-]++(?:\x20{1,2}@\x20{0,2}|@\x20{1,2}|\x20?[(\[](?i:at)[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z0-9-]++)*"
+        r"(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?)[A-Za-z]{2,}+(?![A-Za-z0-9-])",
+    ),
     Generator(1, False, r"[0-9]\.[0-9]", r"(?<![0-9.])", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
     Generator(2, False, r"[0-9]{13}", r"(?<![0-9])", r"[0-9]{13,19}(?![0-9])"),
     Generator(2, False, r"[0-9]{4}[ -][0-9]{4,6}[ -][0-9]", r"(?<![0-9])", r"(?:[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
@@ -99,9 +105,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     digits = F.regexp_replace("span", "[^0-9]", "")
     n = F.length(digits)
     octets = F.forall(F.split("span", r"\."), lambda x: (F.length(F.ltrim(x, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(x, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
+    # Base cards have 16 digits at least; those that are added may have 13.
+    least = F.when(F.col("base"), 16).otherwise(13)
     valid = (
         F.when(F.col("kind") == 0, True).when(F.col("kind") == 1, octets)
-        .when(F.col("kind") == 2, n.between(16, 19) & F.col("luhn")).when(F.col("kind") == 3, n.between(8, 15))
+        .when(F.col("kind") == 2, n.between(least, 19) & F.col("luhn")).when(F.col("kind") == 3, n.between(8, 15))
     )
     checked = (
         placed.withColumn("kind", kind).withColumn("base", base).withColumn("digits", digits).withColumn("luhn", (F.col("kind") == 2) & _luhn(F.col("digits")))
@@ -139,16 +147,17 @@ def _features(rows: DataFrame) -> DataFrame:
 def _labelled(found: DataFrame) -> DataFrame:
     """Candidates with y: 1 if they are a valid base span, 0 if they fail or cut one differently, null if nobody knows.
 
-    A piece of a longer base match that failed is what the trees are to judge, so it teaches them nothing. Overlaps are
-    found along the text: the furthest end of the base matches of the kind that start no later.
+    A piece of a longer base match that failed is what the trees are to judge, so it teaches them nothing; nor does a number
+    of 13 to 15 digits that passes the Luhn check, which the base pattern is too strict for. Overlaps are found along the text: the furthest end of the base matches of the kind that start no later.
     """
     along = Window.partitionBy("uid", "kind").orderBy("start", F.desc("end"), F.desc("base")).rowsBetween(Window.unboundedPreceding, 0)
     cover = lambda ok: F.max(F.when(F.col("base") & (F.col("valid") == F.lit(ok)), F.struct("end", "start"))).over(along)
     whole, failed = F.col("whole"), F.col("failed")
     inside = lambda c: c.isNotNull() & (c["end"] > F.col("start"))
     equal = inside(whole) & (whole["start"] == F.col("start")) & (whole["end"] == F.col("end"))
+    short_card = (F.col("kind") == 2) & F.col("luhn") & F.length(F.regexp_replace("span", "[^0-9]", "")).between(13, 15)
     y = (
-        F.when(F.col("base"), F.col("valid").cast("double")).when(equal, 1.0).when(inside(whole), 0.0)
+        F.when(short_card, F.lit(None)).when(F.col("base"), F.col("valid").cast("double")).when(equal, 1.0).when(inside(whole), 0.0)
         .when(inside(failed) & F.col("valid"), F.lit(None)).when(~F.col("valid"), 0.0)
     )
     return found.where("kind is not null").withColumn("whole", cover(True)).withColumn("failed", cover(False)).withColumn("y", y).drop("whole", "failed")
@@ -156,14 +165,21 @@ def _labelled(found: DataFrame) -> DataFrame:
 
 def fit(found: DataFrame) -> tuple[GBTClassificationModel, list[float]] | None:
     """Trees and a threshold per kind from labelled candidates; None if there is only one class to learn from."""
-    known = _features(_labelled(found).where("y is not null")).withColumn("u", F.xxhash64("span", "left", "right"))
-    split = lambda half: known.where(F.pmod("u", F.lit(2)) == half).orderBy("u", "span", "left").limit(TRAIN_ROWS)
-    train = stored(split(0).select("kind", "x", "y"), "pii-train").coalesce(8)
+    known = _labelled(found).where("y is not null").withColumn("u", F.xxhash64("span", "left", "right"))
+    half = lambda n: known.where(F.pmod("u", F.lit(2)) == n)
+    different = half(0).groupBy("kind", "y", "u", "span", "left", "right", "luhn").agg(F.count("*").cast("double").alias("weight"))
+    nth = F.row_number().over(Window.partitionBy("kind", "y").orderBy("u", "span", "left", "right"))
+    chosen = different.withColumn("nth", nth).where(F.col("nth") <= max(1, TRAIN_ROWS // (2 * len(KINDS))))
+    train = stored(_features(chosen).select("kind", "x", "y", "weight"), "pii-train").coalesce(8)
     classes = {r["y"] for r in train.select("y").distinct().collect()}
     if len(classes) < 2:
         return None
-    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=7, minInstancesPerNode=2).fit(train)
-    binned = _scored(model, split(1)).select("kind", "y", F.floor(F.col("p") * BINS).alias("bin")).groupBy("kind", "bin").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).collect()
+    model = GBTClassifier(
+        featuresCol="x", labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=7, minInstancesPerNode=2
+    ).fit(train)
+    # Four kinds and a hundred bins reach the driver, whatever the number of candidates.
+    scored = _scored(model, _features(half(1))).select("kind", "y", F.floor(F.col("p") * BINS).alias("bin"))
+    binned = scored.groupBy("kind", "bin").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).collect()
     limits = []
     for kind in range(len(KINDS)):
         ones = n = 0

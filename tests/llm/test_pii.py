@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -90,3 +91,62 @@ def test_no_python_on_executors(spark, small):
 def test_luhn(spark, digits):
     got = spark.createDataFrame([(digits,)], "d string").select(pii._luhn(F.col("d"))).first()[0]
     assert got == (12 <= len(digits) <= 19 and luhn(digits))
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def card(rng, n):
+    while True:
+        digits = "".join(rng.choice("0123456789") for _ in range(n))
+        if digits[0] != "0" and luhn(digits):
+            return digits
+
+
+def test_short_cards_and_spaced_addresses_are_added(spark):
+    """Cards of 15 digits and e-mail addresses with spaces or words for their signs, which the base patterns miss."""
+    rng = random.Random(12)
+    rows = []
+    spaced = lambda x: " ".join(x[k : k + 4] for k in range(0, 16, 4))
+    for i in range(300):
+        number, other = card(rng, 16), card(rng, 16)
+        broken = str((int(number) + 1) % 10**16).zfill(16)
+        # Valid and failing numbers look alike, so that the check is what there is to learn.
+        rows.append((i, f"card {spaced(number) if i % 2 else number} and {other if i % 2 else spaced(other)}, mail u{i}@site{i % 7}.org, card {spaced(broken) if i % 3 else broken}.", "a"))
+    rows += [
+        (1000, "card 3782 822463 10005 here", "a"), (1001, "write to bob @ site.org now", "a"), (1002, "or to ann [at] site [dot] org.", "a"),
+        (1003, "nothing 3782 822463 10006 here", "a"), (1004, "no address at all, at site 9", "a"),
+    ]
+    got = {r.doc_id: r.spans for r in pii.find(documents(spark, rows)).collect()}
+    assert got[1000] == "card:5:22" and got[1001] == "email:9:23" and got[1002] == "email:6:29"
+    assert got[1003] == got[1004] == ""
+
+
+def test_the_training_bound_changes_no_result_while_it_holds_both_classes(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        a, b = card(rng, 16), "".join(rng.choice("123456789") for _ in range(17))
+        rows.append((i, f"pay {a} x {b if not luhn(b) else 5} y 10.0.{i}.{i + (60 if i % 2 else 0)} +49 {rng.randrange(10**8, 10**9)} and {card(rng, 15)} end", "a"))
+    docs = documents(spark, rows)
+    results = []
+    for bound in (50_000, 1_000):
+        monkeypatch.setattr(pii, "TRAIN_ROWS", bound)
+        results.append(sorted((r.doc_id, r.spans) for r in pii.find(docs).collect()))
+    assert results[0] == results[1]
+
+
+def test_many_copies_do_not_crowd_out_other_kinds(spark, monkeypatch):
+    """A hot group of copies fills no bound: different candidates are drawn for each kind and class."""
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 400)
+    rng = random.Random(5)
+    rows = [(i, "mail hot@copy.org now", "a") for i in range(3000)]
+    rows += [(5000 + i, f"card {card(rng, 16)} or {rng.randrange(10**16, 10**17 - 1)} on 10.1.{i}.7 and 10.1.{i}.900", "a") for i in range(100)]
+    rows.append((9000, f"x {card(rng, 15)} y", "a"))
+    got = {r.doc_id: r.spans for r in pii.find(documents(spark, rows)).collect()}
+    assert got[0] == "email:5:17" and got[9000] == "card:2:17"
