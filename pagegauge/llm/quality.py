@@ -158,16 +158,15 @@ def held_out(doc_id: Column) -> Column:
 def _sides(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds ``positive`` to rows with a document's id ``d``: trusted, unlabelled (false) or on neither side (null).
 
-    Positives are documents that ``labels`` marks 1 and never 0, outside the held-out part. Labelled rows that are
-    held out or marked 0 are on neither side.
+    Positives are documents that ``labels`` marks 1 and never 0, outside the held-out part; other rows labelled there are on
+    neither side. Held-out documents are all unlabelled: not even that a label exists is learned from.
     """
     marks = (
         labels.select(F.col("doc_id").cast("bigint").alias("_l"), F.col("quality").cast("int").alias("q")).where("_l is not null and q is not null")
-        .groupBy("_l").agg(F.min("q").alias("q"))
+        .where(~held_out(F.col("_l"))).groupBy("_l").agg(F.min("q").alias("q"))
     )
     joined = rows.join(marks.hint("merge"), F.col("d") == F.col("_l"), "left")
-    trusted = (F.col("q") == 1) & ~held_out(F.col("d"))
-    return joined.withColumn("positive", F.when(trusted, True).when(F.col("q").isNull(), False)).drop("_l", "q")
+    return joined.withColumn("positive", F.when(F.col("q") == 1, True).when(F.col("q").isNull(), False)).drop("_l", "q")
 
 
 def _counted(sides: DataFrame) -> pd.DataFrame:
