@@ -87,11 +87,7 @@ WEAK_TEXTS = (
     "click here", "read more", "learn more", "more", "here",
     "link", "this", "submit", "go", "ok",
 )
-HASHED_CLASS_PATTERN = (
-    r"^[a-z0-9_-]*[A-Za-z]+_[A-Za-z0-9]{4,}$"
-    r"|^css-[a-z0-9]{5,}$"
-    r"|^[a-z]{2,4}-[a-z0-9]{6,}$"
-)
+HASHED_CLASS_PATTERN = r"^[a-z0-9_-]*[A-Za-z]+_[A-Za-z0-9]{4,}$|^css-[a-z0-9]{5,}$|^[a-z]{2,4}-[a-z0-9]{6,}$"
 SELECTOR_SAMPLE = 20
 SESSION_PARAMS = ("sid", "sessionid", "jsessionid", "phpsessid")
 

@@ -88,7 +88,7 @@ _TOKEN = (
 )
 
 _TOKEN_COLUMNS = f"""
-    nullif(lower(regexp_extract(tok, '{C.TAG_NAME_PATTERN}', 1)), '') as tag,
+    nullif(lower(regexp_extract(tok, '^<[/]?([A-Za-z][^/>\\s]*)', 1)), '') as tag,
     case when starts_with(tok, '<!--') then 'comment'
          when regexp_matches(tok, '^<!(?i:doctype)') then 'doctype'
          when regexp_matches(tok, '^<[!?]') or regexp_matches(tok, '^</[^a-zA-Z]') then 'comment'
@@ -184,7 +184,7 @@ def _texts(tokens: str, tree: str) -> str:
 
 
 # URL splitting
-_U = lit(C.URL_PATTERN)
+_U = lit("^([A-Za-z][-+.0-9A-Za-z]*)://(?:([^#?/@]*)@)?([[][^]]*]|[^#?/:]*)(?::([0-9]*))?([^#?]*)([?][^#]*)?(#.*)?$")
 
 
 def url_columns(url: str) -> str:

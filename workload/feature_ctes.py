@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pagegauge import constants as C
-from pagegauge.functions import text as T
 from workload.rule_sql import RULES, severity
 from workload.ctes import CTES, WS, collapse, inlist, jaccard, linear_sql, lit, round_half, snip, trim, url_columns
 
@@ -114,7 +113,7 @@ READABLE = """case when u_scheme = '' then false when length(u_path) <= 1 then t
 
 # -- actionability --------------------------------------------------------------------------------
 _WEAK = inlist(C.WEAK_TEXTS)
-_HASH = lit(C.HASHED_CLASS_PATTERN)
+_HASH = lit("^(?:[-_0-9a-z]*[a-zA-Z]+_[0-9a-zA-Z]{4,}|css-[0-9a-z]{5,}|[a-z]{2,4}-[0-9a-z]{6,})$")
 CTES["inp"] = f"""select e.page_id, e.pos,
     (e.a_id <> '' and exists (select 1 from el l where l.page_id = e.page_id and l.tag = 'label' and l.a_for = e.a_id))
      or coalesce({trim('e.a_aria_label')} <> '', false) or coalesce({trim('e.a_aria_labelledby')} <> '', false)
@@ -193,7 +192,10 @@ CTES["mainsec"] = f"""select page_id, min_by(main_txt, pos) filter (tag = 'main'
 CTES["main"] = f"""select page_id, case when m is not null then 'main' when a is not null then 'article' when slen > 200 then 'section' else 'body-minus-boilerplate' end as source,
     {collapse("case when m is not null then m when a is not null then a when slen > 200 then s else b.txt end")} as txt, boiler from mainsec left join bodytext b using (page_id)"""
 _LETTERS = "regexp_replace(lower(w), '[^a-zà-ÿ]', '', 'g')"
-_SPOKEN = f"regexp_replace(regexp_replace({_LETTERS}, '{T.SILENT_ENDING}', ''), '^y', '')"
+# Endings that are not spoken, a first y, groups of vowels: the reading-ease rules once more.
+_SPOKEN = f"regexp_replace(regexp_replace({_LETTERS}, '(?:ed|[^aeiouyl]e|[^aeiouyl]es)$', ''), '^y', '')"
+_VOWEL_GROUP = "[à-ÿaeiouy]+"
+_WORD = "[À-ÿA-Za-z]+(?:''[À-ÿA-Za-z]+)*"
 
 
 # A terminator, then any white space of a browser or the end.
@@ -201,9 +203,9 @@ _STOP = r"[.!?]+(?:[\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 
 
 def flesch_ctes(source: str, key: str, txt: str, name: str) -> None:
-    CTES[f"{name}words"] = f"select {key}, unnest(regexp_extract_all({txt}, {lit(T.WORD_PATTERN)})) as w from {source}"
+    CTES[f"{name}words"] = f"select {key}, unnest(regexp_extract_all({txt}, '{_WORD}')) as w from {source}"
     CTES[f"{name}syl"] = f"""select {key}, count(*) as words, sum(case when length({_LETTERS}) = 0 then 0 when length({_LETTERS}) <= 3 then 1
-        else greatest(1, len(regexp_extract_all({_SPOKEN}, '{T.VOWELS}'))) end) as syl from {name}words group by {key}"""
+        else greatest(1, len(regexp_extract_all({_SPOKEN}, '{_VOWEL_GROUP}'))) end) as syl from {name}words group by {key}"""
     CTES[f"{name}flesch"] = f"""select *, case when words < 30 then 0e0 else greatest(0e0, least(100e0,
         206.835e0 - 1.015e0 * (cast(words as double) / sentences) - 84.6e0 * (cast(syl as double) / words))) end as flesch from (
       select s.{key}, coalesce(y.words, 0) as words, coalesce(y.syl, 0) as syl, greatest(1, len(regexp_extract_all(s.{txt}, '{_STOP}'))) as sentences

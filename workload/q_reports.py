@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagegauge import constants as C
 from pagegauge.operators.rules import FINDING_TYPE
-from pagegauge.plans import grading, reports as R
+from pagegauge.plans import grading, reports as R, statistics
 from pagegauge.plans.dimensions import REGISTRY
 from pagegauge.session import shared_dir
 from pagegauge.sources import reports as store
@@ -21,6 +21,14 @@ def graded(t):
     return grading.graded_pages(t.captures(), t.site_files())
 
 
+def kept_statistics(t):
+    """Facts of all pages by day, and the partials of those days."""
+    facts, partials = shared_dir(t.spark, "page-facts"), shared_dir(t.spark, "day-partials")
+    statistics.write_facts(statistics.page_facts(t.captures(), t.site_files()), facts)
+    statistics.update(t.spark, facts, partials)
+    return partials
+
+
 def built(t):
     return R.build_reports(t.captures(), t.site_files())
 
@@ -75,7 +83,7 @@ def findings_count(t):
 
 @query("findings_frequency", "select dimension, id, severity, count(distinct page_id) as pages from finds group by dimension, id, severity")
 def findings_frequency(t):
-    return R.finding_frequency(R.findings_long(graded(t)))
+    return statistics.finding_frequency(t.spark, kept_statistics(t))
 
 
 _GRADE_COUNTS = ", ".join(f"count(*) filter (grade = '{g}') as grade_{g.lower()}" for g in C.GRADES)
@@ -87,7 +95,7 @@ _GRADE_COUNTS = ", ".join(f"count(*) filter (grade = '{g}') as grade_{g.lower()}
         from graded group by rollup (origin)""",
 )
 def score_summary(t):
-    summary = R.score_summary(graded(t))
+    summary = statistics.score_summary(t.spark, kept_statistics(t))
     return summary.withColumns(
         {"origin": F.coalesce("origin", F.lit("(all)")), "mean_score": F.round("mean_score", 6)}
     ).drop("is_total")
