@@ -1,7 +1,8 @@
 """Per-job deadlines on a progress stream: stalled and overrun jobs, by event-time timers on keyed state.
 
 Reports wait until the watermark has passed them, so they count in the order of time whatever order they arrive in. The state
-of a job is what still waits and the value it stands at; a job's reports are few, so no state grows with the stream.
+of a job is what still waits and the value it stands at; a job's reports are few, so no state grows with the stream. State and
+timers are those of a group of jobs, told by a hash of the job, and all jobs of a group are worked out together.
 """
 
 from __future__ import annotations
@@ -10,102 +11,133 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pagegauge import constants as C
-from pagegauge.streaming.state import on_rocksdb
+from pagegauge.streaming.state import on_rocksdb, packed, unpacked
 from pagegauge.streaming.windows import LATENESS
 
 ALERT = "job_id string, value int, since_us long"
+_NONE = pd.DataFrame({"job_id": pd.Series([], dtype=object), "value": pd.Series([], dtype="int32"), "since_us": pd.Series([], dtype="int64")})
 # What a job reports within this time of its end does not open it again; then its state is gone.
 CLOSED_MS = 3_600_000
 
 
-def runs(at: np.ndarray, value: np.ndarray, done: np.ndarray, by_value: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(starts, ends, values, ended) of the stretches of equal value of one job's reports in the order of time.
+# Jobs are dealt over this many groups, so the calls to the state store grow with the groups of a batch, not with its jobs.
+BUCKETS = 512
 
-    Without ``by_value`` all reports are one stretch. The first done report ends the last stretch and what comes after it does
-    not count; without one its end is -1.
+_WAITING = pa.schema([("job_id", pa.string()), ("at_us", pa.int64()), ("done", pa.bool_()), ("value", pa.int32())])
+_STANDING = pa.schema([("job_id", pa.string()), ("since_us", pa.int64()), ("value", pa.int32()), ("raised", pa.bool_()), ("ended", pa.bool_())])
+
+
+def decided(standing: pd.DataFrame, due: pd.DataFrame, passed: int, limit: int, by_value: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(alerts, standing) of many jobs once the watermark, ``passed``, has passed the reports that are ``due``.
+
+    A job's stretches of equal value are told in the order of time; without ``by_value`` all its reports are one stretch. The
+    first done report ends the last stretch and what comes after it does not count. A stretch that nothing has ended yet has
+    lasted until the watermark. ``standing`` has the last stretch of each job, or the end of those that have ended.
     """
-    last = int(done.argmax()) if done.any() else None
-    at, value, end = (at, value, -1) if last is None else (at[:last], value[:last], int(at[last]))
-    changes = np.ones(len(at), dtype=bool)
-    changes[1:] = (value[1:] != value[:-1]) if by_value else False
-    starts = at[changes]
-    return starts, np.append(starts[1:], end)[: len(starts)], value[changes], last is not None
+    ended = standing["ended"].to_numpy(bool)
+    kept = standing[ended & (standing["since_us"].to_numpy() // 1000 + CLOSED_MS >= passed // 1000)]
+    due = due[~due["job_id"].isin(standing["job_id"][ended])]
+    before = standing[~ended]
+    job, jobs = pd.factorize(np.concatenate([before["job_id"].to_numpy(object), due["job_id"].to_numpy(object)]))
+    at = np.concatenate([before["since_us"].to_numpy("int64"), due["at_us"].to_numpy("int64")])
+    value = np.concatenate([before["value"].to_numpy("int32"), due["value"].to_numpy("int32")])
+    done = np.concatenate([np.zeros(len(before), bool), due["done"].to_numpy(bool)])
+    raised = np.concatenate([before["raised"].to_numpy(bool), np.zeros(len(due), bool)])
+    order = np.lexsort((value, done, at, np.arange(len(at)) >= len(before), job))
+    job, at, value, done, raised = (column[order] for column in (job, at, value, done, raised))
+
+    first = np.flatnonzero(np.diff(job, prepend=-1))
+    count = np.cumsum(done)
+    seen = count - np.repeat(count[first] - done[first], np.diff(np.append(first, len(job))))
+    end, has_end = np.zeros(len(jobs), "int64"), np.zeros(len(jobs), bool)
+    last = done & (seen == 1)
+    end[job[last]], has_end[job[last]] = at[last], True
+
+    live = seen == 0
+    job, at, value, raised = (column[live] for column in (job, at, value, raised))
+    changes = np.diff(job, prepend=-1) != 0
+    if by_value:
+        changes[1:] |= value[1:] != value[:-1]
+    job, starts, value, raised = (column[changes] for column in (job, at, value, raised))
+    final = np.diff(job, append=len(jobs)) != 0
+    ends = np.where(final, np.where(has_end[job], end[job], passed), np.append(starts[1:], 0)[: len(starts)])
+    too_long = ends - starts > limit
+
+    fresh = too_long & ~raised
+    alerts = pd.DataFrame({"job_id": pd.Series(jobs[job[fresh]], dtype=object), "value": value[fresh].astype("int32"), "since_us": starts[fresh]})
+    on = final & ~has_end[job]
+    now = [
+        kept,
+        pd.DataFrame({"job_id": jobs[job[on]], "since_us": starts[on], "value": value[on], "raised": too_long[on], "ended": False}),
+        pd.DataFrame({"job_id": jobs[has_end], "since_us": end[has_end], "value": np.int32(0), "raised": False, "ended": True}),
+    ]
+    return alerts, pd.concat([part for part in now if len(part)] or [kept], ignore_index=True)
 
 
 class _Deadline(StatefulProcessor):
+    """The jobs of one group: reports that wait, and the stretch or end each job stands at."""
+
     def __init__(self, seconds: int, by_value: bool):
         self.limit, self.by_value = seconds * 1_000_000, by_value
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at_us bigint, done boolean, value int")
-        self.standing = handle.getValueState("standing", "since_us bigint, value int, raised boolean, ended boolean")
-
-    def _alerts(self, key, values, starts) -> pd.DataFrame:
-        return pd.DataFrame({
-            "job_id": pd.Series([key[0]] * len(starts), dtype=object), "value": pd.Series(values, dtype="int32"), "since_us": pd.Series(starts, dtype="int64"),
-        })
+        self.waiting = handle.getListState("waiting", "reports binary")
+        self.standing = handle.getListState("standing", "jobs binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for pdf in rows:
-            pdf = pdf[pdf["at_us"].notna()]
             # Rows without a job only move the clock.
-            if len(pdf) and key[0] is not None:
-                at, value = pdf["at_us"].astype("int64"), pdf["value"].fillna(0).astype("int32")
-                self.waiting.appendList(list(zip(at.tolist(), pdf["done"].fillna(False).astype(bool).tolist(), value.tolist(), strict=True)))
+            pdf = pdf[pdf["at_us"].notna() & pdf["job_id"].notna()]
+            if len(pdf):
+                at = pdf["at_us"].astype("int64")
+                reports = pd.DataFrame({
+                    "job_id": pdf["job_id"], "at_us": at, "done": pdf["done"].fillna(False).astype(bool), "value": pdf["value"].fillna(0).astype("int32"),
+                })
+                self.waiting.appendList(packed(pa.Table.from_pandas(reports, _WAITING, preserve_index=False)))
                 first = -(-int(at.min()) // 1000)
                 earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self.handle.registerTimer(earliest)
-        yield self._alerts(key, [], [])
+        yield _NONE
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get())
-        reports = np.array(waiting, dtype=np.int64).reshape(-1, 3)
-        cut = int(np.searchsorted(reports[:, 0], passed, side="right"))
-        since, value, raised, ended = self.standing.get() or (None, None, False, False)
-        if cut < len(waiting):
-            self.waiting.put(waiting[cut:])
-            self.handle.registerTimer(-(-int(waiting[cut][0]) // 1000))
-        elif waiting:
-            self.waiting.clear()
-        if ended:
-            if since // 1000 + CLOSED_MS < passed // 1000:
-                self.standing.clear()
-            yield self._alerts(key, [], [])
-            return
-        due = reports[:cut] if since is None else np.vstack([[since, 0, value], reports[:cut]]).astype(np.int64)
-        if not len(due):
-            yield self._alerts(key, [], [])
-            return
-        starts, ends, values, ended = runs(due[:, 0], due[:, 2], due[:, 1] == 1, self.by_value)
-        # A stretch that nothing has ended yet has lasted until the watermark.
-        too_long = np.where(ends < 0, passed, ends) - starts > self.limit
-        fresh = too_long.copy()
-        if len(fresh):
-            fresh[0] &= not raised
-        yield self._alerts(key, values[fresh], starts[fresh])
-        if ended:
-            end = int(due[due[:, 1] == 1][0, 0])
-            self.standing.update((end, 0, False, True))
-            self.handle.registerTimer(end // 1000 + CLOSED_MS + 1)
-            return
-        self.standing.update((int(starts[-1]), int(values[-1]), bool(too_long[-1]), False))
-        if not too_long[-1]:
-            self.handle.registerTimer((int(starts[-1]) + self.limit) // 1000 + 1)
+        waiting = unpacked(self.waiting.get(), _WAITING)
+        late = pc.greater(waiting["at_us"], passed)
+        due, rest = waiting.filter(pc.invert(late)), waiting.filter(late)
+        alerts, standing = decided(unpacked(self.standing.get(), _STANDING).to_pandas(), due.to_pandas(), passed, self.limit, self.by_value)
+        if due.num_rows:
+            self._keep(self.waiting, rest)
+        self._keep(self.standing, pa.Table.from_pandas(standing, _STANDING, preserve_index=False))
+        since, ended = standing["since_us"].to_numpy("int64"), standing["ended"].to_numpy(bool)
+        following = np.concatenate([
+            -(-rest["at_us"].to_numpy() // 1000), (since[~ended & ~standing["raised"].to_numpy(bool)] + self.limit) // 1000 + 1, since[ended] // 1000 + CLOSED_MS + 1,
+        ])
+        if len(following):
+            self.handle.registerTimer(int(following.min()))
+        yield alerts
+
+    def _keep(self, state, rows: pa.Table) -> None:
+        if rows.num_rows:
+            state.put(packed(rows))
+        else:
+            state.clear()
 
 
 def _watched(progress: DataFrame, seconds: int, by_value: bool) -> DataFrame:
     """``progress`` has job_id, at (event time), value and done."""
-    rows = progress.withWatermark("at", LATENESS).select("job_id", "at", F.unix_micros("at").alias("at_us"), "value", "done")
-    return rows.groupBy("job_id").transformWithStateInPandas(_Deadline(seconds, by_value), ALERT, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    rows = progress.withWatermark("at", LATENESS).select(bucket, "job_id", "at", F.unix_micros("at").alias("at_us"), "value", "done")
+    return rows.groupBy("bucket").transformWithStateInPandas(_Deadline(seconds, by_value), ALERT, "append", "eventTime")
 
 
 def stalled(progress: DataFrame) -> DataFrame:

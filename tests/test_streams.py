@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,50 @@ def test_state_of_finished_keys_is_gone(spark):
     stream.awaitTermination()
     assert spark.read.parquet(out).count() == 200
     assert stream.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+@pytest.mark.parametrize("rule", [deadlines.stalled, deadlines.overrun])
+def test_state_of_deadlines_is_kept_by_group_not_by_job(spark, monkeypatch, rule):
+    """Values in the state store, as calls to it, are bounded by the groups, however many jobs stand or wait."""
+    monkeypatch.setattr(deadlines, "BUCKETS", 8)
+    schema = "job_id string, value int, done boolean"
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("source", "out", "ckpt"))
+    arrive(spark, source, [(f"j{i}", 1, False, T0 + i) for i in range(3000)], schema)
+    arrive(spark, source, [(None, None, None, T0 + 5_000_000)], schema)
+    arrive(spark, source, [(f"w{i}", 1, False, T0 + 5_000_000 + i) for i in range(3000)], schema)
+    stream = deadlines.alert_stream(rule(reading(spark, source, schema)), out, checkpoint)
+    stream.awaitTermination()
+    got = [(r["job_id"], r["value"], r["since_us"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted((f"j{i}", 1, (T0 + i) * 1000) for i in range(3000))
+    # Jobs and reports of a group are one packed value each, next to the timers.
+    assert 0 < stream.lastProgress["stateOperators"][0]["numRowsTotal"] <= 100
+
+
+def test_deadlines_of_many_jobs_at_once_are_those_of_each_job():
+    """Stretches, ends, raised alerts and what stands afterwards, for jobs worked out together and one by one."""
+    rng = random.Random(5)
+    limit, passed = 60, 500
+    empty = {"job_id": [], "at_us": [], "done": [], "value": []}
+    for by_value in (True, False):
+        stood = pd.DataFrame([(f"j{i}", -rng.randrange(90), rng.randrange(2), rng.random() < 0.5, i % 5 == 0) for i in range(0, 60, 2)], columns=["job_id", "since_us", "value", "raised", "ended"])
+        due = pd.DataFrame([(f"j{rng.randrange(70)}", rng.randrange(400), rng.random() < 0.1, rng.randrange(2)) for _ in range(400)], columns=list(empty))
+        alerts, now = deadlines.decided(stood, due, passed, limit, by_value)
+        one_alerts, one_now = [], []
+        for job in {*stood["job_id"], *due["job_id"]}:
+            since, value, raised, ended = next(iter(stood[stood["job_id"] == job].drop(columns="job_id").itertuples(index=False)), (None, None, False, False))
+            reports = [] if ended else sorted(due[due["job_id"] == job][["at_us", "done", "value"]].itertuples(index=False, name=None))
+            for at, done, v in [*reports, (passed, None, None)]:
+                if since is not None and not ended and (done is not False or (by_value and v != value)):
+                    if at - since > limit and not raised:
+                        one_alerts.append((job, value, since))
+                        raised = done is None
+                    since, value, raised = (since, value, raised or at - since > limit) if done is None else (at, v, False)
+                elif since is None and done is not None:
+                    since, value = at, v
+                if done:
+                    since, value, raised, ended = at, 0, False, True
+                    break
+            one_now.append((job, since, value, raised, ended))
+        assert sorted(alerts.itertuples(index=False, name=None)) == sorted(one_alerts) and one_alerts
+        assert sorted(now.itertuples(index=False, name=None)) == sorted(one_now)
+        assert len(deadlines.decided(now.iloc[:0], due.iloc[:0], passed, limit, by_value)[1]) == 0
