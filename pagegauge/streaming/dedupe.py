@@ -6,36 +6,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pagegauge import constants as C
-from pagegauge.streaming.state import on_rocksdb
+from pagegauge.streaming.state import on_rocksdb, packed, unpacked
 
 # Requests may arrive this much later than the newest one seen.
 LATENESS_SECONDS = 600
 
 
+# Decisions leave a task in frames of so many rows.
+OUT_ROWS = 100_000
+
+
+def accepted_of(times: np.ndarray, last: int | None, window: int) -> tuple[np.ndarray, int | None]:
+    """Which of the sorted times are accepted after the acceptance ``last``, and the last acceptance then."""
+    accepted = np.zeros(len(times), dtype=bool)
+    at = 0 if last is None else int(np.searchsorted(times, last + window, side="right"))
+    while at < len(times):
+        accepted[at], last = True, int(times[at])
+        at = int(np.searchsorted(times, last + window, side="right"))
+    return accepted, last
+
+
 class _Acceptance(StatefulProcessor):
     """Requests of one key wait until the watermark has passed them; then they are decided in the order of time.
 
-    The state is what still waits, bounded by the lateness, and the last acceptance, which a timer clears a window later.
+    The state is what still waits, bounded by the lateness, and the last acceptance, which a timer clears a window later. What
+    waits is packed, so a busy key costs a few calls to the state store, and Arrow sorts it.
     """
 
     def __init__(self, window_ms: int, id_type: str):
-        self.window_ms, self.id_type = window_ms, id_type
+        self.window_ms, self.schema = window_ms, pa.schema([("ms", pa.int64()), ("id", pa.int64() if id_type == "bigint" else pa.string())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"ms bigint, id {self.id_type}")
+        self.waiting = handle.getListState("waiting", "requests binary")
         self.last = handle.getValueState("last", "ms bigint")
 
-    def _decided(self, key, due: list[tuple[int, object]], accepted: np.ndarray) -> pd.DataFrame:
+    def _decided(self, key, due: pa.Table, accepted: np.ndarray) -> pd.DataFrame:
         # Plain objects, as the stream takes no Arrow-backed strings.
         return pd.DataFrame({
-            "key": pd.Series([key[0]] * len(due), dtype=object), "id": pd.Series([i for _, i in due], dtype=object),
-            "ms": pd.Series([ms for ms, _ in due], dtype="int64"), "accepted": pd.Series(accepted, dtype=bool),
+            "key": pd.Series([key[0]] * len(due), dtype=object), "id": due["id"].to_pandas().astype("int64" if self.schema.field("id").type == pa.int64() else object),
+            "ms": due["ms"].to_pandas().astype("int64"), "accepted": pd.Series(accepted, dtype=bool),
         })
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -45,36 +62,33 @@ class _Acceptance(StatefulProcessor):
             pdf = pdf[pdf["ms"].notna() & pdf["id"].notna()]
             if len(pdf) and key[0] is not None:
                 # Whole numbers next to a missing one arrive as doubles.
-                ids = pdf["id"].astype("int64") if self.id_type == "bigint" else pdf["id"]
-                self.waiting.appendList(list(zip(pdf["ms"].astype("int64").tolist(), ids.tolist(), strict=True)))
+                ids = pdf["id"].astype("int64") if self.schema.field("id").type == pa.int64() else pdf["id"]
+                self.waiting.appendList(packed(pa.Table.from_pandas(pd.DataFrame({"ms": pdf["ms"].astype("int64"), "id": ids}), self.schema, preserve_index=False)))
                 first = int(pdf["ms"].min())
                 earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self.handle.registerTimer(earliest)
-        yield self._decided(key, [], [])
+        yield self._decided(key, self.schema.empty_table(), [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get())
-        cut = next((i for i, (ms, _) in enumerate(waiting) if ms > passed), len(waiting))
-        due, rest = waiting[:cut], waiting[cut:]
+        waiting = unpacked(self.waiting.get(), self.schema)
+        late = pc.greater(waiting["ms"], passed)
+        due, rest = waiting.filter(pc.invert(late)), waiting.filter(late)
         (last,) = self.last.get() or (None,)
-        if due:
-            times = np.array([ms for ms, _ in due])
-            accepted = np.zeros(len(due), dtype=bool)
-            at = 0 if last is None else int(np.searchsorted(times, last + self.window_ms, side="right"))
-            while at < len(times):
-                accepted[at], last = True, int(times[at])
-                at = int(np.searchsorted(times, last + self.window_ms, side="right"))
-            if rest:
-                self.waiting.put(rest)
+        if due.num_rows:
+            due = due.sort_by([("ms", "ascending"), ("id", "ascending")])
+            accepted, last = accepted_of(due["ms"].to_numpy(), last, self.window_ms)
+            if rest.num_rows:
+                self.waiting.put(packed(rest))
             else:
                 self.waiting.clear()
             if last is not None:
                 self.last.update((last,))
-            yield self._decided(key, due, accepted)
-        if rest:
-            self.handle.registerTimer(int(rest[0][0]))
+            for start in range(0, len(due), OUT_ROWS):
+                yield self._decided(key, due.slice(start, OUT_ROWS), accepted[start : start + OUT_ROWS])
+        if rest.num_rows:
+            self.handle.registerTimer(int(pc.min(rest["ms"]).as_py()))
         elif last is not None and last + self.window_ms < passed:
             self.last.clear()
         elif last is not None:

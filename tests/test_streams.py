@@ -216,3 +216,18 @@ def test_deadlines_of_many_jobs_at_once_are_those_of_each_job():
         assert sorted(alerts.itertuples(index=False, name=None)) == sorted(one_alerts) and one_alerts
         assert sorted(now.itertuples(index=False, name=None)) == sorted(one_now)
         assert len(deadlines.decided(now.iloc[:0], due.iloc[:0], passed, limit, by_value)[1]) == 0
+
+
+def test_waiting_requests_of_a_busy_key_are_few_values(spark):
+    schema = "id bigint, key string"
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("source", "out", "ckpt"))
+    arrive(spark, source, [(20_000 - i, "hot", T0 + i // 2 * 20) for i in range(20_000)], schema)
+    stream = dedupe.dedupe_stream(reading(spark, source, schema), "key", "at", "id", out, checkpoint)
+    stream.awaitTermination()
+    assert stream.lastProgress["stateOperators"][0]["numRowsTotal"] <= 20
+    arrive(spark, source, [(None, None, T0 + 5_000_000)], schema)
+    dedupe.dedupe_stream(reading(spark, source, schema), "key", "at", "id", out, checkpoint).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    # Of two requests of one time the smaller id is accepted, a window and a step after the last.
+    assert len(got) == 20_000
+    assert sorted(r["id"] for r in got if r["accepted"]) == sorted(20_000 - (2 * i + 1) for i in range(0, 10_000, 3001))
