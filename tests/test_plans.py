@@ -78,3 +78,15 @@ def test_overruns_on_a_stream_equal_the_batch(spark, sf_dir):
     jobs = progress.groupBy("job_id").agg(F.min("at").alias("started_at"), F.max(F.when(F.col("done"), F.col("at"))).alias("completed_at"))
     clock = t.jobs().agg((F.max("created_at") + F.expr("interval 50 minutes"))).scalar()
     assert streamed == {r["job_id"] for r in timelines.overruns(jobs, clock).collect()}
+
+
+def test_a_partition_of_pages_does_not_grow_with_the_table(spark, monkeypatch):
+    """The sorts over tokens of a partition take many times its html, so more pages make more partitions, not larger ones."""
+    monkeypatch.setattr(structure, "PARTITION_PAGES", 50)
+    html = F.concat(F.lit("<html><title>t</title><p>page "), F.col("page_id").cast("string"), F.lit("</p></html>"))
+    for pages in (1000, 3000):
+        captures = spark.range(pages).select(F.col("id").alias("page_id"), html.alias("raw_html"), html.alias("rendered_html"))
+        done = structure.page_documents(captures).select("page_id", "els").groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.min(F.size("els")).alias("els"))
+        rows = done.collect()
+        assert sum(r["n"] for r in rows) == pages and all(r["els"] >= 2 for r in rows)
+        assert max(r["n"] for r in rows) <= 2 * 50
