@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import string
 import zlib
 from html.entities import html5
 
@@ -13,6 +14,9 @@ from pagegauge import constants as C
 from pagegauge.functions.binding import let
 
 WS = C.WHITESPACE_PATTERN
+# Runs of white space but lone spaces. Most characters are told from white space by one comparison, not by the whole list.
+_SPACE = rf"[[^\x21-\x7E]&&{WS}]"
+_RUN = rf"\x20{_SPACE}++|[[^\x20-\x7E]&&{WS}]{_SPACE}*+"
 
 
 def trim(col: Column) -> Column:
@@ -21,7 +25,7 @@ def trim(col: Column) -> Column:
 
 def collapse(col: Column) -> Column:
     """Runs of white space become one space; both ends are trimmed."""
-    return F.trim(F.regexp_replace(col, WS + "+", " "))
+    return F.trim(F.regexp_replace(col, _RUN, " "))
 
 
 # Characters that numeric references 128 to 159 stand for: those of the Windows code page.
@@ -118,11 +122,17 @@ def jaccard_clarity(left: Column, right: Column) -> Column:
     return _word_overlap(left, right, one_empty=0.0, both_empty=0.0)
 
 
-# Fixed values of the reading-ease formula's word and sentence patterns.
-WORD_PATTERN = "[A-Za-zÀ-ÿ]+(?:'[A-Za-zÀ-ÿ]+)*"
+# Fixed values of the reading-ease formula's word and sentence patterns. Letters are spelled out one by one: a set of single
+# characters is looked up in a table, while every range in it is one more comparison of each character.
+_LATIN = "".join(chr(c) for c in range(0xE0, 0x100))
+_LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0xE0)) + _LATIN
+_VOWELS = "aeiouy" + _LATIN
+WORD_PATTERN = f"[{_LETTERS}]++(?:'[{_LETTERS}]++)*+"
 SENTENCE_PATTERN = "[.!?]+(?:" + WS + r"|\z)"
 SILENT_ENDING = "(?:[^laeiouy]es|ed|[^laeiouy]e)$"
 VOWELS = "[aeiouyà-ÿ]+"
+# The silent ending of any word of a line.
+_SILENT = "(?:ed|[^ laeiouy]es?)(?![^ ])"
 
 
 def syllables(word: Column) -> Column:
@@ -143,7 +153,25 @@ def words(col: Column) -> Column:
 
 
 def syllable_total(word_list: Column) -> Column:
-    return F.aggregate(word_list, F.lit(0), lambda total, w: total + syllables(w))
+    """The sum of ``syllables`` over words as ``words`` finds them, from one line of them all: nothing is evaluated word by word."""
+    line = F.lower(F.array_join(word_list, " "))
+    # What a word may hold besides the letters that are counted.
+    for other in "'×ß":
+        line = F.replace(line, F.lit(other), F.lit(""))
+
+    # Every longer word counts its groups of vowels, but one at least.
+    def groups(spoken: Column) -> Column:
+        return F.regexp_count(spoken, F.lit(f"[{_VOWELS}]++")) - F.regexp_count(spoken, F.lit(f"[{_VOWELS}][^ ]*+"))
+
+    def longer(found: Column) -> Column:
+        spoken = F.regexp_replace(F.concat(F.lit(" "), F.array_join(found, " ")), _SILENT, "")
+        return F.size(found) + let(F.replace(spoken, F.lit(" y"), F.lit(" ")), groups)
+
+    def total(line: Column) -> Column:
+        upto_three = F.regexp_count(line, F.lit("[^ ]++")) - F.regexp_count(line, F.lit("[^ ]{4,}+"))
+        return upto_three + let(F.regexp_extract_all(line, F.lit("[^ ]{4,}+"), F.lit(0)), longer)
+
+    return let(line, total)
 
 
 def sentence_total(col: Column) -> Column:

@@ -24,21 +24,17 @@ def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: list[str],
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, row_id: str, key_source: DataFrame) -> DataFrame:
     """Left join of many rows to one row per key; rows of the most frequent keys spread over salts.
 
-    ``key_source`` is a cheap frame with the join key column, from which the hot keys are counted.
+    ``key_source`` is a frame with the join key column, from which the hot keys are counted: once and at once, as both sides need them.
     """
-    hot = (
-        key_source.groupBy(key).agg(F.count("*").alias("_n"))
-        .where(F.col(key).isNotNull())
-        .orderBy(F.desc("_n"), key)
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    counts = key_source.groupBy(key).agg(F.count("*").alias("_n"))
+    # One row more than needed, as rows without a key may be among the most frequent; they are not left out before, since that
+    # would work out the key a second time.
+    top = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS + 1).collect()
+    hot = F.col(key).isin(*[row[key] for row in top if row[key] is not None][:HOT_KEYS])
     # Rows without a key match nothing, but would otherwise meet in one task.
-    spread = F.col("_hot") | F.col(key).isNull()
-    salt = F.when(spread, F.pmod(F.xxhash64(row_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    many = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    one = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salt = F.when(hot | F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    many, one = left.withColumn("_salt", salt), right.withColumn("_salt", F.explode(copies))
     return many.join(one, [key, "_salt"], "left").drop("_salt")
 
 

@@ -1,5 +1,7 @@
 """Column functions against tables of known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,23 @@ def test_text(spark):
     assert values(spark, ["make", "the", "banana", "tables", "rhythm"], T.syllables) == [1, 1, 3, 2, 1]
 
 
+def test_syllables_of_all_words_are_the_sum_over_words_and_found_without_a_walk(spark):
+    rng = random.Random(8)
+    letters = "aaeeiouyydlsstrzbnéàñßÿ×÷ÀÉ" + "AEYSD" + "'"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", "es", "ed", "e", "les", "'s"])
+    texts = ["", "yxes", "the rhythm made tables", "ß ×× y yyyy", *[rng.choice(" .\n").join(word() for _ in range(rng.randrange(1, 40))) for _ in range(200)]]
+    one_by_one = values(spark, texts, lambda c: F.aggregate(T.words(c), F.lit(0), lambda total, w: total + T.syllables(w)))
+    assert values(spark, [*texts, None], lambda c: T.syllable_total(T.words(c))) == [*one_by_one, None]
+    plan = spark.range(1).select(T.syllable_total(T.words(F.col("id").cast("string"))))._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" not in plan
+
+
+def test_collapse_equals_replacing_every_run(spark):
+    rng = random.Random(9)
+    texts = ["", " ", "  ", "a b", *["".join(rng.choice("ab~!  \t\n\u00a0\u2003\ufeffé日\x1f\x85") for _ in range(rng.randrange(30))) for _ in range(300)]]
+    assert values(spark, texts, T.collapse) == values(spark, texts, lambda c: F.trim(F.regexp_replace(c, T.WS + "+", " ")))
+
+
 def test_word_overlap(spark):
     df = spark.createDataFrame([("", ""), ("a b", "of it"), ("red bike", ""), ("Red bike shop", "red BIKE")], "a string, b string")
     rows = df.select(T.jaccard_schema(F.col("a"), F.col("b")), T.jaccard_clarity(F.col("a"), F.col("b"))).collect()

@@ -82,6 +82,23 @@ def test_salted_join_keeps_every_row(spark):
     assert got.where("k is not null and k != 'hot' and v != 2 * id").count() == 0
 
 
+def test_hot_keys_are_counted_once(spark):
+    """Counting works out the join key of every row, so it must not be done for either side, nor again to leave out rows without one."""
+    worked_out = spark.sparkContext.accumulator(0)
+
+    def key(i):
+        worked_out.add(1)
+        return None if i % 5 == 0 else "hot" if i % 2 else str(i)
+
+    ids = spark.range(300)
+    left = ids.select("id", F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 2 == 1, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    source = ids.select(F.udf(key, "string")("id").alias("k"))
+    right = ids.select(F.col("id").cast("string").alias("k"), "id").withColumnRenamed("id", "v").union(spark.sql("select 'hot', -1L"))
+    rows = skew.salted_left_join(left, right, "k", "id", source).collect()
+    assert worked_out.value == 300
+    assert {r["id"]: r["v"] for r in rows} == {i: None if i % 5 == 0 else -1 if i % 2 else i for i in range(300)} and len(rows) == 300
+
+
 def test_exact_percentiles(spark):
     rng = random.Random(6)
     data = [rng.choice([rng.random() * 9000, 1500.0, 1500.0]) for _ in range(777)]
