@@ -90,3 +90,12 @@ def test_a_partition_of_pages_does_not_grow_with_the_table(spark, monkeypatch):
         rows = done.collect()
         assert sum(r["n"] for r in rows) == pages and all(r["els"] >= 2 for r in rows)
         assert max(r["n"] for r in rows) <= 2 * 50
+
+
+def test_pages_are_dealt_by_number_however_many_cores_there_are(spark, monkeypatch):
+    """With fewer parts than cores, pages were put together by their bytes, all of a small table in one task."""
+    monkeypatch.setattr(structure, "PARTITION_PAGES", 100)
+    html = F.concat(F.lit("<p>page "), F.col("page_id").cast("string"), F.lit("</p>"))
+    captures = spark.range(spark.sparkContext.defaultParallelism * 90).select(F.col("id").alias("page_id"), html.alias("raw_html"), html.alias("rendered_html"))
+    rows = structure.page_documents(captures).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in rows) == captures.count() and max(r["n"] for r in rows) <= 2 * 100
