@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,4 +34,18 @@ def staged(build: Callable[[], Stages]) -> Callable[[DataFrame], DataFrame]:
             df = df.withColumns(stage)
         return df
 
+    apply.build = build
     return apply
+
+
+def in_order(*parts: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """One staged function of several, each of which may use the columns of those before."""
+    return staged(lambda: [stage for part in parts for stage in part.build()])
+
+
+def side_by_side(*parts: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """One staged function of several that don't use each other's columns: their first stages are one stage, and so on.
+
+    Every stage copies the row, the texts of a page included, and is compiled on its own, so few wide ones cost less than many.
+    """
+    return staged(lambda: [{n: c for stage in stages for n, c in stage.items()} for stages in zip_longest(*(part.build() for part in parts), fillvalue={})])

@@ -153,25 +153,24 @@ def words(col: Column) -> Column:
 
 
 def syllable_total(word_list: Column) -> Column:
-    """The sum of ``syllables`` over words as ``words`` finds them, from one line of them all: nothing is evaluated word by word."""
-    line = F.lower(F.array_join(word_list, " "))
-    # What a word may hold besides the letters that are counted.
+    """The sum of ``syllables`` over words as ``words`` finds them, from one line of them all: nothing is evaluated word by word.
+
+    Every word keeps the space before it. A short word becomes one vowel; groups of vowels are counted by the length of what is left when
+    each is one character, and words without any are found by themselves, so matches are few and none is kept as a text.
+    """
+    line = F.concat(F.lit(" "), F.lower(F.array_join(word_list, " ")))
+    # What a word may hold besides the letters that are counted; a word of nothing else counts for none.
+    line = F.regexp_replace(line, " ['×ß]++(?![^ ])", "")
     for other in "'×ß":
         line = F.replace(line, F.lit(other), F.lit(""))
+    spoken = F.regexp_replace(F.regexp_replace(line, " [^ ]{1,3}+(?![^ ])", " a"), _SILENT, "")
 
-    # Every longer word counts its groups of vowels, but one at least.
-    def groups(spoken: Column) -> Column:
-        return F.regexp_count(spoken, F.lit(f"[{_VOWELS}]++")) - F.regexp_count(spoken, F.lit(f"[{_VOWELS}][^ ]*+"))
-
-    def longer(found: Column) -> Column:
-        spoken = F.regexp_replace(F.concat(F.lit(" "), F.array_join(found, " ")), _SILENT, "")
-        return F.size(found) + let(F.replace(spoken, F.lit(" y"), F.lit(" ")), groups)
-
-    def total(line: Column) -> Column:
-        upto_three = F.regexp_count(line, F.lit("[^ ]++")) - F.regexp_count(line, F.lit("[^ ]{4,}+"))
-        return upto_three + let(F.regexp_extract_all(line, F.lit("[^ ]{4,}+"), F.lit(0)), longer)
+    def total(spoken: Column) -> Column:
+        # The leading vowel is one group too many.
+        groups = F.length(F.regexp_replace(F.concat(F.lit("a"), spoken), f"[{_VOWELS}]++[^{_VOWELS}]*+", "a")) - 1
+        return groups + F.regexp_count(spoken, F.lit(f" [^ {_VOWELS}]*+(?![^ ])"))
 
-    return let(line, total)
+    return F.when(F.size(word_list) == 0, 0).otherwise(let(F.replace(spoken, F.lit(" y"), F.lit(" ")), total))
 
 
 def sentence_total(col: Column) -> Column:

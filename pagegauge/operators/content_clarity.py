@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
 from pagegauge.functions import html as H
 from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
-from pagegauge.functions.binding import Stages, staged
+from pagegauge.functions.binding import Stages, in_order, staged
 from pagegauge.operators import elements as E
 from pagegauge.operators.rules import Rule, text
 
@@ -127,8 +127,7 @@ def _features() -> Stages:
     return stages
 
 
-def features(docs: DataFrame) -> DataFrame:
-    return _features(main_content(docs))
+features = in_order(main_content, _features)
 
 
 def _chars(column: str, name: str, bound: str) -> str:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
 from pagegauge.functions import html as H
 from pagegauge.functions import scoring as S
-from pagegauge.functions.binding import Stages, staged
+from pagegauge.functions.binding import Stages, in_order, staged
 from pagegauge.operators import elements as E
 from pagegauge.operators.rules import Rule, text
 
@@ -56,9 +56,8 @@ def _banner_features() -> Stages:
     ]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Needs the ``perf`` struct next to the nested page row."""
-    return _banner_features(timing_features(docs))
+# Needs the ``perf`` struct next to the nested page row.
+features = in_order(timing_features, _banner_features)
 
 
 _MS = "concat({}, cast(cast({} as bigint) as string), ' ms')"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegauge.functions.binding import Stages, staged
+from pagegauge.functions.binding import Stages, side_by_side, staged
 from pagegauge.functions import html as H
 from pagegauge.functions import scoring as S
 from pagegauge.functions import text as T
@@ -29,13 +32,14 @@ def page_rows(captures: DataFrame, partitioned: bool = False) -> DataFrame:
     return docs.withColumns({"page_title": F.nullif(raw_title, F.lit("")), **{c: F.col(f"meta.{c}") for c in CARRIED}}).drop("meta")
 
 
+@functools.cache
+def _together(prefixes: tuple[str, ...]) -> Callable[[DataFrame], DataFrame]:
+    return side_by_side(*[d.features for d in PAGE_DIMENSIONS if not prefixes or d.prefix in prefixes])
+
+
 def page_features(captures: DataFrame, *prefixes: str, partitioned: bool = False) -> DataFrame:
     """Feature columns of the page-level dimensions (all of them, or those with the given prefixes)."""
-    out = page_rows(captures, partitioned)
-    for dimension in PAGE_DIMENSIONS:
-        if not prefixes or dimension.prefix in prefixes:
-            out = dimension.features(out)
-    return out
+    return _together(prefixes)(page_rows(captures, partitioned))
 
 
 def with_site(pages: DataFrame, captures: DataFrame, site: DataFrame) -> DataFrame:

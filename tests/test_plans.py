@@ -99,3 +99,10 @@ def test_pages_are_dealt_by_number_however_many_cores_there_are(spark, monkeypat
     captures = spark.range(spark.sparkContext.defaultParallelism * 90).select(F.col("id").alias("page_id"), html.alias("raw_html"), html.alias("rendered_html"))
     rows = structure.page_documents(captures).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in rows) == captures.count() and max(r["n"] for r in rows) <= 2 * 100
+
+
+def test_dimensions_share_their_stages(spark, sf_dir):
+    """A stage copies the texts of its page, so all dimensions take as many as the longest of them, not the sum."""
+    captures = Tables(spark, sf_dir).captures()
+    stages = lambda *prefixes: grading.page_features(captures, *prefixes)._jdf.queryExecution().analyzed().toString().count("Project [")
+    assert stages() == max(stages(d.prefix) for d in grading.PAGE_DIMENSIONS)
