@@ -101,6 +101,14 @@ def test_pages_are_dealt_by_number_however_many_cores_there_are(spark, monkeypat
     assert sum(r["n"] for r in rows) == captures.count() and max(r["n"] for r in rows) <= 2 * 100
 
 
+def test_a_task_that_works_out_trees_does_not_hold_a_whole_scan(spark, monkeypatch):
+    """The shuffle behind the trees keeps its task's pages in memory above 200 parts, so what one task scans is dealt out before."""
+    monkeypatch.setattr(structure, "PARTITION_PAGES", 20)
+    pages = spark.range(0, 6000, 1, 1).select(F.col("id").alias("page_id"), F.lit("<p>x</p>").alias("html"))
+    rows = structure._clustered(pages, {"task": F.spark_partition_id()}, False).groupBy("task").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in rows) == 6000 and max(r["n"] for r in rows) <= 3 * 6000 // 200
+
+
 def test_dimensions_share_their_stages(spark, sf_dir):
     """A stage copies the texts of its page, so all dimensions take as many as the longest of them, not the sum."""
     captures = Tables(spark, sf_dir).captures()
