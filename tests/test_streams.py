@@ -4,13 +4,14 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagegauge import constants as C
 from pagegauge.operators import greedy, timelines
 from pagegauge.session import shared_dir
-from pagegauge.streaming import deadlines, dedupe, windows
+from pagegauge.streaming import deadlines, dedupe, state, windows
 
 T0 = 1_700_000_000_000
 
@@ -231,3 +232,90 @@ def test_waiting_requests_of_a_busy_key_are_few_values(spark):
     # Of two requests of one time the smaller id is accepted, a window and a step after the last.
     assert len(got) == 20_000
     assert sorted(r["id"] for r in got if r["accepted"]) == sorted(20_000 - (2 * i + 1) for i in range(0, 10_000, 3001))
+
+
+def test_a_busy_key_is_taken_in_by_many_groups(spark):
+    """Requests of one key wait in as many groups as there are lanes, in one value each, and are decided as by the batch twin."""
+    schema = "id bigint, key string"
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("source", "out", "ckpt"))
+    rows = [(i, "hot", T0 + i * 7_000) for i in range(6000)]
+    arrive(spark, source, rows, schema)
+    arrive(spark, source, [(None, None, T0 + 90_000_000)], schema)
+    arrive(spark, source, [(None, None, T0 + 95_000_000)], schema)
+    stream = dedupe.dedupe_stream(reading(spark, source, schema), "key", "at", "id", out, checkpoint)
+    stream.awaitTermination()
+    waiting = max(op["numRowsTotal"] for op in stream.recentProgress[0]["stateOperators"])
+    assert dedupe.LANES <= waiting <= 2 * dedupe.LANES
+    assert all(op["numRowsTotal"] == 0 for op in stream.lastProgress["stateOperators"])
+    got = [(r["id"], r["accepted"]) for r in spark.read.parquet(out).collect()]
+    accepted = set(walk([ms for *_, ms in rows], 60_000, None))
+    assert sorted(got) == [(i, ms in accepted) for i, _, ms in rows]
+
+
+@pytest.mark.parametrize("pool_rows", [1, 30, 400, 10**6])
+@pytest.mark.parametrize("id_type", [pa.int64(), pa.string()])
+def test_decisions_do_not_hang_on_the_packs(pool_rows, id_type):
+    """Packs that overlap, come in any order and over two batches, of many keys and one hot one, against a walk over each key."""
+    rng = random.Random(pool_rows)
+    schema = pa.schema([("key", pa.string()), ("ms", pa.int64()), ("id", id_type)])
+    rows = [(rng.choice(["hot", "hot", f"k{rng.randrange(60)}"]), rng.randrange(40_000), i if id_type == pa.int64() else f"{i * 7919 % 3001:x}") for i in range(3000)]
+    rows += [(key, ms, f"x{i}" if isinstance(i, str) else i + 3000) for key, ms, i in rows[:200]]
+    got, last = [], {}
+    for low, high in ((0, 17_000), (17_000, 40_000)):
+        part = [r for r in rows if low <= r[1] < high]
+        packs = []
+        for lane in range(5):
+            own = sorted((r for r in part if r[1] // 500 % 5 == lane), key=lambda r: r[1])
+            for start in range(0, len(own), 37):
+                piece = own[start : start + 37]
+                table = pa.table([list(column) for column in zip(*piece, strict=True)], schema=schema)
+                packs += [(piece[0][1], pack) for (pack,) in state.packed(table)]
+        rng.shuffle(packs)
+        for table in dedupe.decided(packs, last, 700, schema, pool_rows):
+            got += [(r["key"], r["ms"], r["id"], r["accepted"]) for r in table.to_pylist()]
+    want, ends = [], {}
+    for key in {r[0] for r in rows}:
+        own = [(ms, i) for k, ms, i in rows if k == key]
+        times = walk({ms for ms, _ in own}, 700, None)
+        ends[key] = times[-1]
+        firsts = {(ms, min(i for at, i in own if at == ms)) for ms in times}
+        want += [(key, ms, i, (ms, i) in firsts) for ms, i in own]
+    assert sorted(got) == sorted(want) and last == ends
+
+
+def test_late_requests_are_dropped_and_long_ids_kept(spark):
+    """A request at the watermark of the batches before is late, one after it is not; a missing id leaves the others as they are."""
+    schema = "id bigint, key string"
+    big = 2**53
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("source", "out", "ckpt"))
+    parts = [
+        [(big + 1, "a", T0), (None, "a", T0 + 1), (big + 3, None, T0 + 2), (big + 5, "b", T0 + 3)],
+        [(1, "a", T0 + 1_000_000)],
+        [(2, "a", T0 + 400_000), (3, "a", T0 + 400_001), (4, "c", T0 + 400_000), (5, "c", T0 + 400_002), (6, "a", T0 + 1)],
+        [(None, None, T0 + 5_000_000)],
+    ]
+    for part in parts:
+        arrive(spark, source, part, schema)
+        dedupe.dedupe_stream(reading(spark, source, schema), "key", "at", "id", out, checkpoint).awaitTermination()
+    got = {(r["id"], r["key"], r["accepted"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(big + 1, "a", True), (big + 5, "b", True), (1, "a", True), (3, "a", True), (5, "c", True)}
+
+
+def test_keys_may_be_numbers(spark):
+    schema = "id string, key bigint"
+    source, out, checkpoint = (shared_dir(spark, n) for n in ("source", "out", "ckpt"))
+    arrive(spark, source, [("p", 2**53 + 1, T0), ("q", 2**53 + 1, T0 + 60_000), ("r", 2**53, T0 + 60_000), ("s", None, T0), (None, 1, T0 + 5_000_000)], schema)
+    dedupe.dedupe_stream(reading(spark, source, schema), "key", "at", "id", out, checkpoint).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.dtypes == [("key", "bigint"), ("id", "string"), ("ms", "bigint"), ("accepted", "boolean")]
+    assert {tuple(r) for r in got.drop("ms").collect()} == {(2**53 + 1, "p", True), (2**53 + 1, "q", False), (2**53, "r", True)}
+
+
+def test_partitions_of_state_are_bounded_while_a_stream_starts(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    with state.on_rocksdb(spark, 3):
+        assert spark.conf.get(name) == str(min(3, int(before)))
+    with state.on_rocksdb(spark, 10_000):
+        assert spark.conf.get(name) == before
+    assert spark.conf.get(name) == before
